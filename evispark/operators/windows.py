@@ -219,3 +219,26 @@ def cap(arr: Column | str, k: int) -> Column:
 def ordered(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
     """Sort for a sink."""
     return df.orderBy(*keys)
+
+
+def running_last(
+    df: DataFrame, part: Sequence[str], order: str, columns: Sequence[str], prefix: str = "running_", limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """The last non-null value of each column up to and including the current row of its group."""
+    upto = Window.unboundedPreceding, Window.currentRow
+    if largest_group(df, part) <= limit:
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(*upto)
+        return df.select("*", *[F.last(c, ignorenulls=True).over(w).alias(prefix + c) for c in columns])
+    placed = positions(df, part, [order]).withColumn("_block", F.floor(F.col("_pos") / limit))
+    ends = placed.groupBy(*part, "_block").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_e_{c}") for c in columns]
+    )
+    before = Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *part, "_block", *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in columns]
+    )
+    w = Window.partitionBy(*part, "_block").orderBy(order).rowsBetween(*upto)
+    local = placed.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_l_{c}") for c in columns])
+    return local.join(carried, [*part, "_block"]).select(
+        *[c for c in df.columns], *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(prefix + c) for c in columns]
+    )
