@@ -178,9 +178,12 @@ def read_domtblout(spark: SparkSession, path: str, mode: str = "hmmsearch") -> t
     return hits, issues
 
 
-def read_json_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of id -> list of texts, as (id, item_no, item) rows."""
-    whole = spark.read.text(path, wholetext=True)
+def read_json_map(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """JSON objects of id -> list of texts, as (id, item_no, item) rows.
+
+    A file holds one object, or with ``per_line`` one object per line, which can be split.
+    """
+    whole = spark.read.text(path, wholetext=not per_line)
     return (
         whole.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("id", "items"))
         .select(strip("id").alias("id"), F.posexplode("items").alias("item_no", "item"))
