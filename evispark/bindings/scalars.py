@@ -345,7 +345,7 @@ def _fold(spark: SparkSession, sf: str) -> DataFrame:
       (length(s) - length(translate(s, 'ACGT', '')))::BIGINT AS acgt_count, (length(s) - length(replace(s, 'N', '')))::BIGINT AS n_count,
       length(translate(s, 'ACGTN', ''))::BIGINT AS ambiguous_count,
       length(regexp_replace(text, '[ \t\n\r\f\v]+', '', 'g'))::BIGINT AS bare_length
-    FROM (SELECT doc_id, text, replace(upper(text), 'ß', 'SS') AS s FROM documents)""",
+    FROM (SELECT doc_id, text, replace(upper(text), 'ẞ', 'SS') AS s FROM documents)""",
 )
 def _composition(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").withColumn("b", base_composition("text"))

@@ -103,6 +103,7 @@ def format_issues(df: DataFrame, row_number: str, lifestyles: Sequence[str] = ()
         )
         for name, ok in checks
     ]
+    found.append(F.lit(None).cast("struct<field:string,value:string>"))
     return df.select(F.col(row_number).alias("row_number"), F.explode(F.array_compact(F.array(*found))).alias("x")).select(
         "row_number", "x.field", "x.value"
     )
@@ -261,7 +262,7 @@ def preflight(
             failed, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(field).alias("field"))
         )
 
-    checks = []
+    checks = [F.lit(None).cast("struct<severity:string,code:string,field:string>")]
     if usable:
         checks.append(found(~_any_present(usable), "blocking", "row_missing_identity", ";".join(usable)))
     if locator and all(c in df.columns for c in locator):
