@@ -73,7 +73,7 @@ def summarise_groups(
 
 def count_matrix(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[object]) -> DataFrame:
     """Counts of rows by column value, wide, zero filled, columns in the order given."""
-    wide = df.groupBy(*rows).pivot(column, list(values)).agg(F.count("*"))
+    wide = df.groupBy(*rows).pivot(column, list(values)).agg(F.count(F.lit(1)))
     return wide.na.fill(0, [str(v) for v in values])
 
 
