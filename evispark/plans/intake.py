@@ -153,20 +153,20 @@ def audit_dataset(assays: DataFrame, cells: DataFrame, phages: DataFrame, hosts:
                   phage_sources: DataFrame, host_sources: DataFrame) -> DataFrame:
     """Audit checks of an assay dataset as rows: parity with its matrix, coverage of both id maps, vocabulary."""
     compared = parity(assays, cells.withColumn("result", cell_result("matrix_value")), phages, hosts)
-    checks = compared.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("assay_matrix_parity").alias("check_id"), F.col("parity_ok").alias("ok"), F.col("rows").alias("observed")),
-                F.struct(F.lit("positive_parity"), F.col("positive") == F.col("matrix_positive"), F.col("positive")),
-                F.struct(F.lit("negative_parity"), F.col("negative") == F.col("matrix_negative"), F.col("negative")),
-                F.struct(F.lit("no_untested_rows"), F.col("tested_false") == 0, F.col("tested_false")),
-                F.struct(F.lit("phage_ids_resolve"), F.col("unresolved_phage_ids") == 0, F.col("unresolved_phage_ids")),
-                F.struct(F.lit("host_ids_resolve"), F.col("unresolved_host_ids") == 0, F.col("unresolved_host_ids")),
-                F.struct(F.lit("unique_interactions"), F.col("duplicate_interaction_ids") == 0, F.col("duplicate_interaction_ids")),
-                F.struct(F.lit("blank_cells_untested"), F.col("matrix_blank") > 0, F.col("matrix_blank")),
-            )
-        ).alias("c")
-    ).select("c.*")
+    tests = {
+        "assay_matrix_parity": (F.col("parity_ok"), "rows"),
+        "positive_parity": (F.col("positive") == F.col("matrix_positive"), "positive"),
+        "negative_parity": (F.col("negative") == F.col("matrix_negative"), "negative"),
+        "no_untested_rows": (F.col("tested_false") == 0, "tested_false"),
+        "phage_ids_resolve": (F.col("unresolved_phage_ids") == 0, "unresolved_phage_ids"),
+        "host_ids_resolve": (F.col("unresolved_host_ids") == 0, "unresolved_host_ids"),
+        "unique_interactions": (F.col("duplicate_interaction_ids") == 0, "duplicate_interaction_ids"),
+        "blank_cells_untested": (F.col("matrix_blank") > 0, "matrix_blank"),
+    }
+    rows = [
+        F.struct(F.lit(name).alias("check_id"), ok.alias("ok"), F.col(seen).alias("observed")) for name, (ok, seen) in tests.items()
+    ]
+    checks = compared.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
     for name, mapping, sources, canon in (("phage_map", phage_map, phage_sources, phages), ("host_map", host_map, host_sources, hosts)):
         stats = map_stats(mapping, sources, canon)
         checks = checks.unionByName(stats.select(F.lit(name).alias("check_id"), (~F.col("blocking")).alias("ok"), F.col("rows").alias("observed")))
