@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evispark.bindings.base import (
-    CLUSTERS, FILES, GENES, MANIFEST, PRODUCTS, assays, clusters, genes, manifest, pick, register, sequence_files, sql_pick, table,
+    CLUSTERS, FILES, GENES, LINE_ORDER, MANIFEST, PRODUCTS, assays, clusters, genes, line_order, manifest, pick, register, sequence_files, sql_pick, table,
 )
 from evispark.bindings.joins import _RESOLVED
 from evispark.bindings.scalars import _DEPOLY, sql_classify, sql_enzyme
@@ -78,11 +78,11 @@ def _clusters(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "sequence_acquisition_orders",
     f"""WITH {MANIFEST}, {FILES}, s AS (SELECT *, raw_sequence_path IN (SELECT path FROM files) AS ex, genome_length = '-5' OR gc_percent = '150' AS bad, CASE WHEN accession = 'NA' THEN NULL WHEN row_number % 3 = 1 THEN 'GCA_' || row_number WHEN row_number % 3 = 2 THEN 'SRR' || row_number ELSE 'SAMN' || row_number END AS acc FROM manifest),
-    t AS (SELECT *, CASE WHEN bad THEN 'excluded_manifest_record' WHEN ex THEN 'local_sequence_available' WHEN raw_sequence_path <> '' AND acc IS NOT NULL THEN 'configured_path_missing_fetchable' WHEN raw_sequence_path <> '' THEN 'configured_path_missing_no_accession' WHEN acc IS NOT NULL THEN 'accession_ready_for_fetch' ELSE 'metadata_only_no_accession' END AS st FROM s)
-    SELECT genome_id, st AS acquisition_status, st NOT IN ('excluded_manifest_record', 'local_sequence_available') AS acquisition_needed, CASE WHEN acc IS NULL THEN '' ELSE 'data/raw/' || genome_id || '.fna' END AS expected_sequence_path,
-      CASE WHEN st IN ('excluded_manifest_record', 'local_sequence_available') THEN 'none' WHEN st = 'configured_path_missing_no_accession' THEN 'manual_sequence_file' WHEN st = 'metadata_only_no_accession' THEN 'manual_accession_or_sequence_required'
+    t AS (SELECT *, CASE WHEN bad THEN 'excluded_manifest_record' WHEN ex THEN 'local_sequence_available' WHEN raw_sequence_path <> '' AND acc IS NOT NULL THEN 'configured_path_missing_fetchable' WHEN raw_sequence_path <> '' THEN 'configured_path_missing_no_accession' WHEN acc IS NOT NULL THEN 'accession_ready_for_fetch' ELSE 'metadata_only_no_accession' END AS stx FROM s)
+    SELECT genome_id, stx AS acquisition_status, stx NOT IN ('excluded_manifest_record', 'local_sequence_available') AS acquisition_needed, CASE WHEN acc IS NULL THEN '' ELSE 'data/raw/' || genome_id || '.fna' END AS expected_sequence_path,
+      CASE WHEN stx IN ('excluded_manifest_record', 'local_sequence_available') THEN 'none' WHEN stx = 'configured_path_missing_no_accession' THEN 'manual_sequence_file' WHEN stx = 'metadata_only_no_accession' THEN 'manual_accession_or_sequence_required'
         WHEN row_number % 3 = 1 THEN 'ncbi_datasets_genome' WHEN row_number % 3 = 2 THEN 'sra_prefetch_fasterq' ELSE 'metadata_link_required' END AS retrieval_method,
-      CASE st WHEN 'local_sequence_available' THEN 'already_local' WHEN 'excluded_manifest_record' THEN 'excluded' WHEN 'configured_path_missing_fetchable' THEN 'fetch_command' WHEN 'accession_ready_for_fetch' THEN 'fetch_command' ELSE 'manual_curation' END AS command_class FROM t""",
+      CASE stx WHEN 'local_sequence_available' THEN 'already_local' WHEN 'excluded_manifest_record' THEN 'excluded' WHEN 'configured_path_missing_fetchable' THEN 'fetch_command' WHEN 'accession_ready_for_fetch' THEN 'fetch_command' ELSE 'manual_curation' END AS command_class FROM t""",
 )
 def _acquisition(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("row_number")
@@ -229,16 +229,16 @@ def _typing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Typing results of line items: one row per line, the latest present value of a host counts."""
     li = table(spark, sf, "lineitem")
     sample = F.concat(F.lit("G"), (F.col("l_orderkey") + 20000000 * (F.col("l_linenumber") % 7 == 6).cast("int")).cast("string")).alias("Sample ID")
-    order = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("row_number")
+    order = line_order(li).alias("row_number")
     resistance = li.select(sample, order, F.when(F.col("l_tax") > 0.04, F.concat(F.lit("ST"), F.col("l_quantity").cast("int").cast("string"))).otherwise("-").alias("MLST"), F.col("l_returnflag").alias("AMR"))
     surface = li.filter("l_linenumber % 2 = 0").select(sample, order, F.when(F.col("l_discount") > 0.02, F.concat(F.lit("KL"), (F.col("l_partkey") % 100).cast("string"))).otherwise("NA").alias("K type"))
     return resistance, surface
 
 
-_TYPING = """ty AS (SELECT 'G' || (l_orderkey + CASE WHEN l_linenumber % 7 = 6 THEN 20000000 ELSE 0 END) AS h, lpad(l_orderkey::VARCHAR, 12, '0') || '-' || lpad(l_linenumber::VARCHAR, 2, '0') || '-' || lpad(l_partkey::VARCHAR, 9, '0') AS o, CASE WHEN l_tax > 0.04 THEN 'ST' || l_quantity::INT END AS st, l_returnflag AS amr, l_linenumber % 2 = 0 AS sf, CASE WHEN l_discount > 0.02 THEN 'KL' || (l_partkey % 100) END AS k FROM lineitem),
+_TYPING = f"""ty AS (SELECT 'G' || (l_orderkey + CASE WHEN l_linenumber % 7 = 6 THEN 20000000 ELSE 0 END) AS h, {LINE_ORDER} AS o, CASE WHEN l_tax > 0.04 THEN 'ST' || l_quantity::INT END AS st, l_returnflag AS amr, l_linenumber % 2 = 0 AS sf, CASE WHEN l_discount > 0.02 THEN 'KL' || (l_partkey % 100) END AS k FROM lineitem),
   r1 AS (SELECT h, max_by(st, CASE WHEN st IS NOT NULL THEN o END) AS st, max_by(amr, o) AS amr FROM ty GROUP BY 1), s1 AS (SELECT h, max_by(k, CASE WHEN k IS NOT NULL THEN o END) AS k FROM ty WHERE sf GROUP BY 1)"""
 _HOSTS = f"""{_RESOLVED}, {_TYPING}, hb AS (SELECT genome_id AS h, host_species, host_strain, K_type AS bk, O_type AS ok, ST AS bst FROM manifest WHERE record_type = 'host'),
-  hs AS (SELECT coalesce(hb.h, r1.h) AS h, coalesce(host_species, '') AS sp, coalesce(host_strain, '') AS sn, coalesce(r1.st, bst) AS st, r1.amr AS amr, coalesce(s1.k, bk) AS k, ok, CASE WHEN hb.h IS NOT NULL THEN 'manifest_host_record' ELSE 'kleborate_only' END AS src,
+  hs AS (SELECT coalesce(hb.h, r1.h) AS h, coalesce(host_species, '') AS sp, coalesce(host_strain, '') AS sn, coalesce(r1.st, bst) AS st, coalesce(r1.amr, '') AS amr, coalesce(s1.k, bk) AS k, ok, CASE WHEN hb.h IS NOT NULL THEN 'manifest_host_record' ELSE 'kleborate_only' END AS src,
     CASE WHEN r1.h IS NULL THEN 'not_supplied' ELSE 'supplied' END AS rs, CASE WHEN s1.h IS NULL THEN 'not_supplied' ELSE 'supplied' END AS ss FROM hb FULL JOIN r1 ON hb.h = r1.h LEFT JOIN s1 ON s1.h = coalesce(hb.h, r1.h))"""
 
 
@@ -263,8 +263,8 @@ _LINKS = f"""{_HOSTS}, kn AS (SELECT h FROM hs), l1 AS (SELECT rv.*, CASE WHEN s
 
 @register(
     "host_links_orders",
-    f"""WITH {_LINKS} SELECT genome_id AS phage_genome_id, ls AS host_link_status, hid2 AS host_genome_id, CASE WHEN ls = 'metadata_only_host_no_genome' THEN coalesce(rk, '') WHEN hs.h IS NOT NULL THEN coalesce(hs.k, '') ELSE K_type END AS "K_type",
-      CASE WHEN ls = 'metadata_only_host_no_genome' THEN coalesce(rst, '') WHEN hs.h IS NOT NULL THEN coalesce(hs.st, '') ELSE ST END AS "ST" FROM l3 LEFT JOIN hs ON hs.h = hid2""",
+    f"""WITH {_LINKS} SELECT genome_id AS phage_genome_id, ls AS host_link_status, hid2 AS host_genome_id, CASE WHEN ls = 'metadata_only_host_no_genome' THEN coalesce(rk, '') WHEN hs.h IS NOT NULL THEN coalesce(hs.k, '') ELSE l3.K_type END AS "K_type",
+      CASE WHEN ls = 'metadata_only_host_no_genome' THEN coalesce(rst, '') WHEN hs.h IS NOT NULL THEN coalesce(hs.st, '') ELSE l3.ST END AS "ST" FROM l3 LEFT JOIN hs ON hs.h = hid2""",
 )
 def _host_links(spark: SparkSession, sf: str) -> DataFrame:
     return _hosts(spark, sf)["links"].select("phage_genome_id", "host_link_status", "host_genome_id", "K_type", "ST")

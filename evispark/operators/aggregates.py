@@ -58,15 +58,14 @@ def summarise_groups(
 
     ``first_present`` takes the first value that is not missing. Member lists come from ``packed_lists``.
     """
-    counted = df.groupBy(key).agg(
+    lead = F.min_by(F.struct(*[F.col(c).alias(n) for n, c in first.items()]), member).alias("_lead")
+    grouped = df.groupBy(key).agg(
         F.count("*").alias("member_count"),
         *[F.countDistinct(null_if_missing(F.col(c).cast("string"))).alias(n) for n, c in distinct.items()],
-    )
-    lead = df.groupBy(key).agg(
-        F.min_by(F.struct(*[F.col(c).alias(n) for n, c in first.items()]), member).alias("_lead"),
+        lead,
         *[F.min_by(F.col(c), F.when(present(c), F.col(member))).alias(n) for n, c in (first_present or {}).items()],
     )
-    return counted.join(lead, key).select(
+    return grouped.select(
         key, "member_count", *distinct, *[F.col(f"_lead.{n}").alias(n) for n in first], *(first_present or {})
     )
 

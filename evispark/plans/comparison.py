@@ -16,6 +16,7 @@ from evispark.operators.aggregates import (
 from evispark.operators.joins import lookup_left
 from evispark.operators.models import ablation, compare_feature_sets, sample_predictions, summarise_tests
 from evispark.operators.windows import top_k
+from evispark.session import cut_lineage
 
 
 def source_group(source: Column | str) -> Column:
@@ -104,6 +105,8 @@ def breadth_samples(assays: DataFrame, candidates: DataFrame, compat: DataFrame)
 
 def compare_models(samples: DataFrame, breadth: DataFrame, minima: Mapping[str, int] = R.H3_MINIMA) -> dict[str, DataFrame]:
     """All tests with their status rows, per-group rates, feature contributions, predictions and the summary."""
+    # Every test reads these two tables, each a few columns of it.
+    samples, breadth = cut_lineage(samples), cut_lineage(breadth)
     targets = ["K_type", "O_type"]
     grid = compare_feature_sets(samples, targets, R.K_O_FEATURE_SETS)
     columns = ["goal", "analysis_id", "target", "feature_set", "n_samples", "accuracy", "status"]

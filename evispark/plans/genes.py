@@ -14,10 +14,11 @@ from evispark.operators.aggregates import architecture, count_matrix_long, packe
 from evispark.operators.joins import lookup_left, semi_with_report
 from evispark.operators.scoring import hit_evidence, module_clusters, novel_subset, score_candidates, with_context
 from evispark.operators.windows import disambiguate, ordinal_id
+from evispark.session import cut_lineage
 
 
 def annotate(genes: DataFrame, manifest: DataFrame, clusters: DataFrame, order: str = "row_number") -> dict[str, DataFrame]:
-    """Normalised annotations, gene clusters, member lists and the gene cluster x genome counts.
+    """Normalised annotations, gene clusters and the gene cluster x genome counts.
 
     ``genes`` hold ``genome_id, gene_id, product`` and ``row_number``; ``clusters``:
     ``genome_id, cluster_id, representative_id``.
@@ -60,6 +61,8 @@ def annotate(genes: DataFrame, manifest: DataFrame, clusters: DataFrame, order:
         .withColumn("gene_cluster_source", F.col("_cluster.source"))
         .drop("_cluster")
     )
+    # Clusters, counts and candidates all start from these rows, so they are written once.
+    annotations = cut_lineage(annotations)
     summary = summarise_groups(
         annotations,
         "gene_cluster_key",
@@ -80,12 +83,16 @@ def annotate(genes: DataFrame, manifest: DataFrame, clusters: DataFrame, order:
     return {
         "annotations": annotations,
         "gene_clusters": gene_clusters,
-        "gene_members": packed_lists(annotations, ["gene_cluster_id"], "annotation_gene_id"),
         "pangenome": count_matrix_long(annotations, ["gene_cluster_id"], "genome_id"),
         "issues": issues,
     }
 
 
+def gene_member_lists(annotations: DataFrame) -> DataFrame:
+    """Member genes of each gene cluster, in order and in pieces."""
+    return packed_lists(annotations, ["gene_cluster_id"], "annotation_gene_id")
+
+
 def find_candidates(
     annotations: DataFrame,
     gene_clusters: DataFrame,
@@ -104,7 +111,7 @@ def find_candidates(
         d_flags, _ = hit_evidence(domains, key, "domain_id", "domain_name", "domain", ["start_aa"])
     if structures is not None:
         s_flags, _ = hit_evidence(structures, key, "structural_hit_id", "structural_hit_name", "structural", ["structural_hit_id"])
-    scored = score_candidates(with_context(annotations), gene_clusters, d_flags, s_flags, thresholds=thresholds)
+    scored = cut_lineage(score_candidates(with_context(annotations), gene_clusters, d_flags, s_flags, thresholds=thresholds))
     late = 10**9
     for c in ("start", "end"):
         scored = scored.withColumn(f"_{c}", F.coalesce(F.col(c).cast("string").try_cast("double").cast("bigint"), F.lit(late)))

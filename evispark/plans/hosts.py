@@ -10,6 +10,7 @@ from evispark.functions.text import classify, classify_pair, hash_id, note_value
 from evispark.operators.aggregates import packed_lists
 from evispark.operators.joins import compatibility, lookup_left, patch_merge, resolve_entities, union_prefer
 from evispark.operators.windows import first_per_key, ordinal_id, running_last
+from evispark.session import cut_lineage
 
 # Column names the typing and defense tools use.
 SAMPLE_ID = [
@@ -134,7 +135,7 @@ def integrate_hosts(
     manifest: DataFrame, clusters: DataFrame, resistance: DataFrame | None = None, surface: DataFrame | None = None,
     order: str = "row_number",
 ) -> dict[str, DataFrame]:
-    """Host table, phage-host links, relationships and the records linked to each host."""
+    """Host table, phage-host links and relationships."""
     host_rows = manifest.filter((F.col("record_type") == "host") & present("genome_id"))
     base_columns = ["host_species", "host_strain", "source", "country", "year", "K_type", "O_type", "ST", "AMR_markers", "virulence_markers"]
     base = first_per_key(host_rows, ["genome_id"], [F.col(order).desc()]).select(
@@ -157,7 +158,8 @@ def integrate_hosts(
         hosts = hosts.withColumn("host_record_source", F.coalesce("host_record_source", F.lit(origin)))
     phages = manifest.filter(F.col("record_type").isin(*R.PHAGE_LIKE))
     dim = host_rows.select(F.col("genome_id").alias("host_genome_id"), "host_species", "host_strain").dropDuplicates(["host_genome_id"])
-    resolved = resolve_entities(phages, dim, hosts.select("host_genome_id"))
+    hosts = cut_lineage(hosts)
+    resolved = cut_lineage(resolve_entities(phages, dim, hosts.select("host_genome_id")))
     made = F.col("link_status") == "metadata_only_host_no_genome"
     patched = {
         "host_species": F.coalesce(F.nullif(text("host_species"), F.lit("")), text("isolation_host")),
@@ -198,10 +200,15 @@ def integrate_hosts(
         "hosts": table,
         "links": links,
         "relationships": build_links(resolved),
-        "linked_records": packed_lists(linked.select("host_genome_id", "phage_genome_id").distinct(), ["host_genome_id"], "phage_genome_id"),
     }
 
 
+def linked_record_lists(links: DataFrame) -> DataFrame:
+    """Records linked to each host, in order and in pieces."""
+    linked = links.filter(present("host_genome_id")).select("host_genome_id", "phage_genome_id").distinct()
+    return packed_lists(linked, ["host_genome_id"], "phage_genome_id")
+
+
 def normalise_host_defense(table: DataFrame, hosts: DataFrame, label: str, order: str = "row_number",
                            rules: list[tuple[str, str]] = R.DEFENSE_RULES) -> DataFrame:
     """Defense rows with a host, a folded type, an id by row order, and a note when the host is unknown."""

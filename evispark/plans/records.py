@@ -16,6 +16,7 @@ from evispark.operators.validation import (
     Rule, between, composition_by, one_of, positive_int, required, sequence_qc, split_status, unique, validate_rows, with_copies,
 )
 from evispark.operators.windows import ordinal_id
+from evispark.session import cut_lineage
 
 
 def build_manifest(samples: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -67,13 +68,13 @@ def dereplicate(
     min_coverage: float = R.SPECIES_COVERAGE_PERCENT,
     prefix: str = "kp_phage_species_",
 ) -> dict[str, DataFrame]:
-    """Edges with verdicts, cluster membership, one representative per cluster, member lists."""
-    nodes = eligible(manifest, qc, R.PHAGE_LIKE)
+    """Edges with verdicts, cluster membership and one representative per cluster."""
+    nodes = cut_lineage(eligible(manifest, qc, R.PHAGE_LIKE))
     scored = score_edges(edges, nodes.select("genome_id"), min_identity, min_coverage)
     passing = scored.filter("included_in_clustering").select(
         F.col("genome_id_1").alias("src"), F.col("genome_id_2").alias("dst")
     )
-    labelled = connected_components(nodes, passing, "genome_id")
+    labelled = cut_lineage(connected_components(nodes, passing, "genome_id"))
     clusters = labelled.groupBy("component").agg(F.count("*").alias("cluster_size"))
     numbered = ordinal_id(clusters, ["component"], prefix, 5, "cluster_id")
     chosen = representatives(labelled, "component", genome_preferences()).select(
@@ -94,10 +95,14 @@ def dereplicate(
         "edges": scored,
         "clusters": members,
         "representatives": table.drop("component"),
-        "member_lists": packed_lists(members, ["cluster_id"], "genome_id"),
     }
 
 
+def cluster_member_lists(clusters: DataFrame) -> DataFrame:
+    """Members of each cluster, in order and in pieces."""
+    return packed_lists(clusters, ["cluster_id"], "genome_id")
+
+
 def plan_sequences(manifest: DataFrame, files: DataFrame, raw_dir: str = "data/raw") -> DataFrame:
     """How each record gets its sequence: local, fetchable, by hand, or excluded."""
     known = files.select(F.col("path").alias("_path")).distinct()

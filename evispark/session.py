@@ -25,7 +25,7 @@ def build_session(app: str = "evispark", cpus: str | int = "*", partitions: int
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and staged tables.
+    """The shared folder for staged tables.
 
     ``spark.checkpoint.dir`` names it on a cluster. A local session that has
     none gets a temporary folder; any other master must set it, because a
@@ -44,9 +44,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its plan."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    Nothing upstream runs again, lost executors cost nothing that is already written, and later
+    steps read only the columns they use. Spark also knows the size of what it reads.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
