@@ -41,19 +41,18 @@ def strict_number(
     ``integer`` wants a whole number above zero.
     """
     value = strip(c).try_cast("double")
-    problem = F.when(value.isNull(), "not_numeric").when(~finite(value), "non_finite")
+    # Texts for "missing" are no numbers, so the number is parsed first, and once.
+    problem = F.when(value.isNull(), F.when(~is_missing(c), "not_numeric")).when(
+        F.isnan(value) | (F.abs(value) == float("inf")), "non_finite"
+    )
     if integer:
         problem = problem.when(value != F.floor(value), "not_integer").when(value <= 0, "not_positive")
     if lo is not None:
         problem = problem.when(value < lo, "below_minimum")
     if hi is not None:
         problem = problem.when(value > hi, "above_maximum")
-    problem = F.when(is_missing(c), None).otherwise(problem)
     kept = F.when(value > 1, value / 100).otherwise(value) if percent else value
-    return F.struct(
-        F.when(problem.isNull() & ~is_missing(c), kept).alias("value"),
-        problem.alias("problem"),
-    )
+    return F.struct(F.when(problem.isNull(), kept).alias("value"), problem.alias("problem"))
 
 
 def year_from(c: Column | str) -> Column:

@@ -129,10 +129,11 @@ def patch_merge(base: DataFrame, patch: DataFrame, key: str, columns: Sequence[s
     Per column the last present value of the patch wins over the base.
     """
 
-    def last(c: str) -> Column:
-        return F.max_by(null_if_missing(c), F.when(present(c), F.col(order))).alias(f"_p_{c}")
-
-    latest = patch.filter(present(key)).groupBy(key).agg(*[last(c) for c in columns]).withColumn("_hit", F.lit(True))
+    # Cleaned once per value before the aggregate, which would otherwise clean it for each use.
+    clean = patch.filter(present(key)).select(key, order, *[null_if_missing(c).alias(c) for c in columns])
+    latest = clean.groupBy(key).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_p_{c}") for c in columns]
+    ).withColumn("_hit", F.lit(True))
     both = base.join(latest, key, "full_outer")
     kept = [c for c in base.columns if c != key and c not in columns]
     return both.select(

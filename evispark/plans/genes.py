@@ -48,18 +48,19 @@ def annotate(genes: DataFrame, manifest: DataFrame, clusters: DataFrame, order:
         manifest.filter(present("genome_id")).select("genome_id", "record_type"),
         "genome_id",
     )
+    kept = kept.withColumn("_words", words)
     annotations = (
         lookup_left(kept, dim, "genome_id")
         .withColumn("protein_length_aa", sequence_length("protein_length_aa", "protein_sequence"))
         .withColumn("protein_sequence", F.regexp_replace(text("protein_sequence"), r"\s+", ""))
         .withColumn(
             "module_hint",
-            F.coalesce(F.nullif(text("module_hint"), F.lit("")), classify(words, R.MODULE_RULES, "other")),
+            F.coalesce(F.nullif(text("module_hint"), F.lit("")), classify("_words", R.MODULE_RULES, "other")),
         )
         .withColumn("product", product)
         .withColumn("gene_cluster_key", F.col("_cluster.key"))
         .withColumn("gene_cluster_source", F.col("_cluster.source"))
-        .drop("_cluster")
+        .drop("_cluster", "_words")
     )
     # Clusters, counts and candidates all start from these rows, so they are written once.
     annotations = cut_lineage(annotations)
