@@ -53,13 +53,11 @@ def _optional(spark: SparkSession, sf: str) -> DataFrame:
     there, _ = read_optional(spark, path, ["c_custkey", "c_mktsegment"], delimiter="tab")
     absent, issues = read_optional(spark, path + "-absent", ["c_custkey", "c_mktsegment"], delimiter="tab")
     counts = there.withColumn("n", F.lit(1)).unionByName(absent.withColumn("n", F.lit(0)))
-    noted = issues.select(F.col("severity").alias("absent_severity"), F.lit("x").alias("k"))
+    severity = issues.first()["severity"]  # one row
     return (
         counts.groupBy(F.col("c_mktsegment").alias("segment"))
         .agg(F.sum("n").alias("found_rows"), F.count_if(F.col("n") == 0).alias("absent_rows"))
-        .withColumn("k", F.lit("x"))
-        .join(F.broadcast(noted), "k")  # one row
-        .drop("k")
+        .withColumn("absent_severity", F.lit(severity))
     )
 
 
@@ -79,9 +77,9 @@ def _schema(spark: SparkSession, sf: str) -> DataFrame:
         df = table(spark, sf, name)
         verdict = check_schema(df if checked else None, all_of, any_of, spark).withColumn("table_name", F.lit(name))
         rows = df.agg(F.count("*").alias("rows")).withColumn("table_name", F.lit(name))
-        part = rows.join(verdict, "table_name")
+        part = rows.unionByName(verdict, allowMissingColumns=True)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.groupBy("table_name").agg(*[F.max(c).alias(c) for c in ("rows", "schema_status", "missing_columns")])
 
 
 @register(
@@ -149,9 +147,10 @@ def _fasta(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "documents.fna")
     header = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" lang="), "lang")
     write_fasta(d, path, header, "s")
-    problems = fasta_problems(spark, path).agg(F.count("*").alias("problem_files")).withColumn("k", F.lit(1))
-    records = read_fasta(spark, path).withColumn("k", F.lit(1)).join(F.broadcast(problems), "k")  # one row
-    return records.select("header", F.length("sequence").alias("length"), F.md5(F.col("sequence").cast("binary")).alias("digest"), "problem_files")
+    problems = fasta_problems(spark, path).count()
+    return read_fasta(spark, path).select(
+        "header", F.length("sequence").alias("length"), F.md5(F.col("sequence").cast("binary")).alias("digest"), F.lit(problems).cast("bigint").alias("problem_files")
+    )
 
 
 @register(
