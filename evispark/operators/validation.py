@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evispark.functions import rules as R
-from evispark.functions.missing import MISSING, MISSING_DASH, as_col, is_missing, present, strip, text
-from evispark.functions.numbers import finite, is_integer_text, to_double
+from evispark.functions.missing import MISSING, as_col, is_missing, present, strip, text
+from evispark.functions.numbers import is_integer_text, to_double
 from evispark.functions.sequences import base_composition, percent
 from evispark.functions.text import fold_vocab
 

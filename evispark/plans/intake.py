@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from evispark.functions import rules as R
 from evispark.functions.missing import alias_coalesce, fill_defaults, is_missing, present, text
 from evispark.functions.numbers import gc_from, year_from
 from evispark.functions.text import row_checksum, stable_id
