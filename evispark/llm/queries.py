@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from evispark.llm import substring
+from evispark.llm import near_dedup, substring
 
 QUERIES = {
+    "op1_minhash_near_dedup": (near_dedup.op1_minhash_near_dedup, None),
     "op8_substring_dedup": (substring.op8_substring_dedup, None),
 }

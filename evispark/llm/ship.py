@@ -19,7 +19,7 @@ def with_code(spark: SparkSession) -> SparkSession:
         package = Path(__file__).resolve().parent
         path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="code-")), ARCHIVE)
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-            for module in [package.parent / "__init__.py", package.parent / "session.py", *package.glob("*.py")]:
+            for module in package.parent.rglob("*.py"):
                 archive.write(module, str(module.relative_to(package.parent.parent)))
         context.addPyFile(path)
     return spark
