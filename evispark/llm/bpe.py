@@ -18,6 +18,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from evispark.llm.ship import with_code
 from evispark.llm.vocab import PIECE, Merges, Pieces, merges, shared_file, spread
@@ -225,7 +226,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     spark = with_code(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("text", "tokens")]
     rows = docs.select(F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in rest])
-    schema = rows.drop("text").schema.add("tokens", "array<int>")
+    schema = rows.drop("text").schema.add("tokens", ArrayType(IntegerType()))
     return rows.mapInArrow(_encode(shared_file(spark, path)), schema)
 
 
