@@ -16,6 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from evispark.llm.ship import with_code
 from evispark.llm.vocab import PIECE, Merges, Pieces, merges, shared_file, spread
@@ -126,7 +127,7 @@ def _count(raw, every: bool):
 
 def _with_counts(docs: DataFrame, path: str, every: bool) -> DataFrame:
     spark = with_code(docs.sparkSession)
-    name, kind = ("prefix_tokens", "array<int>") if every else ("n_tokens", "long")
+    name, kind = ("prefix_tokens", ArrayType(IntegerType())) if every else ("n_tokens", LongType())
     rest = [F.col(f"`{c}`") for c in docs.columns if c != name]
     rows = docs.select(F.col("text").cast("string").alias("_counted"), *rest)
     return rows.mapInArrow(_count(shared_file(spark, path), every), rows.drop("_counted").schema.add(name, kind))
