@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from evispark.llm import near_dedup, substring
+from evispark.llm import bpe, exact_dedup, mixing, near_dedup, quality, substring, token_counts
 
 QUERIES = {
     "op1_minhash_near_dedup": (near_dedup.op1_minhash_near_dedup, None),
+    "op4_byte_bpe": (bpe.op4_byte_bpe, None),
+    "op5_mixing": (mixing.op5_mixing, None),
+    "op6_quality": (quality.op6_quality, None),
     "op8_substring_dedup": (substring.op8_substring_dedup, None),
+    "op9_exact_dedup": (exact_dedup.op9_exact_dedup, exact_dedup.OP9_SQL),
+    "op10_token_counts": (token_counts.op10_token_counts, None),
 }
