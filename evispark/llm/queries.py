@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from evispark.llm import bpe, exact_dedup, mixing, near_dedup, quality, substring, token_counts
+from evispark.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality, substring, token_counts, topk, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": (near_dedup.op1_minhash_near_dedup, None),
+    "op2_url_filter": (url_filter.op2_url_filter, None),
+    "op3_exact_topk": (topk.op3_exact_topk, topk.OP3_SQL),
     "op4_byte_bpe": (bpe.op4_byte_bpe, None),
     "op5_mixing": (mixing.op5_mixing, None),
     "op6_quality": (quality.op6_quality, None),
+    "op7_chat_formatting": (chat.op7_chat_formatting, chat.OP7_SQL),
     "op8_substring_dedup": (substring.op8_substring_dedup, None),
     "op9_exact_dedup": (exact_dedup.op9_exact_dedup, exact_dedup.OP9_SQL),
     "op10_token_counts": (token_counts.op10_token_counts, None),
