@@ -31,6 +31,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**5) ** 32 = 3e-6.
 BANDS, ROWS = 32, 5
+#: Texts of a band compared with the others in the first round after the stars; four times as many in each further one.
+FIRST_PLACES = 8
 SLICE_BYTES = 1 << 20
 EMPTY = np.uint64(np.iinfo(np.uint64).max)
 _CELL = np.uint64(0xA0761D6478BD642F)
@@ -183,23 +185,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.filter(F.col("both") / (F.col("sum") - F.col("both")) >= similarity).select("a", "b")
 
 
-def _mixed_bands(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of the bands that hold several classes, with their places by node from zero.
+def _places(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts of the bands that hold several classes; those outside a band's largest class have places from zero.
 
-    Bands of one class are left out, so a large group of near copies is not looked at again.
+    Two texts of different classes are not both in the largest one, so comparing each text that has a place with the
+    texts of later or no place leaves out no pair. Bands of one class are left out, and a large group of near
+    copies that meets a few strangers in a band is compared with those few only.
     """
-    known = members.join(labels, "node")
-    mixed = known.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("band")
+    known = members.join(labels, "node").select("band", "node", "label")
+    classes = known.groupBy("band", "label").agg(F.count("*").alias("n"))
+    mixed = classes.groupBy("band").agg(F.max_by("label", "n").alias("largest"), F.count("*").alias("n")).filter("n > 1")
+    known = known.join(mixed.select("band", "largest"), "band")
     place = F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1
-    return known.join(mixed, "band").select("band", "node", "label", place.alias("place"))
+    others = known.filter("label != largest").select("band", "node", place.alias("place"))
+    return others.unionByName(known.filter("label = largest").select("band", "node", F.lit(None).cast("int").alias("place")))
 
 
-def _later_pairs(placed: DataFrame, step: int) -> DataFrame:
-    """Pairs of a band whose first text has a place from ``step`` to ``2 * step - 1``, in different classes."""
-    a = placed.filter(F.col("place").between(step, 2 * step - 1))
+def _later_pairs(placed: DataFrame, labels: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs of a band that are in different classes so far and whose first text has a place from low to below high."""
+    known = placed.join(labels, "node")
+    a = known.filter((F.col("place") >= low) & (F.col("place") < high))
     a = a.select("band", F.col("node").alias("a"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    b = placed.select("band", F.col("node").alias("b"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-    return a.join(b, "band").filter("pb > pa AND la != lb").select("a", "b").distinct()
+    b = known.select("band", F.col("node").alias("b"), F.col("place").alias("pb"), F.col("label").alias("lb"))
+    return a.join(b, "band").filter("la != lb AND (pb IS NULL OR pb > pa)").select("a", "b").distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after joining the classes of linked texts."""
+    one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    edges = links.join(one, "a").join(two, "b").select("la", "lb").distinct()
+    ends = edges.select(F.col("la").alias("label")).union(edges.select("lb")).distinct()
+    joined = connected_components(ends, edges, "label", "la", "lb")
+    return labels.join(joined, "label", "left").select("node", F.coalesce("component", "label").alias("label"))
 
 
 def near_duplicates(
@@ -229,19 +247,17 @@ def near_duplicates(
         nodes = scratch.table(members.select("node").distinct())
         first = members.filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
         links = scratch.table(_verified(first, sets, similarity))
-        step = 1
-        while True:
-            labels = connected_components(nodes, links, "node", "a", "b").select("node", F.col("component").alias("label"))
-            labels = scratch.table(labels)
-            placed = scratch.table(_mixed_bands(members, labels))
-            last = placed.agg(F.max("place").alias("p")).first()["p"] or 0
-            pairs = None
-            while step < last and pairs is None:
-                pairs = scratch.table(_later_pairs(placed, step))
-                pairs, step = None if pairs.isEmpty() else pairs, 2 * step
-            if pairs is None:
-                break
-            links = scratch.table(links.unionByName(_verified(pairs, sets, similarity)))
+        labels = connected_components(nodes, links, "node", "a", "b").select("node", F.col("component").alias("label"))
+        labels = scratch.table(labels)
+        placed = scratch.table(_places(members, labels))
+        last = placed.agg(F.max("place").alias("p")).first()["p"]
+        low, high = 0, FIRST_PLACES
+        while last is not None and low <= last:
+            pairs = scratch.table(_later_pairs(placed, labels, low, high))
+            links = scratch.table(_verified(pairs, sets, similarity))
+            if not links.isEmpty():
+                labels = scratch.table(_merged(labels, links))
+            low, high = high, 4 * high
         named = texts.select("node", "digest", "first_id").join(labels, "node", "left")
         named = named.withColumn("label", F.coalesce("label", "node")).select("digest", "label", "first_id")
         least = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
