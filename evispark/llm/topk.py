@@ -1,10 +1,9 @@
 """Exact top-k inner-product search with an impact-ordered index, score at a time.
 
-Vectors are dealt into blocks. A block's index has a posting list per dimension, ordered by value and cut into segments
-of quantised values. A query adds segments to its accumulators by descending impact: at every step, in each
-dimension, the postings whose contribution is closest to the largest that is possible there. What the unread
-segments, and the values' quantisation, can still add is bounded by the frontiers. Reading stops when that bound proves
-that only a few vectors can be among the best k, and those are scored exactly from their vectors.
+Vectors are dealt into blocks. A block's index has posting lists per dimension, cut into segments
+of equal quantised impact. A query adds segments to its accumulators by descending impact over all dimensions. What
+unread segments and the quantisation can still add is bounded, and reading stops on nothing but the proof
+that only a few vectors can be among the best k; those are scored exactly from their vectors.
 """
 
 from __future__ import annotations
@@ -29,69 +28,70 @@ GROUP_QUERIES = 2_048
 STEP = 4
 #: Steps in which a query reads the lists; after each the bound is tested.
 STEPS = 12
-#: A query stops reading when so many vectors, or k, are left to score exactly.
-FEW = 200
+#: A query stops reading when it is proved that no more vectors, or k, can be among the best; they are scored exactly.
+FEW = 1_000
 
 FOUND = "query_id long, vec_id long, score long"
 
 
 class ImpactIndex:
-    """Posting lists of a block of integer vectors."""
+    """Posting lists of a block of integer vectors, once by falling and once by rising value.
+
+    The impact of a posting is how far its value lies from the worst value of the dimension, in whole steps; a
+    segment is the postings of one impact. ``ends[side][i, d]`` is the number of postings with an impact of i or more.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")  # postings of each dimension by value
-        self.values = np.take_along_axis(vectors, self.order, 0)
-        self.impacts = self.values // STEP * STEP  # the lower end of a segment's values
-        self.low, self.high = self.values[0], self.values[-1]
+        self.rows, self.dims = vectors.shape
+        self.sides = []
+        for sign in (1, -1):
+            above = sign * vectors - (sign * vectors).min(axis=0)
+            impacts = above // STEP
+            order = np.argsort(-impacts, axis=0, kind="stable").astype(np.int32)
+            ranked = np.take_along_axis(impacts, order, 0)
+            most = int(ranked.max(initial=0))
+            ends = np.stack([(ranked >= i).sum(axis=0) for i in range(most + 2)])
+            self.sides.append((np.ascontiguousarray(order.T), np.ascontiguousarray(ranked.T), ends, most))
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors but the query's own; of equal scores the smaller id is better.
 
-        An accumulator holds what a vector's read postings give at least, over the smallest contribution of each
-        dimension; ``slack`` is what unread postings and quantisation may add at most.
+        An accumulator holds what a vector's read postings add at least. What it may lack is bounded per dimension by
+        the largest unread impact or by the width of a step, and over all dimensions by their sum ``slack``. A vector
+        whose accumulator and slack stay below the k-th largest accumulator is proved to be none of the best.
         """
-        rows = len(self.ids)
-        gains = np.where(query >= 0, query * (self.high - self.low), query * (self.low - self.high)).astype(np.int64)
-        dims = np.argsort(-gains, kind="stable")
-        total = np.zeros(rows, np.int64)
-        done = np.zeros(len(query), np.int64)  # postings read, from the best end
-        error = np.abs(query) * (STEP - 1)
-        slack = gains.copy()
-        others = self.ids != own
-        left = np.flatnonzero(others)
-        top = gains.max(initial=0)
+        weight = np.abs(query)
+        side = (query < 0).astype(int)
+        dims = np.arange(self.dims)
+        most = np.asarray([s[3] for s in self.sides])[side]
+        total = np.zeros(self.rows)
+        done = np.zeros(self.dims, np.int64)
+        left = np.flatnonzero(self.ids != own)
+        top = float((weight * (most + 1) * STEP).max(initial=0))
         for step in range(1, STEPS + 1):
-            level = top * (STEPS - step) / STEPS  # postings with a larger gain are read now
-            for d in dims:
-                if gains[d] <= level or done[d] == rows:
-                    continue
-                q, impacts = query[d], self.impacts[:, d]
-                if q > 0:  # largest values first
-                    edge = self.low[d] + math.floor(level / q) + 1 if level > 0 else self.low[d]
-                    upto = rows - int(np.searchsorted(impacts, edge // STEP * STEP, "left"))
-                    if upto > done[d]:
-                        at = slice(rows - upto, rows - done[d])
-                        total[self.order[at, d]] += np.maximum(q * (impacts[at] - self.low[d]), 0)
-                        done[d] = upto
-                    rest = q * (self.values[rows - upto - 1, d] - self.low[d]) if upto < rows else 0
-                else:  # smallest values first
-                    edge = self.high[d] - math.floor(level / -q) - 1 if level > 0 else self.high[d]
-                    upto = int(np.searchsorted(impacts, edge // STEP * STEP, "right"))
-                    if upto > done[d]:
-                        at = slice(done[d], upto)
-                        total[self.order[at, d]] += np.maximum(q * (impacts[at] + (STEP - 1) - self.high[d]), 0)
-                        done[d] = upto
-                    rest = q * (self.values[upto, d] - self.high[d]) if upto < rows else 0
-                slack[d] = max(rest, error[d])
-            bound = int(slack.sum())
+            level = top * (STEPS - step) / STEPS  # segments that add at least this much are read now
+            need = np.ceil(level / np.maximum(weight * STEP, 1)).astype(np.int64)
+            need = np.where(weight > 0, np.minimum(need, most + 1), most + 1)
+            if step == STEPS:
+                need[weight > 0] = 0
+            upto = np.where(side == 0, self.sides[0][2][np.minimum(need, self.sides[0][3] + 1), dims], self.sides[1][2][np.minimum(need, self.sides[1][3] + 1), dims])
+            todo = np.flatnonzero(upto > done)
+            if len(todo):
+                at = [self.sides[side[d]][0][d, done[d] : upto[d]] for d in todo]
+                impacts = [self.sides[side[d]][1][d, done[d] : upto[d]] for d in todo]
+                factor = np.repeat((weight[todo] * STEP).astype(float), upto[todo] - done[todo])
+                total += np.bincount(np.concatenate(at), np.concatenate(impacts) * factor, self.rows)
+                done = np.maximum(done, upto)
+            unread = np.where(done < self.rows, need * STEP - 1, 0)  # values over the worst one, at most
+            slack = float((weight * np.maximum(unread, STEP - 1)).sum())
             scores = total[left]
             if len(left) > k:
                 least = np.partition(scores, len(left) - k)[len(left) - k]
-                left = left[scores + bound >= least]
+                left = left[scores + slack >= least]
             if len(left) <= max(FEW, k):
                 break
-        exact = self.vectors[left].astype(np.int64) @ query.astype(np.int64)
+        exact = self.vectors[left] @ query
         best = np.lexsort((self.ids[left], -exact))[:k]
         return self.ids[left][best], exact[best]
 
