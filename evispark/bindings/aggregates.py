@@ -8,7 +8,7 @@ from evispark.bindings.base import ASSAYS, GENES, MANIFEST, PRODUCTS, assays, ge
 from evispark.bindings.joins import matrix_tables
 from evispark.functions import rules as R
 from evispark.operators.aggregates import (
-    architecture, assay_breadth, assert_metrics, assessed_features, breadth_summary, count_matrix, count_matrix_long, coverage_gate, feature_coverage,
+    architecture, architecture_text, assay_breadth, assert_metrics, assessed_features, breadth_summary, count_matrix, count_matrix_long, coverage_gate, feature_coverage,
     features_by_entity, freq, group_rate, label_counts, locus_support, matrix_stats, metrics_long, overlap_groups, pair_completeness, receptor_support,
     scope_counts, source_summary, status_report, summarise_groups, support_audit, test_coverage,
 )
@@ -85,7 +85,7 @@ def _module_members(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "domain_architecture_orders",
     f"""WITH d AS (SELECT 'G' || l_orderkey AS g, CASE WHEN l_suppkey % 8 = 0 THEN 1000000000 ELSE l_partkey % 500 END AS s, CASE WHEN l_linenumber = 1 THEN '' ELSE {sql_pick(PRODUCTS, 'l_partkey')} END AS nm, 'PF' || l_suppkey || '.' || l_partkey || '.' || l_quantity::INT AS id, 'tool' || l_linenumber AS src FROM lineitem)
-    SELECT g AS annotation_gene_id, 0::BIGINT AS piece, string_agg(CASE WHEN nm <> '' THEN nm ELSE id END, '|' ORDER BY s, nm, id) AS domain_architecture, count(*) AS domain_count, string_agg(DISTINCT src, ';' ORDER BY src) AS domain_sources,
+    SELECT g AS annotation_gene_id, string_agg(CASE WHEN nm <> '' THEN nm ELSE id END, '|' ORDER BY s, nm, id) AS domain_architecture, count(*) AS domain_count, string_agg(DISTINCT src, ';' ORDER BY src) AS domain_sources,
       trim(min_by(id || ':' || nm, (s, nm, id)), ':') || CASE WHEN bool_or(regexp_matches(CASE WHEN nm <> '' THEN nm ELSE id END, '(?i){R.SUPPORT_PATTERN}')) THEN ' (rbp_depolymerase_domain)' ELSE ' (domain_present)' END AS best_domain_hit FROM d GROUP BY 1""",
 )
 def _architecture(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +97,7 @@ def _architecture(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("PF"), F.concat_ws(".", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string"))).alias("domain_id"),
         F.concat(F.lit("tool"), F.col("l_linenumber").cast("string")).alias("evidence_source"),
     )
-    return architecture(domains)
+    return architecture(domains).join(architecture_text(domains), "annotation_gene_id")
 
 
 @register(
@@ -147,11 +147,13 @@ def _receptor(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "locus_fingerprints_orders",
-    """SELECT l_orderkey, 0::BIGINT AS piece, count(*)::INT AS locus_protein_count, CASE WHEN count(*) = 1 THEN '1' ELSE '2plus' END AS locus_protein_count_bin, sha256(string_agg(s, chr(10) ORDER BY s) || chr(10)) AS locus_fingerprint_sha256
-    FROM (SELECT l_orderkey, md5(l_partkey::VARCHAR) AS s FROM lineitem) GROUP BY 1""",
+    """SELECT k AS l_orderkey, count(*) AS locus_protein_count, CASE WHEN count(*) = 1 THEN '1' ELSE '2plus' END AS locus_protein_count_bin,
+      sha256(concat_ws(':', count(*), sum(('0x' || s[1:15])::BIGINT), sum(('0x' || s[16:30])::BIGINT), sum(('0x' || s[31:45])::BIGINT), sum(('0x' || s[46:60])::BIGINT))) AS locus_fingerprint_sha256
+    FROM (SELECT CASE WHEN l_orderkey % 97 > 0 THEN l_orderkey END AS k, sha256(md5(l_partkey::VARCHAR)) AS s FROM lineitem) GROUP BY 1""",
 )
 def _locus(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select("l_orderkey", F.md5(F.col("l_partkey").cast("string").cast("binary")).alias("s"))
+    key = F.when(F.col("l_orderkey") % 97 > 0, F.col("l_orderkey")).alias("l_orderkey")
+    li = table(spark, sf, "lineitem").select(key, F.md5(F.col("l_partkey").cast("string").cast("binary")).alias("s"))
     return locus_support(li, "l_orderkey", "s")
 
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
-SPREAD = ("lineitem", "orders", "events", "documents")
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
 MISS = "('', 'NA', 'N/A', 'na', 'n/a', 'None', 'none', '-')"
@@ -43,16 +42,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. One that comes in fewer splits than there are cores is spread over them.
-
-    Each test table is a single row group, which one task would read and work on alone; a
-    table of many files is left as it is.
-    """
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A driver table as it is stored."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def pick(items: list[str], index: F.Column) -> F.Column:

@@ -294,13 +294,25 @@ def _proposals(spark: SparkSession, sf: str) -> DataFrame:
     return propose_matches(*_match_tables(spark, sf))
 
 
+_FOLD = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
+
+
 @register(
     "match_candidates_customers",
-    f"WITH {_IDS} SELECT source_id, cid AS candidate_id FROM ids JOIN cn ON regexp_replace(lower(source_id), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(cid), '[^a-z0-9]+', '', 'g')",
+    f"WITH {_IDS} SELECT source_id, {_FOLD.format('source_id')} AS folded, count(*) AS candidates FROM ids JOIN cn ON {_FOLD.format('source_id')} = {_FOLD.format('cid')} GROUP BY ALL",
 )
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     ids, canon, _ = _match_tables(spark, sf)
-    return candidate_list(ids, canon)
+    return candidate_list(ids, canon)[0]
+
+
+@register(
+    "match_candidates_by_name_customers",
+    f"WITH {_IDS} SELECT DISTINCT {_FOLD.format('cid')} AS folded, cid AS candidate_id FROM cn JOIN ids ON {_FOLD.format('source_id')} = {_FOLD.format('cid')}",
+)
+def _candidates_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    ids, canon, _ = _match_tables(spark, sf)
+    return candidate_list(ids, canon)[1]
 
 
 @register(
@@ -314,7 +326,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "scorecard_documents",
     """WITH k AS (SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE n_chars > 2000 UNION SELECT page_id FROM pages UNION SELECT item_id FROM benchmark)
-    SELECT k.doc_id, l.doc_id IS NOT NULL AS in_labels, l.quality AS labels_quality, l.toxic AS labels_toxic, d.doc_id IS NOT NULL AS in_long, d.lang AS long_lang, p.page_id IS NOT NULL AS in_pages, p.url AS pages_url,
+    SELECT k.doc_id, '' AS repeated_keys, l.doc_id IS NOT NULL AS in_labels, l.quality AS labels_quality, l.toxic AS labels_toxic, d.doc_id IS NOT NULL AS in_long, d.lang AS long_lang, p.page_id IS NOT NULL AS in_pages, p.url AS pages_url,
       b.item_id IS NOT NULL AS in_benchmark, length(b.text)::INT AS benchmark_n
     FROM k LEFT JOIN labels l ON l.doc_id = k.doc_id LEFT JOIN documents d ON d.doc_id = k.doc_id AND d.n_chars > 2000 LEFT JOIN pages p ON p.page_id = k.doc_id LEFT JOIN benchmark b ON b.item_id = k.doc_id""",
 )

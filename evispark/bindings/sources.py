@@ -161,11 +161,8 @@ def _fasta(spark: SparkSession, sf: str) -> DataFrame:
 def _fasta_lines(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").withColumn("s", _letters())
     path = scratch_path(spark, "by_lang")
-    out = None
-    for lang in ("de", "en", "es", "fr"):
-        write_fasta(d.filter(F.col("lang") == lang), f"{path}/{lang}", F.col("doc_id").cast("string"), "s")
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    lines = lines.withColumn("lang", F.regexp_extract("_metadata.file_path", r"/by_lang/(\w+)/", 1))
+    write_fasta(d, path, F.col("doc_id").cast("string"), "s", by="lang")
+    lines = spark.read.text(path)
     head = F.col("value").startswith(">")
     out = lines.groupBy("lang").agg(
         F.count_if(head).alias("headers"),

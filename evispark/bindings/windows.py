@@ -199,33 +199,39 @@ def _segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges from a document to the first document that holds one of its lines.
+    """Edges from a document to the first one of the same text and to the first ones that hold its lines.
 
-    Long lines only, each once per document. Coverage is the share of a document's line text that it
-    has from that first document. There is at most one edge per document and line.
+    Lines of any length, each once per document. Coverage is the share of a document's line text that it
+    has from that first document. There is at most one edge per document and line, and one per copy.
     """
+    whole = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("t")).filter("t IS NOT NULL")
+    firsts = whole.groupBy("t").agg(F.min("doc_id").alias("first_id"))
+    copies = whole.join(firsts, "t").filter("doc_id > first_id").select(
+        F.col("first_id").alias("genome_id_1"), F.col("doc_id").alias("genome_id_2"), F.lit(100.0).alias("identity_percent"), F.lit(100.0).alias("coverage_percent")
+    )
     d = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     lines = (
         d.select("doc_id", strip("line").alias("line"))
-        .filter(F.length("line") >= 40)
+        .filter(F.length("line") > 0)
         .select("doc_id", F.sha2("line", 256).alias("h"), F.length("line").alias("n"))
         .distinct()
     )
     first = lines.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("c")).filter("c > 1")
     total = lines.groupBy("doc_id").agg(F.sum("n").alias("total"))
     shared = lines.join(first, "h").filter("doc_id > first_id").groupBy("doc_id", "first_id").agg(F.sum("n").alias("shared"))
-    return shared.join(total, "doc_id").select(
+    by_line = shared.join(total, "doc_id").select(
         F.col("first_id").alias("genome_id_1"),
         F.col("doc_id").alias("genome_id_2"),
-        F.lit(100.0).alias("identity_percent"),
+        F.lit(100.0).alias("identity_percent"),  # shared lines are identical
         (100.0 * F.col("shared") / F.col("total")).alias("coverage_percent"),
     )
+    return by_line.join(copies, ["genome_id_1", "genome_id_2"], "left_anti").unionByName(copies)
 
 
-_NEAR = r"""ln AS (SELECT DISTINCT doc_id, sha256(l) AS h, length(l) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), E' \t\r') AS l FROM documents) WHERE length(l) >= 40),
+_NEAR = r"""ln AS (SELECT DISTINCT doc_id, sha256(l) AS h, length(l) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), E' \t\r') AS l FROM documents) WHERE length(l) > 0),
   fi AS (SELECT h, min(doc_id) AS f FROM ln GROUP BY 1 HAVING count(*) > 1), tt AS (SELECT doc_id, sum(n) AS total FROM ln GROUP BY 1),
   sh AS (SELECT ln.doc_id, f, sum(n) AS shared FROM ln JOIN fi USING (h) WHERE ln.doc_id > f GROUP BY 1, 2),
-  ed AS (SELECT f AS a, doc_id AS b FROM sh JOIN tt USING (doc_id) WHERE 100.0 * shared / total >= 60),
+  ed AS (SELECT f AS a, doc_id AS b FROM sh JOIN tt USING (doc_id) WHERE 100.0 * shared / total >= 60 UNION SELECT min(doc_id) OVER (PARTITION BY sha256(text)), doc_id FROM documents WHERE text IS NOT NULL),
   cc AS (WITH RECURSIVE r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.z FROM r JOIN (SELECT a AS w, b AS z FROM ed UNION ALL SELECT b, a FROM ed) e ON r.y = e.w) SELECT x AS doc_id, min(y) AS component FROM r GROUP BY 1)"""
 
 

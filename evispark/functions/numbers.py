@@ -9,9 +9,18 @@ from pyspark.sql import Column, functions as F
 from evispark.functions.missing import as_col, is_missing, null_if_missing, strip
 
 
+#: The texts that are numbers. Casts alone also take type suffixes such as the d of ``12d``.
+NUMBER_TEXT = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
+
+
+def number_in(c: Column) -> Column:
+    """The number a stripped text is, null for any other text."""
+    return F.when(c.rlike(NUMBER_TEXT), c.try_cast("double"))
+
+
 def to_double(c: Column | str) -> Column:
     """Lenient: null unless the text is a number."""
-    return null_if_missing(as_col(c).cast("string")).try_cast("double")
+    return number_in(strip(null_if_missing(as_col(c).cast("string"))))
 
 
 def finite(c: Column) -> Column:
@@ -40,7 +49,7 @@ def strict_number(
     Missing text gives neither. ``percent`` turns values above one into fractions;
     ``integer`` wants a whole number above zero.
     """
-    value = strip(c).try_cast("double")
+    value = number_in(strip(c))
     # Texts for "missing" are no numbers, so the number is parsed first, and once.
     problem = F.when(value.isNull(), F.when(~is_missing(c), "not_numeric")).when(
         F.isnan(value) | (F.abs(value) == float("inf")), "non_finite"
@@ -70,7 +79,7 @@ def fmt(c: Column | str, digits: int = 3, trim: bool = False) -> Column:
 
 def gc_from(c: Column | str) -> Column:
     bare = F.rtrim(strip(c), F.lit("%"))
-    number = bare.try_cast("double")
+    number = number_in(bare)
     return (
         F.when(is_missing(bare), "NA")
         .when(number.isNull(), bare)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evispark.functions.missing import is_informative, is_missing, null_if_missing, present, safe_value, text
 from evispark.functions.numbers import count_bin, evidence_state, fraction, score_bin, to_double, wilson
 from evispark.functions import rules as R
-from evispark.functions.text import matches, multiset_fingerprint
+from evispark.functions.text import matches
 from evispark.operators.windows import largest_group, positions
 
 PIECE_LIMIT = 100_000
@@ -81,14 +81,9 @@ def count_matrix_long(df: DataFrame, rows: Sequence[str], column: str) -> DataFr
     return df.groupBy(*rows, column).agg(F.count("*").alias("count"))
 
 
-def architecture(domains: DataFrame, gene: str = "annotation_gene_id", limit: int = PIECE_LIMIT) -> DataFrame:
-    """Per gene the domains in start order, their sources and the first hit.
-
-    ``domains``: ``domain_id, domain_name, start_aa (bigint), evidence_source``. A gene with
-    more domains than the limit has several pieces of its label list.
-    """
+def _domain_rows(domains: DataFrame, gene: str) -> DataFrame:
     start = F.coalesce("start_aa", F.lit(10**9)).cast("bigint")
-    rows = domains.select(
+    return domains.select(
         gene,
         start.alias("_start"),
         text("domain_name").alias("_name"),
@@ -96,7 +91,28 @@ def architecture(domains: DataFrame, gene: str = "annotation_gene_id", limit: in
         F.coalesce(F.nullif(text("domain_name"), F.lit("")), text("domain_id")).alias("_label"),
         "evidence_source",
     )
-    labels = packed_lists(rows, [gene], "_label", ["_start", "_name", "_domain"], limit)
+
+
+def architecture_labels(domains: DataFrame, gene: str = "annotation_gene_id") -> DataFrame:
+    """The domains of every gene as rows: start, name, id and label. This is the whole list, whatever its length."""
+    rows = _domain_rows(domains, gene)
+    return rows.select(gene, F.col("_start").alias("start_aa"), F.col("_name").alias("domain_name"), F.col("_domain").alias("domain_id"), F.col("_label").alias("label"))
+
+
+def architecture_text(domains: DataFrame, gene: str = "annotation_gene_id") -> DataFrame:
+    """One text per gene of its domain labels in start order, for sinks; a gene's text has to fit in a cell."""
+    item = F.struct("start_aa", "domain_name", "domain_id", "label")
+    listed = architecture_labels(domains, gene).groupBy(gene).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return listed.select(gene, F.array_join(F.transform("items", lambda x: x["label"]), "|").alias("domain_architecture"))
+
+
+def architecture(domains: DataFrame, gene: str = "annotation_gene_id") -> DataFrame:
+    """One row per gene: domain count, sources, and the first hit with its support.
+
+    ``domains``: ``domain_id, domain_name, start_aa (bigint), evidence_source``. The list of labels is
+    ``architecture_labels``, its text ``architecture_text``.
+    """
+    rows = _domain_rows(domains, gene)
     facts = rows.groupBy(gene).agg(
         F.count("*").alias("domain_count"),
         F.min_by(F.struct("_domain", "_name"), F.struct("_start", "_name", "_domain")).alias("_best"),
@@ -105,17 +121,11 @@ def architecture(domains: DataFrame, gene: str = "annotation_gene_id", limit: in
     sources = distinct_text(rows, [gene], "evidence_source", "domain_sources")
     support = F.when(F.col("_support"), "rbp_depolymerase_domain").otherwise("domain_present")
     best = F.trim(F.concat(F.col("_best._domain"), F.lit(":"), F.col("_best._name")), F.lit(":"))
-    return (
-        labels.join(facts, gene)
-        .join(sources, gene, "left")
-        .select(
-            gene,
-            "piece",
-            F.array_join("items", "|").alias("domain_architecture"),
-            "domain_count",
-            F.coalesce("domain_sources", F.lit("")).alias("domain_sources"),
-            F.concat(best, F.lit(" ("), support, F.lit(")")).alias("best_domain_hit"),
-        )
+    return facts.join(sources, gene, "left").select(
+        gene,
+        "domain_count",
+        F.coalesce("domain_sources", F.lit("")).alias("domain_sources"),
+        F.concat(best, F.lit(" ("), support, F.lit(")")).alias("best_domain_hit"),
     )
 
 
@@ -172,18 +182,19 @@ def receptor_support(hits: DataFrame, entity: str, item: str, score: str) -> Dat
     )
 
 
-def locus_support(items: DataFrame, entity: str, item: str, limit: int = PIECE_LIMIT) -> DataFrame:
-    """Item count and order-free fingerprint per entity.
+def locus_support(items: DataFrame, entity: str, item: str) -> DataFrame:
+    """Item count, its bin and an order-free fingerprint, one row per entity.
 
-    An entity up to the limit gets the digest of its sorted items; a larger one gets
-    one digest per sorted piece, so none is dropped.
+    The fingerprint is the SHA-256 of the number of items and four sums, joined by colons. A sum adds up, over the
+    items, 15 hexadecimal digits of the item's SHA-256: digits 1 to 15, 16 to 30, 31 to 45 and 46 to 60. Equal
+    multisets have equal fingerprints, and no list of items is ever built.
     """
-    return packed_lists(items, [entity], item, limit=limit).select(
-        entity,
-        "piece",
-        F.col("item_count").alias("locus_protein_count"),
-        count_bin("item_count").alias("locus_protein_count_bin"),
-        multiset_fingerprint("items").alias("locus_fingerprint_sha256"),
+    digest = F.sha2(F.coalesce(F.col(item).cast("string"), F.lit("")).cast("binary"), 256)
+    sums = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return items.groupBy(entity).agg(
+        F.count("*").alias("locus_protein_count"),
+        count_bin(F.count("*")).alias("locus_protein_count_bin"),
+        F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256).alias("locus_fingerprint_sha256"),
     )
 
 

@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evispark.functions.missing import is_missing, present, text
-from evispark.functions.numbers import is_integer_text
+from evispark.functions.numbers import is_integer_text, number_in
 from evispark.functions.text import note_value
+from evispark.operators.joins import last_rows
 
 # Words a phage record is recognised by.
 PHAGE_TERMS = ("phage", "bacteriophage", "virus", "caudoviricetes", "uroviricota")
@@ -62,7 +63,7 @@ def eligible(
     )
     if qc is None:
         return df.withColumn("sequence_qc_status", F.lit("not_provided")).withColumn("passes_sequence_qc", F.lit(None).cast("boolean"))
-    df = df.join(qc.select(key, "sequence_qc_status", "passes_sequence_qc"), key, "left")
+    df = df.join(last_rows(qc, key, ["sequence_qc_status", "passes_sequence_qc"]), key, "left")
     df = df.withColumn("sequence_qc_status", F.coalesce("sequence_qc_status", F.lit("not_provided")))
     if exclude_failed_qc:
         failed = ~F.col("sequence_qc_status").isin("", "no_sequence_provided", "not_provided") & ~F.coalesce(
@@ -93,7 +94,7 @@ def format_issues(df: DataFrame, row_number: str, lifestyles: Sequence[str] = ()
         ok = is_integer_text(shown("genome_length")) & (shown("genome_length").try_cast("bigint") > 0)
         checks.append(("genome_length", ok))
     if "gc_percent" in df.columns:
-        checks.append(("gc_percent", shown("gc_percent").try_cast("double").between(0, 100)))
+        checks.append(("gc_percent", number_in(shown("gc_percent")).between(0, 100)))
     if "phage_lifestyle" in df.columns and lifestyles:
         checks.append(("phage_lifestyle", F.lower(shown("phage_lifestyle")).isin(*lifestyles)))
     found = [

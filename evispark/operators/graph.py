@@ -10,7 +10,7 @@ from evispark.functions import rules as R
 from evispark.functions.missing import MISSING, is_missing, present
 from evispark.functions.numbers import to_double, to_int_or
 from evispark.operators.windows import first_per_key
-from evispark.session import cut_lineage
+from evispark.session import Scratch
 
 
 def score_edges(
@@ -87,16 +87,20 @@ def connected_components(
 
     Large-star and small-star steps alternate until nothing changes. Each round is
     written to the shared checkpoint folder, so lost executors cost one round at most.
-    Both steps reduce to one minimum per node before they join it back.
+    Both steps reduce to one minimum per node before they join it back. A round's table is removed when the next
+    one is written; the last one stays for the result. ``max_rounds`` is a guard that fails loudly: the rounds
+    needed grow with the logarithm of the number of nodes.
     """
-    e = cut_lineage(
+    rounds = Scratch(nodes.sparkSession)
+    e = rounds.table(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .filter(F.col("u") != F.col("v"))
         .distinct()
     )
     state = _state(e)
     for _ in range(max_rounds):
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = rounds.table(_small_star(_large_star(e)))
+        rounds.clear(keep=1)
         after = _state(e)
         if after == state:
             break

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from evispark.operators.windows import GROUP_LIMIT, largest_group, positions
+from evispark.operators.windows import GROUP_LIMIT, join_null_safe, largest_group, positions
 
 
 def merged_length(
@@ -37,7 +37,7 @@ def merged_length(
         tops = tops.withColumn("_carry", carry).drop("_top")
         local = F.max("_hi").over(_before([*keys, "_block"]))
         # greatest() skips nulls, so either side may be absent.
-        placed = blocks.withColumn("_local", local).join(tops, [*keys, "_block"]).withColumn(
+        placed = join_null_safe(blocks.withColumn("_local", local), tops, [*keys, "_block"]).withColumn(
             "_seen", F.greatest("_local", "_carry")
         )
     floor_ = F.greatest(F.col("_lo") - 1, F.col("_seen"))

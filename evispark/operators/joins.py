@@ -24,6 +24,19 @@ def lookup_left(df: DataFrame, dim: DataFrame, keys: Sequence[str] | str, order:
     return df.join(dim, keys, "left")
 
 
+def last_rows(dim: DataFrame, keys: Sequence[str] | str, columns: Sequence[str], order: str = "row_number") -> DataFrame:
+    """One row per key with the columns: the last one by ``order``.
+
+    A table without that column has no last row; there the largest row by its columns is taken, so reruns agree.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if order in dim.columns:
+        place = [F.col(order).desc_nulls_last(), *[F.col(c).desc() for c in columns]]
+    else:
+        place = [F.col(c).desc() for c in columns]
+    return first_per_key(dim, keys, place).select(*keys, *columns)
+
+
 def semi_with_report(df: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a known key, and one row with the number skipped."""
     ids = known.select(key).distinct()
@@ -257,17 +270,23 @@ def propose_matches(ids: DataFrame, canon: DataFrame, existing: DataFrame, updat
     )
 
 
-def candidate_list(ids: DataFrame, canon: DataFrame) -> DataFrame:
-    """All canonical ids whose folded name equals that of a source id, one per row."""
-    source = ids.select(F.col(ids.columns[0]).alias("source_id")).distinct().withColumn("_k", normalize_key("source_id"))
-    known = canon.select(F.col(canon.columns[0]).alias("candidate_id")).distinct()
-    return source.filter("_k != ''").join(known.withColumn("_k", normalize_key("candidate_id")), "_k").drop("_k")
+def candidate_list(ids: DataFrame, canon: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Source ids with their folded name and how many canonical ids share it, and the canonical ids by folded name.
+
+    A folded name with many ids on both sides would give all their pairs; the two tables say the same without them.
+    """
+    source = ids.select(F.col(ids.columns[0]).alias("source_id")).distinct().withColumn("folded", normalize_key("source_id"))
+    known = canon.select(F.col(canon.columns[0]).alias("candidate_id")).distinct().withColumn("folded", normalize_key("candidate_id"))
+    counts = known.filter("folded != ''").groupBy("folded").agg(F.count("*").alias("candidates"))
+    listed = known.join(source.filter("folded != ''").select("folded").distinct(), "folded", "left_semi")
+    return source.filter("folded != ''").join(counts, "folded").select("source_id", "folded", "candidates"), listed.select("folded", "candidate_id")
 
 
 def scorecard(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
     """One row per key over all tables, columns named ``<table>_<column>``, with presence flags.
 
-    All tables share one shuffle on the key: rows are stacked and each key takes the row it has in each table.
+    All tables share one shuffle on the key: rows are stacked and each key takes the row it has in each table. Of
+    rows that repeat a key in a table the smallest by its columns is taken, and ``repeated_keys`` names such tables.
     """
     stacked = None
     shapes = {}
@@ -276,9 +295,11 @@ def scorecard(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
         part = df.select(F.col(key), F.lit(name).alias("_table"), F.struct(*[F.col(c) for c in shapes[name]]).alias(f"_{name}"))
         stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
     grouped = stacked.groupBy(key).agg(
-        *[F.first(F.when(F.col("_table") == n, F.col(f"_{n}")), ignorenulls=True).alias(f"_{n}") for n in tables],
+        *[F.min(F.when(F.col("_table") == n, F.col(f"_{n}"))).alias(f"_{n}") for n in tables],
+        *[F.count_if(F.col("_table") == n).alias(f"_n_{n}") for n in tables],
     )
-    columns = [key]
+    many = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_n_{n}") > 1, F.lit(n)) for n in tables])), ";")
+    columns = [key, many.alias("repeated_keys")]
     for name in tables:
         columns.append(F.col(f"_{name}").isNotNull().alias(f"in_{name}"))
         columns += [F.col(f"_{name}.{c}").alias(f"{name}_{c}") for c in shapes[name]]
@@ -286,7 +307,7 @@ def scorecard(tables: Mapping[str, DataFrame], key: str) -> DataFrame:
 
 
 def metric_row(parts: Sequence[DataFrame]) -> DataFrame:
-    """Stack (metric, value) rows of several aggregates and turn them into one row."""
+    """Stack the (metric, value) rows of several aggregates."""
     stacked = parts[0]
     for p in parts[1:]:
         stacked = stacked.unionByName(p)

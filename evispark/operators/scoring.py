@@ -10,7 +10,7 @@ from evispark.functions import rules as R
 from evispark.functions.missing import is_missing, present, text
 from evispark.functions.numbers import to_int_or
 from evispark.functions.text import matches
-from evispark.operators.aggregates import PIECE_LIMIT, distinct_text, packed_lists
+from evispark.operators.aggregates import distinct_text
 from evispark.operators.joins import lookup_left
 from evispark.operators.windows import neighbor_context, ordinal_id
 
@@ -23,20 +23,24 @@ HIT_PATTERNS = {
 }
 
 
-def hit_evidence(hits: DataFrame, key: str, hit_id: str, hit_name: str, prefix: str, order: Sequence[str],
-                 limit: int = PIECE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Per gene the hit text and which patterns it holds; the full lists come as pieces."""
+def hit_rows(hits: DataFrame, key: str, hit_id: str, hit_name: str) -> DataFrame:
+    """The usable hits with their label, one row each: the whole list of every gene."""
     label = F.when(present(hit_id), F.concat(text(hit_id), F.lit(":"), text(hit_name))).otherwise(text(hit_name))
-    named = hits.filter(present(key) & (present(hit_id) | present(hit_name))).withColumn("_label", label)
-    pieces = packed_lists(named, [key], "_label", [*order, "_label"], limit).withColumn(
-        "hit_text", F.array_join("items", ";")
-    )
-    flags = pieces.groupBy(key).agg(
-        F.min_by("hit_text", "piece").alias(f"{prefix}_hit"),
-        F.sum("item_count").alias(f"{prefix}_hit_count"),
-        *[F.max(matches("hit_text", p)).alias(f"_{prefix}_{n}") for n, p in HIT_PATTERNS.items()],
+    return hits.filter(present(key) & (present(hit_id) | present(hit_name))).withColumn("_label", label)
+
+
+def hit_evidence(hits: DataFrame, key: str, hit_id: str, hit_name: str, prefix: str, order: Sequence[str]) -> DataFrame:
+    """One row per gene: the text of all its hits in order, their number, and which patterns one of them holds.
+
+    Flags are maxima over the hits. The text is a cell for sinks and holds every hit; ``hit_rows`` has them as rows.
+    """
+    item = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], "_label")
+    listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["_label"])
+    return hit_rows(hits, key, hit_id, hit_name).groupBy(key).agg(
+        F.array_join(listed, ";").alias(f"{prefix}_hit"),
+        F.count("*").alias(f"{prefix}_hit_count"),
+        *[F.max(matches("_label", p)).alias(f"_{prefix}_{n}") for n, p in HIT_PATTERNS.items()],
     )
-    return flags, pieces.select(key, "piece", "item_count", "hit_text")
 
 
 def sequence_evidence() -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evispark.functions import rules as R
 from evispark.functions.missing import MISSING, as_col, is_missing, present, strip, text
-from evispark.functions.numbers import is_integer_text, to_double
+from evispark.functions.numbers import is_integer_text, number_in, to_double
 from evispark.functions.sequences import base_composition, percent
 from evispark.functions.text import fold_vocab
 
@@ -48,7 +48,7 @@ def positive_int(name: str, severity: str = "error") -> Rule:
 
 
 def between(name: str, lo: float, hi: float, severity: str = "error") -> Rule:
-    number = strip(as_col(name).cast("string")).try_cast("double")
+    number = number_in(strip(as_col(name).cast("string")))
     ok = ~F.isnan(number) & (number >= lo) & (number <= hi)
     return Rule(
         severity, name, f"{name} must be between {lo:g} and {hi:g}", present(name, MISSING) & ~F.coalesce(ok, F.lit(False))
@@ -219,7 +219,7 @@ def _joined_missing(columns: Sequence[str]) -> Column:
 
 def _number(name: str) -> Column:
     """A plain number, null for text and for missing values; NaN never passes a bound."""
-    return F.when(present(name), strip(name).try_cast("double"))
+    return F.when(present(name), number_in(strip(name)))
 
 
 def with_known(df: DataFrame, column: str, known: DataFrame | None, out: str) -> DataFrame:

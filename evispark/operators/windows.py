@@ -24,6 +24,15 @@ def largest_group(df: DataFrame, part: Sequence[str]) -> int:
     return sizes.collect()[0]["n"] or 0
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys where null equals null; the keys of ``df`` stay."""
+    named = other.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_j{i}"))
+    return df.join(named, same).drop(*[f"_j{i}" for i in range(len(keys))])
+
+
 def positions(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "_pos") -> DataFrame:
     """Add the 0-based position of each row in its group; ``order`` must settle every tie.
 
@@ -58,6 +67,8 @@ def window_blocks(
     df: DataFrame, part: Sequence[str], order: Sequence[str], before: int, after: int, limit: int = GROUP_LIMIT
 ) -> DataFrame:
     """Add ``_block`` and ``_own``: windows over (part, _block) see the right neighbours of own rows."""
+    if limit < max(before, after):
+        raise ValueError(f"a block of {limit} rows cannot hold {max(before, after)} neighbours")
     if largest_group(df, part) <= limit:
         return df.withColumn("_block", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True))
     placed = positions(df, part, order)
@@ -239,6 +250,6 @@ def running_last(
     )
     w = Window.partitionBy(*part, "_block").orderBy(order).rowsBetween(*upto)
     local = placed.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_l_{c}") for c in columns])
-    return local.join(carried, [*part, "_block"]).select(
+    return join_null_safe(local, carried, [*part, "_block"]).select(
         *[c for c in df.columns], *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(prefix + c) for c in columns]
     )

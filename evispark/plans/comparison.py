@@ -13,7 +13,7 @@ from evispark.functions.text import split_values
 from evispark.operators.aggregates import (
     assay_breadth, assessed_features, breadth_summary, coverage_gate, features_by_entity, freq, group_rate,
 )
-from evispark.operators.joins import lookup_left
+from evispark.operators.joins import last_rows, lookup_left
 from evispark.operators.models import ablation, compare_feature_sets, sample_predictions, summarise_tests
 from evispark.operators.windows import top_k
 from evispark.session import cut_lineage
@@ -52,15 +52,15 @@ def build_samples(links: DataFrame, manifest: DataFrame, clusters: DataFrame, ca
         F.col("is_high_confidence"),
         "rbp_candidate_count",
     ).drop("evidence_state").withColumnRenamed("genome_id", "phage_genome_id")
-    about = manifest.select(
+    about = last_rows(manifest, "genome_id", ["source", "phage_lifestyle"]).select(
         F.col("genome_id").alias("phage_genome_id"), "source", source_group("source").alias("source_group"), "phage_lifestyle"
-    ).dropDuplicates(["phage_genome_id"])
-    sizes = clusters.select(F.col("genome_id").alias("phage_genome_id"), "cluster_size").dropDuplicates(["phage_genome_id"])
+    )
+    sizes = last_rows(clusters, "genome_id", ["cluster_size"]).withColumnRenamed("genome_id", "phage_genome_id")
     pair = ["phage_genome_id", "host_genome_id"]
-    facts = compat.select(
-        *pair, "host_defense_types", "host_defense_system_count", "phage_antidefense_targets", "phage_antidefense_count",
+    facts = last_rows(compat, pair, [
+        "host_defense_types", "host_defense_system_count", "phage_antidefense_targets", "phage_antidefense_count",
         "matched_counterdefense_count", "defense_metadata_available", "counterdefense_metadata_available", "compatibility_feature_status",
-    ).dropDuplicates(pair)
+    ])
     df = lookup_left(lookup_left(lookup_left(lookup_left(links, about, "phage_genome_id"), sizes, "phage_genome_id"), rbp, "phage_genome_id"), facts, pair)
 
     def n(c: str) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from evispark.functions import rules as R
 from evispark.functions.missing import is_missing, present, text
+from evispark.functions.numbers import to_int
 from evispark.functions.sequences import sequence_length
 from evispark.functions.text import classify, cluster_key, matches, tag_all
-from evispark.operators.aggregates import architecture, count_matrix_long, packed_lists, summarise_groups
-from evispark.operators.joins import lookup_left, semi_with_report
+from evispark.operators.aggregates import architecture, architecture_text, count_matrix_long, packed_lists, summarise_groups
+from evispark.operators.joins import last_rows, lookup_left, semi_with_report
 from evispark.operators.scoring import hit_evidence, module_clusters, novel_subset, score_candidates, with_context
 from evispark.operators.windows import disambiguate, ordinal_id
 from evispark.session import cut_lineage
@@ -44,8 +45,8 @@ def annotate(genes: DataFrame, manifest: DataFrame, clusters: DataFrame, order:
         "_cluster", cluster_key("phrog_id", "product", "protein_sequence", "annotation_gene_id", R.UNINFORMATIVE_PRODUCT)
     )
     dim = lookup_left(
-        clusters.select("genome_id", F.col("cluster_id").alias("species_cluster_id"), "representative_id"),
-        manifest.filter(present("genome_id")).select("genome_id", "record_type"),
+        last_rows(clusters, "genome_id", ["cluster_id", "representative_id"], order).withColumnRenamed("cluster_id", "species_cluster_id"),
+        last_rows(manifest.filter(present("genome_id")), "genome_id", ["record_type"], order),
         "genome_id",
     )
     kept = kept.withColumn("_words", words)
@@ -109,19 +110,19 @@ def find_candidates(
     key = "annotation_gene_id"
     d_flags = s_flags = None
     if domains is not None:
-        d_flags, _ = hit_evidence(domains, key, "domain_id", "domain_name", "domain", ["start_aa"])
+        d_flags = hit_evidence(domains, key, "domain_id", "domain_name", "domain", ["start_aa"])
     if structures is not None:
-        s_flags, _ = hit_evidence(structures, key, "structural_hit_id", "structural_hit_name", "structural", ["structural_hit_id"])
+        s_flags = hit_evidence(structures, key, "structural_hit_id", "structural_hit_name", "structural", ["structural_hit_id"])
     scored = cut_lineage(score_candidates(with_context(annotations), gene_clusters, d_flags, s_flags, thresholds=thresholds))
     late = 10**9
     for c in ("start", "end"):
-        scored = scored.withColumn(f"_{c}", F.coalesce(F.col(c).cast("string").try_cast("double").cast("bigint"), F.lit(late)))
+        scored = scored.withColumn(f"_{c}", F.coalesce(to_int(c), F.lit(late)))
     numbered = ordinal_id(scored, ["genome_id", "_start", "_end", key], "rbp_candidate_", 6, "candidate_id").drop("_start", "_end")
     candidates, modules = module_clusters(numbered)
     out = {"candidates": candidates, "modules": modules, "novel": novel_subset(candidates)}
     if domains is not None:
         out["architectures"] = candidates.select("candidate_id", key, "genome_id", "gene_id").join(
-            architecture(domains, key), key, "left"
+            architecture(domains, key).join(architecture_text(domains, key), key), key, "left"
         ).withColumn("domain_support", F.when(F.col("domain_count").isNull(), "absent").otherwise("present"))
     return out
 

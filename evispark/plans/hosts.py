@@ -8,7 +8,7 @@ from evispark.functions import rules as R
 from evispark.functions.missing import alias_coalesce, first_present, is_missing, null_if_missing, present, text
 from evispark.functions.text import classify, classify_pair, hash_id, note_value, parent_id, prefix_filter, split_values
 from evispark.operators.aggregates import packed_lists
-from evispark.operators.joins import compatibility, lookup_left, patch_merge, resolve_entities, union_prefer
+from evispark.operators.joins import compatibility, last_rows, lookup_left, patch_merge, resolve_entities, union_prefer
 from evispark.operators.windows import first_per_key, ordinal_id, running_last
 from evispark.session import cut_lineage
 
@@ -157,7 +157,7 @@ def integrate_hosts(
         hosts = patch_merge(hosts, rows, "host_genome_id", list(aliases), order, flag)
         hosts = hosts.withColumn("host_record_source", F.coalesce("host_record_source", F.lit(origin)))
     phages = manifest.filter(F.col("record_type").isin(*R.PHAGE_LIKE))
-    dim = host_rows.select(F.col("genome_id").alias("host_genome_id"), "host_species", "host_strain").dropDuplicates(["host_genome_id"])
+    dim = last_rows(host_rows, "genome_id", ["host_species", "host_strain"], order).withColumnRenamed("genome_id", "host_genome_id")
     hosts = cut_lineage(hosts)
     resolved = cut_lineage(resolve_entities(phages, dim, hosts.select("host_genome_id")))
     made = F.col("link_status") == "metadata_only_host_no_genome"
@@ -172,7 +172,7 @@ def integrate_hosts(
     ).withColumn("host_record_source", F.lit("phage_host_metadata"))
     shown = ["host_species", "host_strain", "K_type", "O_type", "ST"]
     running = running_last(made_rows, ["resolved_id"], order, [f"s_{c}" for c in shown], "run_")
-    cluster_ids = clusters.select("genome_id", F.col("cluster_id").alias("species_cluster_id"), "representative_id")
+    cluster_ids = last_rows(clusters, "genome_id", ["cluster_id", "representative_id"], order).withColumnRenamed("cluster_id", "species_cluster_id")
     common = ["genome_id", "record_type", "resolved_id", "link_status", "entity_label"]
     by_made = running.select(
         *common, *[F.coalesce(f"run_s_{c}", F.lit("")).alias(c) for c in shown], F.lit("").alias("AMR_markers"), F.lit("").alias("virulence_markers")

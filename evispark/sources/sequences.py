@@ -48,18 +48,17 @@ def fasta_problems(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_fasta(
-    df: DataFrame, path: str, header: Column | str, sequence: Column | str, width: int = 80, mode: str = "errorifexists"
+    df: DataFrame, path: str, header: Column | str, sequence: Column | str, width: int = 80, mode: str = "errorifexists",
+    by: str | None = None,
 ) -> None:
-    """Records with a sequence, wrapped at ``width`` letters; the files stay split."""
+    """Records with a sequence, wrapped at ``width`` letters; the files stay split, in a folder per value of ``by``."""
     header = F.col(header) if isinstance(header, str) else header
     sequence = F.col(sequence) if isinstance(sequence, str) else sequence
     wrapped = F.rtrim(F.regexp_replace(sequence, f"(.{{{width}}})", "$1\n"), F.lit("\n"))
-    (
-        df.filter(~is_missing(sequence))
-        .select(F.concat(F.lit(">"), F.translate(header, "\n", " "), F.lit("\n"), wrapped).alias("value"))
-        .write.mode(mode)
-        .text(path)
-    )
+    record = F.concat(F.lit(">"), F.translate(header, "\n", " "), F.lit("\n"), wrapped).alias("value")
+    rows = df.filter(~is_missing(sequence)).select(record, *([by] if by else []))
+    writer = rows.write.mode(mode)
+    (writer.partitionBy(by) if by else writer).text(path)
 
 
 def _qualifier(block: Column, key: str) -> Column:
