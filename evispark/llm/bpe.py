@@ -25,7 +25,7 @@ from evispark.llm.vocab import PIECE, Merges, Pieces, merges, shared_file, sprea
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States kept before the transducer is built anew; bounds memory, not what is encoded.
-MOST_STATES = 40_000
+MOST_STATES = 80_000
 BATCH_BYTES = 8 << 20
 
 
@@ -46,6 +46,7 @@ class Transducer:
                     size += 1
                 node = self.trie[key]
             self.token[node] = token
+        self.packed = {t: t.to_bytes(4, "little") for t in table.bytes}
         self.forget()
 
     def forget(self) -> None:
@@ -56,26 +57,29 @@ class Transducer:
         self.rests: dict[int, bytes] = {}
 
     def _move(self, state: int, byte: int) -> tuple[int, bytes]:
-        alive, ended = [], None
+        alive, ended, trie, tokens, fits = [], None, self.trie, self.token, self.table.fits
         for last, node, chain in self.states[state]:
-            node = self.trie.get(node << 8 | byte)
+            node = trie.get(node << 8 | byte)
             if node is None:
                 continue
             alive.append((last, node, chain))
-            token = self.token.get(node)
-            if token is not None and ended is None and (last is None or self.table.fits(last, token)):
+            token = tokens.get(node)
+            if token is not None and ended is None and (last is None or fits(last, token)):
                 ended = (token, 0, (*chain, token))
         alive.append(ended)
         shared = 0
-        while all(len(chain) > shared for _, _, chain in alive) and len({chain[shared] for _, _, chain in alive}) == 1:
+        least = min(alive[0][2], ended[2], key=len) if alive[0][2] else ()
+        while shared < len(least) and all(chain[shared : shared + 1] == least[shared : shared + 1] for _, _, chain in alive):
             shared += 1
-        said = ended[2][:shared]
-        key = tuple((last, node, chain[shared:]) for last, node, chain in alive)
+        said = b"".join(map(self.packed.__getitem__, ended[2][:shared]))
+        if shared:
+            alive = [(last, node, chain[shared:]) for last, node, chain in alive]
+        key = tuple(alive)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = (number, np.asarray(said, np.int32).tobytes())
+        move = self.moves[state << 8 | byte] = (number, said)
         return move
 
     def encode(self, piece: bytes) -> bytes:
@@ -89,7 +93,7 @@ class Transducer:
                 out.append(said)
         rest = self.rests.get(state)
         if rest is None:
-            rest = self.rests[state] = np.asarray(self.states[state][-1][2], np.int32).tobytes()
+            rest = self.rests[state] = b"".join(map(self.packed.__getitem__, self.states[state][-1][2]))
         out.append(rest)
         return b"".join(out)
 
@@ -97,8 +101,9 @@ class Transducer:
 class Encoder:
     def __init__(self, table: Merges):
         machine = Transducer(table)
-        self.first = Pieces(lambda run: b"".join(machine.encode(p.encode()) for p in PIECE.findall(run)))
-        self.later = Pieces(lambda run: b"".join(machine.encode(p.encode()) for p in PIECE.findall(" " + run)))
+        piece = Pieces(lambda p: machine.encode(p.encode())).__getitem__
+        self.first = Pieces(lambda run: b"".join(map(piece, PIECE.findall(run))))
+        self.later = Pieces(lambda run: b"".join(map(piece, PIECE.findall(" " + run))))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(spread(text, "\n", self.first, self.later)), np.int32)

@@ -45,8 +45,9 @@ class PrefixCounts:
                     size += 1
                 node = self.backward[key]
             self.token[node] = token
-        self.first = Pieces(lambda run: sum(self.piece(p.encode())[-1] for p in PIECE.findall(run)))
-        self.later = Pieces(lambda run: sum(self.piece(p.encode())[-1] for p in PIECE.findall(" " + run)))
+        whole = Pieces(lambda p: self.piece(p.encode())[-1]).__getitem__
+        self.first = Pieces(lambda run: sum(map(whole, PIECE.findall(run))))
+        self.later = Pieces(lambda run: sum(map(whole, PIECE.findall(" " + run))))
 
     def piece(self, data: bytes) -> list[int]:
         """Tokens of every prefix of a piece by its number of bytes, the empty one first."""

@@ -24,7 +24,7 @@ class Merges:
         self.bytes = tokens
         self.ids = {b: i for i, b in tokens.items()}
         self.longest = max(map(len, self.ids))
-        self.limits: dict[tuple[int, int], bool] = {}
+        self.limits: dict[int, bool] = {}
 
     def rank(self, token: int) -> int:
         """The rank of the merge that makes a token; -1 for single bytes."""
@@ -44,7 +44,7 @@ class Merges:
         merge earlier than what was undone, the encoder would have crossed the border. Equal ranks merge from
         the left, so a merge right of the border loses against one across it.
         """
-        known = self.limits.get((a, b))
+        known = self.limits.get(a << 20 | b)
         if known is not None:
             return known
         left, right, bound, ok = a, b, None, True
@@ -62,7 +62,7 @@ class Merges:
                 bound, right = self.rank(right) + 1, parts_right[0]
         if len(self.limits) > 1_000_000:
             self.limits.clear()
-        self.limits[a, b] = ok
+        self.limits[a << 20 | b] = ok
         return ok
 
 
@@ -140,16 +140,23 @@ def shared_file(spark: SparkSession, path: str, most: int = 64 << 20):
 
 
 class Pieces(dict):
-    """Remembers what a function makes of a piece of text, up to a number of pieces."""
+    """Remembers what a function makes of a piece of text, for about the last ``most`` to twice as many pieces.
 
-    def __init__(self, make, most: int = 200_000):
+    A full generation becomes the old one, and what is still asked for moves on from there, so common pieces stay.
+    """
+
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str):
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[piece] = self.make(piece)
+        self[piece] = value
         return value
 
 
