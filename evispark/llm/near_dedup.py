@@ -7,8 +7,8 @@ its earliest dart. Two documents agree in a coordinate with the probability of t
 cost is one cell per element plus a number of darts that does not depend on the document's length.
 
 Signatures are cut into bands; texts that share a band are candidates, and candidates are compared exactly. A band's
-texts are compared with the band's first text only; texts it is not similar to are compared with further ones in
-rounds, until every pair of a band is either compared or already linked through others. Links become classes.
+texts are compared with the band's first text; in bands that then hold several classes, texts are compared with those
+ever further away in rounds, until every pair of a band is either compared or already linked through others. Links become classes.
 """
 
 from __future__ import annotations
@@ -20,19 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from evispark.llm.scratch import Scratch, written
 from evispark.llm.ship import with_code
 from evispark.llm.words import mix, shingles, slices, text_bytes, word_hashes
 from evispark.operators.graph import connected_components
+from evispark.operators.windows import positions
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**5) ** 32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Texts of a band compared with the others in the first round after the stars; four times as many in each further one.
-FIRST_PLACES = 8
 SLICE_BYTES = 1 << 20
 EMPTY = np.uint64(np.iinfo(np.uint64).max)
 _CELL = np.uint64(0xA0761D6478BD642F)
@@ -185,29 +183,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.filter(F.col("both") / (F.col("sum") - F.col("both")) >= similarity).select("a", "b")
 
 
-def _places(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of the bands that hold several classes; those outside a band's largest class have places from zero.
+def _with_places(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts of the bands that hold several classes, with their places in the band from zero."""
+    known = members.join(labels, "node")
+    bands = known.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"))
+    inside = known.join(bands.filter("l < h AND n > 2").select("band"), "band").select("band", "node")
+    return positions(inside, ["band"], ["node"], "place").withColumn("place", F.col("place").cast("int"))
 
-    Two texts of different classes are not both in the largest one, so comparing each text that has a place with the
-    texts of later or no place leaves out no pair. Bands of one class are left out, and a large group of near
-    copies that meets a few strangers in a band is compared with those few only.
-    """
-    known = members.join(labels, "node").select("band", "node", "label")
-    classes = known.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed = classes.groupBy("band").agg(F.max_by("label", "n").alias("largest"), F.count("*").alias("n")).filter("n > 1")
-    known = known.join(mixed.select("band", "largest"), "band")
-    place = F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1
-    others = known.filter("label != largest").select("band", "node", place.alias("place"))
-    return others.unionByName(known.filter("label = largest").select("band", "node", F.lit(None).cast("int").alias("place")))
 
-
-def _later_pairs(placed: DataFrame, labels: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs of a band that are in different classes so far and whose first text has a place from low to below high."""
+def _mixed(placed: DataFrame, labels: DataFrame, low: int) -> DataFrame:
+    """The texts of the bands that hold several classes and two texts ``low`` or more places apart, with their labels."""
     known = placed.join(labels, "node")
-    a = known.filter((F.col("place") >= low) & (F.col("place") < high))
-    a = a.select("band", F.col("node").alias("a"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    b = known.select("band", F.col("node").alias("b"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-    return a.join(b, "band").filter("la != lb AND (pb IS NULL OR pb > pa)").select("a", "b").distinct()
+    bands = known.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("place").alias("last"))
+    return known.join(bands.filter((F.col("l") < F.col("h")) & (F.col("last") >= low)).select("band", "last"), "band")
+
+
+def _pairs_apart(known: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs of a band in different classes whose places are from ``low`` to below ``high`` apart.
+
+    Two texts of different classes are not both in the largest class of their band, so it is enough to look up the
+    places around each text of the others. A group of near copies is settled by its first few neighbours; a large
+    class is never paired within itself, and what it has in common with a few strangers is compared with those only.
+    """
+    classes = known.groupBy("band", "label").agg(F.count("*").alias("n"))
+    largest = classes.groupBy("band").agg(F.max_by("label", "n").alias("largest"))
+    others = known.join(largest, "band").filter("label != largest")
+    apart = F.explode(F.concat(F.sequence(F.lit(low), F.lit(high - 1)), F.sequence(F.lit(-low), F.lit(1 - high))))
+    a = others.select("band", F.col("node").alias("a"), F.col("label").alias("la"), "last", (F.col("place") + apart).alias("place"))
+    b = known.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), "place")
+    pairs = a.filter("place BETWEEN 0 AND last").join(b, ["band", "place"]).filter("la != lb")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -249,12 +254,13 @@ def near_duplicates(
         links = scratch.table(_verified(first, sets, similarity))
         labels = connected_components(nodes, links, "node", "a", "b").select("node", F.col("component").alias("label"))
         labels = scratch.table(labels)
-        placed = scratch.table(_places(members, labels))
-        last = placed.agg(F.max("place").alias("p")).first()["p"]
-        low, high = 0, FIRST_PLACES
-        while last is not None and low <= last:
-            pairs = scratch.table(_later_pairs(placed, labels, low, high))
-            links = scratch.table(_verified(pairs, sets, similarity))
+        placed = scratch.table(_with_places(members, labels))
+        low, high = 1, 2
+        while True:
+            known = scratch.table(_mixed(placed, labels, low))
+            if known.isEmpty():
+                break
+            links = scratch.table(_verified(_pairs_apart(known, low, high), sets, similarity))
             if not links.isEmpty():
                 labels = scratch.table(_merged(labels, links))
             low, high = high, 4 * high
