@@ -209,7 +209,8 @@ def _pairs_apart(known: DataFrame, low: int, high: int) -> DataFrame:
     largest = classes.groupBy("band").agg(F.max_by("label", "n").alias("largest"))
     others = known.join(largest, "band").filter("label != largest")
     apart = F.explode(F.concat(F.sequence(F.lit(low), F.lit(high - 1)), F.sequence(F.lit(-low), F.lit(1 - high))))
-    a = others.select("band", F.col("node").alias("a"), F.col("label").alias("la"), "last", (F.col("place") + apart).alias("place"))
+    a = others.select("band", F.col("node").alias("a"), F.col("label").alias("la"), "last", "place", apart.alias("apart"))
+    a = a.withColumn("place", F.col("place") + F.col("apart"))
     b = known.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), "place")
     pairs = a.filter("place BETWEEN 0 AND last").join(b, ["band", "place"]).filter("la != lb")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

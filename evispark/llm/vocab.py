@@ -145,7 +145,7 @@ class Pieces(dict):
     A full generation becomes the old one, and what is still asked for moves on from there, so common pieces stay.
     """
 
-    def __init__(self, make, most: int = 150_000):
+    def __init__(self, make, most: int = 250_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
