@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from evispark.operators.aggregates import packed_lists
+from evispark.functions.numbers import strict_number, to_double
+from evispark.operators.aggregates import architecture, architecture_labels, architecture_text, locus_support, packed_lists
+from evispark.operators.gates import eligible
 from evispark.operators.graph import connected_components
 from evispark.operators.intervals import merged_length
+from evispark.operators.joins import last_rows
+from evispark.operators.scoring import hit_evidence
 from evispark.operators.windows import group_counter, neighbor_context, ordinal_id, positions, previous_value, running_last
 
 
@@ -101,3 +106,48 @@ def test_components_against_union_find(spark):
     assert {r.id: r.component for r in got.collect()} == components(nodes, edges)
     alone = connected_components(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([], "src string, dst string"))
     assert alone.first().component == "a"
+
+
+def test_null_keys_stay_above_the_limit(spark):
+    df = skewed(spark).withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    spans = df.select("k", (F.col("i") * 7 % 300).alias("s"), (F.col("i") * 7 % 300 + F.col("i") % 9).alias("e"))
+    want_length = rows(merged_length(spans, ["k"], "s", "e"), "k", "merged_length")
+    want_running = rows(running_last(df, ["k"], "i", ["v"]), "i", "running_v")
+    assert any(k is None for k, _ in want_length)
+    for limit in (2, 3, 7):
+        assert rows(merged_length(spans, ["k"], "s", "e", limit=limit), "k", "merged_length") == want_length
+        assert rows(running_last(df, ["k"], "i", ["v"], limit=limit), "i", "running_v") == want_running
+
+
+def test_blocks_smaller_than_the_neighbourhood_are_refused(spark):
+    with pytest.raises(ValueError):
+        neighbor_context(skewed(spark), "k", ["i"], F.col("name"), F.col("name"), "x", k=3, limit=2)
+
+
+def test_entities_have_one_row_of_facts(spark):
+    items = spark.createDataFrame([(1, x) for x in "aabcdefg"] + [(2, x) for x in "gfedcbaa"] + [(None, "a"), (3, "a")], "k int, item string")
+    got = {r.k: r for r in locus_support(items, "k", "item").collect()}
+    assert {k: (r.locus_protein_count, r.locus_protein_count_bin) for k, r in got.items()} == {1: (8, "2plus"), 2: (8, "2plus"), None: (1, "1"), 3: (1, "1")}
+    assert got[1].locus_fingerprint_sha256 == got[2].locus_fingerprint_sha256 != got[3].locus_fingerprint_sha256
+    domains = spark.createDataFrame([("g", f"d{i}", f"n{i}", i, "t") for i in range(30)], "annotation_gene_id string, domain_id string, domain_name string, start_aa int, evidence_source string")
+    assert architecture(domains).count() == 1 and architecture_labels(domains).count() == 30
+    assert architecture_text(domains).first().domain_architecture == "|".join(f"n{i}" for i in range(30))
+    hits = hit_evidence(domains, "annotation_gene_id", "domain_id", "domain_name", "domain", ["start_aa"]).first()
+    assert hits.domain_hit_count == 30 and hits.domain_hit.count(";") == 29
+
+
+def test_repeated_lookup_rows_do_not_multiply(spark):
+    dim = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 1)], "id string, v string, row_number int")
+    assert {tuple(r) for r in last_rows(dim, "id", ["v"]).collect()} == {("a", "y"), ("b", "z")}
+    assert {tuple(r) for r in last_rows(dim.drop("row_number"), "id", ["v"]).collect()} == {("a", "y"), ("b", "z")}
+    manifest = spark.createDataFrame([("a", "phage", "pass")], "genome_id string, record_type string, validation_status string")
+    qc = spark.createDataFrame([("a", "bad", False, 1), ("a", "good", True, 2)], "genome_id string, sequence_qc_status string, passes_sequence_qc boolean, row_number int")
+    assert [r.sequence_qc_status for r in eligible(manifest, qc, ["phage"]).collect()] == ["good"]
+
+
+def test_numbers_with_type_suffixes_are_no_numbers(spark):
+    texts = ["12", "12d", "3f", " 1.5e3 ", ".5", "5.", "0x1", "nan", "inf", "", None, "1 2", "+7"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_double("t").alias("n"), strict_number("t")["problem"].alias("p"))
+    got = {r.t: (None if r.n is None or r.n != r.n or r.n == float("inf") else r.n, r.p) for r in df.collect()}
+    assert {t: n for t, (n, _) in got.items()} == {t: {"12": 12.0, " 1.5e3 ": 1500.0, ".5": 0.5, "5.": 5.0, "+7": 7.0}.get(t) for t in texts}
+    assert got["12d"][1] == got["3f"][1] == got["0x1"][1] == "not_numeric" and got["nan"][1] == got["inf"][1] == "non_finite"
