@@ -10,7 +10,7 @@ from evispark.functions.missing import (
     MISSING, alias_coalesce, fill_defaults, is_informative, is_missing, null_if_missing, safe_value,
 )
 from evispark.functions.numbers import (
-    count_bin, evidence_state, fmt, gc_from, score_bin, size_bin, strict_number, to_double, to_int, to_int_or, wilson, year_from,
+    count_bin, evidence_state, finite, fmt, gc_from, score_bin, size_bin, strict_number, to_double, to_int, to_int_or, wilson, year_from,
 )
 from evispark.functions.sequences import base_composition, sequence_length
 from evispark.functions.text import (
@@ -133,16 +133,17 @@ def _fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", multiset_fingerprint(words).alias("fingerprint"))
 
 
-NUMBER_TEXTS = ["12", "7.9", "abc", "-3.2", "NA", "1e3", ""]
+NUMBER_TEXTS = ["12", "7.9", "abc", "-3.2", "NA", "1e3", "", "12d", "3f", "0x1", "nan", "inf", "5."]
 
 
 @register(
     "number_parsing_lineitem",
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n AS as_double, trunc(n)::BIGINT AS as_int, coalesce(trunc(n)::BIGINT, 0) AS int_or_zero,
-      CASE WHEN n > 0 AND n = floor(n) THEN n END AS positive_whole,
-      CASE WHEN t IN {MISS} THEN NULL WHEN n IS NULL THEN 'not_numeric' WHEN n <> floor(n) THEN 'not_integer' WHEN n <= 0 THEN 'not_positive' END AS whole_problem,
-      CASE WHEN n BETWEEN 0 AND 100 THEN CASE WHEN n > 1 THEN n / 100 ELSE n END END AS share,
-      CASE WHEN t IN {MISS} THEN NULL WHEN n IS NULL THEN 'not_numeric' WHEN n < 0 THEN 'below_minimum' WHEN n > 100 THEN 'above_maximum' END AS share_problem
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN isfinite(n) THEN n END AS as_double, isfinite(n) AS is_finite, CASE WHEN isfinite(n) THEN trunc(n)::BIGINT END AS as_int,
+      CASE WHEN isfinite(n) THEN trunc(n)::BIGINT ELSE 0 END AS int_or_zero,
+      CASE WHEN isfinite(n) AND n > 0 AND n = floor(n) THEN n END AS positive_whole,
+      CASE WHEN t IN {MISS} THEN NULL WHEN n IS NULL THEN 'not_numeric' WHEN NOT isfinite(n) THEN 'non_finite' WHEN n <> floor(n) THEN 'not_integer' WHEN n <= 0 THEN 'not_positive' END AS whole_problem,
+      CASE WHEN isfinite(n) AND n BETWEEN 0 AND 100 THEN CASE WHEN n > 1 THEN n / 100 ELSE n END END AS share,
+      CASE WHEN t IN {MISS} THEN NULL WHEN n IS NULL THEN 'not_numeric' WHEN NOT isfinite(n) THEN 'non_finite' WHEN n < 0 THEN 'below_minimum' WHEN n > 100 THEN 'above_maximum' END AS share_problem
     FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, t, TRY_CAST(CASE WHEN t NOT IN {MISS} THEN t END AS DOUBLE) AS n
       FROM (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN {sql_pick(NUMBER_TEXTS, 'l_partkey')} ELSE l_quantity::INT::VARCHAR END AS t FROM lineitem))""",
 )
@@ -155,7 +156,8 @@ def _numbers(spark: SparkSession, sf: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
-        to_double("t").alias("as_double"),
+        F.when(finite(to_double("t")), to_double("t")).alias("as_double"),
+        F.when(to_double("t").isNotNull(), finite(to_double("t"))).alias("is_finite"),
         to_int("t").alias("as_int"),
         to_int_or("t", 0).alias("int_or_zero"),
         whole["value"].alias("positive_whole"),

@@ -10,7 +10,6 @@ from evispark.functions.missing import is_missing, text
 # Review words and the statuses they allow.
 FILE_REVIEWED = ("reviewed", "accepted", "approved")
 FILE_STATUSES = ("reviewed", "accepted", "approved", "pending_checksum", "pending_retrieval", "manual_review_required")
-BINARY_LIMIT = 2**31 - 1
 
 
 def _fs(spark: SparkSession, path: str):
@@ -55,21 +54,44 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def file_digests(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """Size, MD5 and SHA-256 of the wanted files (``path``); digests stay null above 2 GiB.
+def file_digests(spark: SparkSession, root: str, wanted: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """Size, MD5 and SHA-256 of the wanted files (``path`` below ``root``) that exist.
 
-    The size filter reaches the scan, so a file too large for one value is never opened.
+    The work starts from the paths: only they are opened, wherever the store is, and read in chunks, so a file of
+    any size takes the same memory. Spark deals the paths out. A path that names no file has no row; one that
+    cannot be read has null digests.
     """
-    opened = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .filter(F.col("length") <= BINARY_LIMIT)
-        .withColumn("path", _relative(F.col("path"), root))
-        .join(wanted, "path", "left_semi")
-        .select("path", F.md5("content").alias("observed_md5"), F.sha2("content", 256).alias("observed_sha256"))
-    )
-    return list_files(spark, root).join(wanted, "path", "left_semi").join(opened, "path", "left")
+
+    def digests(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs as stores
+
+        base = root if "://" in root or root.startswith("file:") else f"file://{root}"
+        store, folder = stores.FileSystem.from_uri(base.replace("file:/", "file:///", 1) if base.startswith("file:/") and not base.startswith("file://") else base)
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                info = store.get_file_info(f"{folder.rstrip('/')}/{path}")
+                if info.type != stores.FileType.File:
+                    continue
+                md5, sha = hashlib.md5(), hashlib.sha256()
+                try:
+                    with store.open_input_stream(info.path) as file:
+                        while part := file.read(chunk):
+                            md5.update(part)
+                            sha.update(part)
+                    rows.append((path, info.size, md5.hexdigest(), sha.hexdigest()))
+                except OSError:
+                    rows.append((path, info.size, None, None))
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
+            names = ["path", "observed_size", "observed_md5", "observed_sha256"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    paths = wanted.select("path").filter("path IS NOT NULL AND path != ''").distinct()
+    return paths.mapInArrow(digests, "path string, observed_size long, observed_md5 string, observed_sha256 string")
 
 
 def verify_files(spark: SparkSession, manifest: DataFrame, root: str, prefix: str = "") -> DataFrame:

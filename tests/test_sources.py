@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from evispark.sources.delimited import read_delimited, read_domtblout, read_json_map, read_optional, read_records, resolve_headers
+from evispark.sources.files import file_digests
 from evispark.sources.sequences import extract_cds, fasta_problems, read_fasta
 from evispark.sources.sinks import commit_tables, shape, write_delimited
 
@@ -129,3 +131,17 @@ def test_commit_is_all_or_nothing(spark, tmp_path):
     with pytest.raises(ValueError):
         commit_tables({good: one, good + "/": one})
     assert sorted(p.name for p in tmp_path.iterdir()) == ["good", "other"]
+
+
+def test_only_named_files_are_opened(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_bytes(b"abc" * 1000)
+    hidden = tmp_path / "a" / "unnamed.txt"
+    hidden.write_bytes(b"zzz")
+    hidden.chmod(0)
+    wanted = spark.createDataFrame([("a/x.txt",), ("a/x.txt",), ("a/none.txt",), (None,)], "path string")
+    plan = file_digests(spark, str(tmp_path), wanted)
+    assert "binaryFile" not in plan._jdf.queryExecution().toString()
+    rows = plan.collect()
+    assert [(r.path, r.observed_size, r.observed_sha256) for r in rows] == [("a/x.txt", 3000, hashlib.sha256(b"abc" * 1000).hexdigest())]
+    assert file_digests(spark, f"file://{tmp_path}", wanted, chunk=7).first().observed_md5 == hashlib.md5(b"abc" * 1000).hexdigest()
