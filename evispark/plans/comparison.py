@@ -229,8 +229,13 @@ def module_links(links: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def novelty_table(novel: DataFrame, links: DataFrame, importance: DataFrame, k: int = 20) -> DataFrame:
-    """Novel candidates with their host types, and the first feature signals."""
-    types = links.groupBy(F.col("phage_genome_id").alias("genome_id")).agg(F.max(F.struct("host_genome_id", "K_type", "O_type")).alias("l"))
+    """Novel candidates with the types of their last link, and the first feature signals.
+
+    The last link is the one of the largest ``link_order``, or of the largest host id where links have no order.
+    ``k`` makes the short list of the figure; the whole table of signals is ``importance``.
+    """
+    last = F.max_by(F.struct("K_type", "O_type"), F.struct(*[c for c in ("link_order", "host_genome_id") if c in links.columns]))
+    types = links.groupBy(F.col("phage_genome_id").alias("genome_id")).agg(last.alias("l"))
     ranked = novel.join(types, "genome_id", "left").select(
         F.lit("novel_rbp_candidate").alias("priority_type"),
         F.col("candidate_id").alias("item_id"),
@@ -238,6 +243,7 @@ def novelty_table(novel: DataFrame, links: DataFrame, importance: DataFrame, k:
         F.coalesce("l.K_type", F.lit("")).alias("K_type"),
         F.coalesce("l.O_type", F.lit("")).alias("O_type"),
         F.col("confidence_score").cast("double").alias("score"),
+        text("novelty_rationale").alias("rationale") if "novelty_rationale" in novel.columns else F.lit("").alias("rationale"),
     )
     signals = top_k(importance, ["feature_set", "feature"], k).select(
         F.lit("model_feature_signal").alias("priority_type"),
@@ -246,6 +252,7 @@ def novelty_table(novel: DataFrame, links: DataFrame, importance: DataFrame, k:
         F.lit("").alias("K_type"),
         F.lit("").alias("O_type"),
         F.col("delta_accuracy").alias("score"),
+        F.col("feature_set").alias("rationale"),
     )
     return ranked.unionByName(signals)
 

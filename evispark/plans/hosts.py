@@ -20,7 +20,10 @@ SAMPLE_ID = [
 RESISTANCE_TYPING = {
     "host_species": ["species", "Species", "species_match", "species_complex", "Kleborate species"],
     "species_match": ["species_match", "species_match_confidence", "species", "Species"],
+    "mlst_scheme": ["mlst_scheme", "MLST scheme", "scheme"],
     "ST": ["ST", "st", "MLST", "sequence_type", "Sequence type"],
+    "virulence_score": ["virulence_score", "virulence score", "virulence", "virulence_score_Kp"],
+    "resistance_score": ["resistance_score", "resistance score", "resistance"],
     "AMR_markers": ["AMR_markers", "AMR", "acquired_AMR_genes", "resistance_genes", "resistance_gene_count", "Resistance genes"],
     "virulence_markers": ["virulence_markers", "virulence_genes", "Virulence genes"],
     "ybt": ["ybt", "YbST", "yersiniabactin"],
@@ -32,9 +35,16 @@ RESISTANCE_TYPING = {
 SURFACE_TYPING = {
     "K_locus": ["K_locus", "K locus", "K_locus_best_match", "Best match locus", "Kaptive_K_locus"],
     "K_type": ["K_type", "K type", "K_locus_type", "Kaptive_K_type", "K"],
+    "K_confidence": ["K_confidence", "K confidence", "K_locus_confidence", "Confidence", "Kaptive_K_confidence"],
     "O_locus": ["O_locus", "O locus", "O_locus_best_match", "O_best_match_locus", "Kaptive_O_locus"],
     "O_type": ["O_type", "O type", "O_locus_type", "Kaptive_O_type", "O"],
+    "O_confidence": ["O_confidence", "O confidence", "O_locus_confidence", "Kaptive_O_confidence"],
 }
+#: Columns a host has from typing alone.
+TYPED_ONLY = (
+    "K_locus", "K_confidence", "O_locus", "O_confidence", "mlst_scheme", "virulence_score", "resistance_score",
+    "ybt", "iuc", "iro", "rmpA", "rmpA2",
+)
 HOST_ID = ["host_genome_id", "genome_id", "sample", "Sample", "sample_id", "assembly", "host", "isolate", "Isolate"]
 PHAGE_ID = ["phage_genome_id", "genome_id", "sample", "Sample", "phage_id", "contig_id", "isolate"]
 HOST_DEFENSE = {
@@ -142,7 +152,7 @@ def integrate_hosts(
         F.col("genome_id").alias("host_genome_id"),
         *base_columns,
         F.col("host_species").alias("species_match"),
-        *[F.lit("").alias(c) for c in ("K_locus", "O_locus", "ybt", "iuc", "iro", "rmpA", "rmpA2")],
+        *[F.lit("").alias(c) for c in TYPED_ONLY],
         F.lit("manifest_host_record").alias("host_record_source"),
     )
     hosts = base
@@ -166,6 +176,7 @@ def integrate_hosts(
         **{c: text(c) for c in ("host_strain", "country", "year", "K_type", "O_type", "ST")},
     }
     state = resolved.select("*", *[null_if_missing(v).alias(f"s_{c}") for c, v in patched.items()])
+    state = state.withColumn("link_order", F.col(order))
     made_rows = state.filter(made)
     final = made_rows.groupBy(F.col("resolved_id").alias("host_genome_id")).agg(
         *[F.max_by(f"s_{c}", F.when(F.col(f"s_{c}").isNotNull(), F.col(order))).alias(c) for c in patched]
@@ -173,7 +184,7 @@ def integrate_hosts(
     shown = ["host_species", "host_strain", "K_type", "O_type", "ST"]
     running = running_last(made_rows, ["resolved_id"], order, [f"s_{c}" for c in shown], "run_")
     cluster_ids = last_rows(clusters, "genome_id", ["cluster_id", "representative_id"], order).withColumnRenamed("cluster_id", "species_cluster_id")
-    common = ["genome_id", "record_type", "resolved_id", "link_status", "entity_label"]
+    common = ["genome_id", "record_type", "resolved_id", "link_status", "entity_label", "link_order"]
     by_made = running.select(
         *common, *[F.coalesce(f"run_s_{c}", F.lit("")).alias(c) for c in shown], F.lit("").alias("AMR_markers"), F.lit("").alias("virulence_markers")
     )

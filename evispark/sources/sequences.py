@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from evispark.functions.missing import is_missing, strip
 from evispark.functions.rules import CDS_RULES
@@ -110,20 +111,34 @@ def extract_cds(spark: SparkSession, path: str, regions: DataFrame | None = None
         translation.alias("protein_sequence"),
         F.when(translation != "", F.length(translation)).alias("protein_length_aa"),
     )
-    cds = cds.withColumn("functional_category", classify_terms("product", CDS_RULES, "other")).withColumn(
-        "gene_id",
-        F.coalesce("gene_id", F.concat("contig_id", F.lit("_cds_"), F.lpad(F.col("cds_no").cast("string"), 5, "0"))),
-    )
-    return clip_to_regions(cds, regions, "contig_id") if regions is not None else cds
+    cds = cds.withColumn("functional_category", classify_terms("product", CDS_RULES, "other"))
+    if regions is None:
+        number = F.col("cds_no")
+    else:  # fallback names count the features of the window
+        cds = clip_to_regions(cds, regions, "contig_id", "_window")
+        number = F.row_number().over(Window.partitionBy("path", "contig_id", "_window").orderBy("cds_no"))
+    fallback = F.concat("contig_id", F.lit("_cds_"), F.lpad(number.cast("string"), 5, "0"))
+    return cds.withColumn("_fallback", fallback).withColumn("gene_id", F.coalesce("gene_id", "_fallback")).drop("_fallback", "_window")
+
 
+def clip_to_regions(df: DataFrame, regions: DataFrame, key: str, window: str | None = None, bin_size: int = 1 << 16) -> DataFrame:
+    """Keep intervals that overlap their window and rebase them to its start.
 
-def clip_to_regions(df: DataFrame, regions: DataFrame, key: str) -> DataFrame:
-    """Keep intervals that overlap their window and rebase them to its start."""
-    overlapping = df.join(regions, key).filter(
-        (F.col("end") >= F.col("region_start")) & (F.col("start") <= F.col("region_end"))
+    Intervals and windows meet in bins of coordinates, not all of a contig's with all of its windows; a pair is kept
+    in the first bin both are in. ``window`` names a column for the bounds of the window.
+    """
+    bins = lambda a, b: F.sequence(F.floor(F.col(a) / bin_size), F.floor(F.col(b) / bin_size))
+    left = df.filter("start IS NOT NULL AND `end` >= start").withColumn("_bin", F.explode(bins("start", "end")))
+    right = regions.filter("region_end >= region_start").withColumn("_bin", F.explode(bins("region_start", "region_end")))
+    overlapping = left.join(right, [key, "_bin"]).filter(
+        (F.col("end") >= F.col("region_start"))
+        & (F.col("start") <= F.col("region_end"))
+        & (F.col("_bin") == F.floor(F.greatest("start", "region_start") / bin_size))
     )
+    if window:
+        overlapping = overlapping.withColumn(window, F.struct("region_start", "region_end"))
     return (
         overlapping.withColumn("start", F.greatest("start", "region_start") - F.col("region_start") + 1)
         .withColumn("end", F.least("end", "region_end") - F.col("region_start") + 1)
-        .drop("region_start", "region_end")
+        .drop("region_start", "region_end", "_bin")
     )

@@ -145,3 +145,12 @@ def test_only_named_files_are_opened(spark, tmp_path):
     rows = plan.collect()
     assert [(r.path, r.observed_size, r.observed_sha256) for r in rows] == [("a/x.txt", 3000, hashlib.sha256(b"abc" * 1000).hexdigest())]
     assert file_digests(spark, f"file://{tmp_path}", wanted, chunk=7).first().observed_md5 == hashlib.md5(b"abc" * 1000).hexdigest()
+
+
+def test_fallback_gene_numbers_count_the_window(spark, tmp_path):
+    cds = "".join(f"     CDS             {a}..{a + 50}\n" for a in (100, 70_000, 140_000))
+    (tmp_path / "y.gb").write_text(f"LOCUS       Y\nVERSION     Y1\nFEATURES             Location/Qualifiers\n{cds}ORIGIN\n//\n")
+    windows = spark.createDataFrame([("Y1", 60_000, 200_000), ("Y1", 139_000, 141_000)], "contig_id string, region_start int, region_end int")
+    rows = extract_cds(spark, str(tmp_path / "y.gb"), windows).collect()
+    assert sorted((r.gene_id, r.start) for r in rows) == [("Y1_cds_00001", 1001), ("Y1_cds_00001", 10_001), ("Y1_cds_00002", 80_001)]
+    assert sorted(r.gene_id for r in extract_cds(spark, str(tmp_path / "y.gb")).collect()) == [f"Y1_cds_0000{i}" for i in (1, 2, 3)]
