@@ -257,9 +257,20 @@ def _dereplicate(spark: SparkSession, sf: str) -> DataFrame:
     return best.join(numbered, "component").select("cluster_id", F.col("doc_id").alias("representative_id"), "lang", "n_chars", "cluster_size")
 
 
-@register("similarity_components_parts")
+@register(
+    "similarity_components_parts",
+    f"""WITH RECURSIVE nd AS (SELECT 'P' || p_partkey AS id FROM part WHERE p_size > 5 UNION ALL SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 0),
+    ed AS (SELECT DISTINCT 'P' || l_partkey AS p, 'S' || l_suppkey AS s FROM lineitem WHERE l_tax <> 0.08 AND round(100 - l_discount * 100, 3) >= {R.SPECIES_IDENTITY_PERCENT}
+      AND l_quantity * 2 >= {R.SPECIES_COVERAGE_PERCENT} AND 'P' || l_partkey IN (SELECT id FROM nd) AND 'S' || l_suppkey IN (SELECT id FROM nd)),
+    near AS (SELECT DISTINCT a.s AS x, b.s AS y FROM ed a JOIN ed b USING (p)),
+    r(x, y) AS (SELECT DISTINCT s, s FROM ed UNION SELECT r.x, near.y FROM r JOIN near ON r.y = near.x),
+    sup AS (SELECT x AS s, min(y) AS c FROM r GROUP BY 1),
+    mem AS (SELECT s AS id, c FROM sup UNION SELECT p, c FROM ed JOIN sup USING (s)),
+    nm AS (SELECT c, min(id) AS component FROM mem GROUP BY 1)
+    SELECT coalesce(component, nd.id) AS component, count(*) AS cluster_size FROM nd LEFT JOIN mem USING (id) LEFT JOIN nm USING (c) GROUP BY 1""",
+)
 def _part_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts and suppliers joined by strong line items; one large component, so no recursive SQL."""
+    """Parts and suppliers joined by strong line items. The SQL walks over suppliers that share a part."""
     edges, nodes = similarity(spark, sf)
     scored = score_edges(edges, nodes).filter("included_in_clustering")
     labelled = connected_components(nodes, scored, "id", "genome_id_1", "genome_id_2")
