@@ -52,9 +52,18 @@ LAYOUTS = [
 ]
 
 
+def skeleton(record: Column) -> Column:
+    """A JSON text with all string values emptied, which leaves its layout however long the texts are.
+
+    Escaped backslashes and quotes go first; the quotes that are left enclose strings. One before a colon is a name.
+    """
+    bare = F.replace(F.replace(record, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    return F.regexp_replace(bare, r'"(?:([^"]*+)"(\s*+:)|[^"]*+")', '"$1"$2')
+
+
 def field_paths(record: Column) -> Column:
     """The nested field names of a JSON text in sorted order, without the types of the values; null if it is no JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
+    shape = F.schema_of_variant(F.try_parse_json(skeleton(record)))
     return F.regexp_replace(shape, r": (?!OBJECT<|ARRAY<OBJECT<)[A-Z]+(\([0-9, ]*\))?(<[A-Z]*(\([0-9, ]*\))?>)?", "")
 
 
@@ -67,25 +76,29 @@ def canonical_turns(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
 
     A list that is empty gives no turns whatever its name. Null roles and texts are empty.
     """
-    value, mark = F.try_parse_json(record), fingerprint(record)
+    mark = fingerprint(record)
     chosen = F.when(F.lit(False), F.lit(None).cast(TURNS))
     for layout in layouts:
-        chosen = chosen.when(mark == fingerprint(F.lit(layout.example)), _turns(value, layout))
+        chosen = chosen.when(mark == fingerprint(F.lit(layout.example)), _turns(record, layout))
         if layout.many:
             bare = re.sub(r"\[.*\]", "[]", layout.example)
             chosen = chosen.when(mark == fingerprint(F.lit(bare)), F.array().cast(TURNS))
     return chosen
 
 
-def _turns(value: Column, layout: Layout) -> Column:
+def _turns(record: Column, layout: Layout) -> Column:
     known = F.create_map(*[F.lit(x) for pair in layout.roles for x in pair]) if layout.roles else None
     named = lambda role: F.coalesce(F.get(F.array(known[role]), 0), role) if known is not None else role
     if layout.many:
         name, role, text = layout.many
-        rows = F.try_variant_get(value, f"$.{name}", f"array<struct<`{role}`:string,`{text}`:string>>")
+        rows = _parsed(record, f"struct<`{name}`:array<struct<`{role}`:string,`{text}`:string>>>")[name]
         return F.transform(rows, lambda t: _turn(named(t[role]), t[text]))
-    parts = [F.when(F.try_variant_get(value, f"$.{f}", "string").isNotNull(), _turn(F.lit(r), F.try_variant_get(value, f"$.{f}", "string"))) for r, f in layout.single]
-    return F.array_compact(F.array(*parts))
+    fields = _parsed(record, "struct<" + ",".join(f"`{f}`:string" for _, f in layout.single) + ">")
+    return F.array_compact(F.array(*[F.when(fields[f].isNotNull(), _turn(F.lit(r), fields[f])) for r, f in layout.single]))
+
+
+def _parsed(record: Column, schema: str) -> Column:
+    return F.from_json(record, schema, {"maxStringLen": str((1 << 31) - 1)})
 
 
 def _turn(role: Column, text: Column) -> Column:
