@@ -7,8 +7,8 @@ its earliest dart. Two documents agree in a coordinate with the probability of t
 cost is one cell per element plus a number of darts that does not depend on the document's length.
 
 Signatures are cut into bands; texts that share a band are candidates, and candidates are compared exactly. A band's
-texts are compared with the band's first text; in bands that then hold several classes, texts are compared with those
-ever further away in rounds, until every pair of a band is either compared or already linked through others. Links become classes.
+texts are compared with the band's first text. In a band that then holds several classes all texts are compared in
+tasks of bounded size, which return a spanning forest of links between classes, never pairs. Links become classes.
 """
 
 from __future__ import annotations
@@ -19,19 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evispark.llm.scratch import Scratch, written
 from evispark.llm.ship import with_code
 from evispark.llm.words import mix, shingles, slices, text_bytes, word_hashes
 from evispark.operators.graph import connected_components
-from evispark.operators.windows import positions
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**5) ** 32 = 3e-6.
 BANDS, ROWS = 32, 5
 SLICE_BYTES = 1 << 20
+#: Texts and shingles of a block of a band; a task compares one or two blocks.
+GROUP_TEXTS, GROUP_SHINGLES = 1_000, 2 << 20
+#: Shingles whose texts are multiplied at a time.
+PRODUCT_COLUMNS = 2_048
 EMPTY = np.uint64(np.iinfo(np.uint64).max)
 _CELL = np.uint64(0xA0761D6478BD642F)
 _COPY = np.uint64(0xE7037ED1A0B428DB)
@@ -39,7 +42,7 @@ _DART = np.uint64(0x8EBC6AF09C88C6E3)
 #: Bits after the point of a dart's rank.
 _POINT = 40
 
-SKETCH = "doc_id long, digest binary, n_shingles int, bands array<long>"
+SKETCH = "doc_id long, text_hash long, digest binary, bands array<long>"
 SHINGLED = "node long, shingles array<long>"
 
 
@@ -140,11 +143,11 @@ def _sketch(words: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
+                        batch.column(2).slice(first, last - first),
                         pa.array([text_digest(t) for t in texts], pa.binary()),
-                        pa.array(n.astype(np.int32)),
                         _lists(keys, np.where(n > 0, bands, 0)),
                     ],
-                    ["doc_id", "digest", "n_shingles", "bands"],
+                    ["doc_id", "text_hash", "digest", "bands"],
                 )
 
     return sketch
@@ -153,10 +156,7 @@ def _sketch(words: int, bands: int, rows: int):
 def _shingle_sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = batch.column(1).to_pylist()
-            texts = batch.column(2).fill_null("").to_pylist()
-            own = np.asarray([text_digest(t) == d for t, d in zip(texts, digests, strict=True)], bool)
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(batch.column(1))
             for first, last in slices(offsets, SLICE_BYTES):
                 part = data[offsets[first] : offsets[last]]
                 hashes, counts = word_hashes(part, offsets[first : last + 1] - offsets[first])
@@ -164,12 +164,10 @@ def _shingle_sets(words: int):
                 order = np.lexsort((value, row))
                 value, row = value[order], row[order]
                 fresh = np.append(True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])) if len(value) else np.zeros(0, bool)
-                fresh &= own[first:last][row]
                 n = np.bincount(row[fresh], minlength=last - first)
-                made = pa.RecordBatch.from_arrays(
+                yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), _lists(value[fresh].view(np.int64), n)], ["node", "shingles"]
                 )
-                yield made.filter(pa.array(own[first:last]))
 
     return sets
 
@@ -183,37 +181,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.filter(F.col("both") / (F.col("sum") - F.col("both")) >= similarity).select("a", "b")
 
 
-def _with_places(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The texts of the bands that hold several classes, with their places in the band from zero."""
-    known = members.join(labels, "node")
-    bands = known.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"))
-    inside = known.join(bands.filter("l < h AND n > 2").select("band"), "band").select("band", "node")
-    return positions(inside, ["band"], ["node"], "place").withColumn("place", F.col("place").cast("int"))
-
-
-def _mixed(placed: DataFrame, labels: DataFrame, low: int) -> DataFrame:
-    """The texts of the bands that hold several classes and two texts ``low`` or more places apart, with their labels."""
-    known = placed.join(labels, "node")
-    bands = known.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("place").alias("last"))
-    return known.join(bands.filter((F.col("l") < F.col("h")) & (F.col("last") >= low)).select("band", "last"), "band")
-
+def _mixed(members: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The texts of the bands that hold several classes, dealt into groups of bounded size.
 
-def _pairs_apart(known: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs of a band in different classes whose places are from ``low`` to below ``high`` apart.
-
-    Two texts of different classes are not both in the largest class of their band, so it is enough to look up the
-    places around each text of the others. A group of near copies is settled by its first few neighbours; a large
-    class is never paired within itself, and what it has in common with a few strangers is compared with those only.
+    A band of two texts is settled by its star, a band of one class needs no more. A band too large for a group is cut
+    in blocks, and every two blocks make a group, so each two texts of the band meet in one.
     """
-    classes = known.groupBy("band", "label").agg(F.count("*").alias("n"))
-    largest = classes.groupBy("band").agg(F.max_by("label", "n").alias("largest"))
-    others = known.join(largest, "band").filter("label != largest")
-    apart = F.explode(F.concat(F.sequence(F.lit(low), F.lit(high - 1)), F.sequence(F.lit(-low), F.lit(1 - high))))
-    a = others.select("band", F.col("node").alias("a"), F.col("label").alias("la"), "last", "place", apart.alias("apart"))
-    a = a.withColumn("place", F.col("place") + F.col("apart"))
-    b = known.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), "place")
-    pairs = a.filter("place BETWEEN 0 AND last").join(b, ["band", "place"]).filter("la != lb")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = members.join(labels, "node").join(sizes, "node").select("band", "node", "label", "n")
+    bands = known.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("texts"), F.sum("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("texts") / GROUP_TEXTS), F.ceil(F.col("n") / GROUP_SHINGLES)).cast("int")
+    bands = bands.filter("l < h AND texts > 2").select("band", blocks.alias("blocks"))
+    known = known.drop("n").join(bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return known.select("band", "node", "label", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+
+
+def _links_inside(similarity: float):
+    """Links between different classes within a group: all its texts are compared, a spanning forest is returned."""
+
+    def links(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, labels = table["node"].to_numpy(), table["label"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        counts = np.diff(lists.offsets.to_numpy())
+        values = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+        row = np.repeat(np.arange(len(nodes)), counts)
+        _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+        shared = often[column] > 1  # a shingle of one text is in no intersection
+        number = np.cumsum(often > 1) - 1
+        row, column = row[shared], number[column[shared]]
+        both = np.zeros((len(nodes), len(nodes)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for begin in range(0, int((often > 1).sum()), PRODUCT_COLUMNS):
+            at = slice(*np.searchsorted(column, (begin, begin + PRODUCT_COLUMNS)))
+            part = np.zeros((len(nodes), PRODUCT_COLUMNS), np.float32)
+            part[row[at], column[at] - begin] = 1
+            both += part @ part.T
+        union = counts[:, None] + counts[None, :] - both.astype(np.float64)
+        near = both / np.maximum(union, 1) >= similarity
+        seen = np.zeros(len(nodes), bool)
+        found = []
+        for start in range(len(nodes)):
+            if seen[start]:
+                continue
+            seen[start], front = True, [start]
+            while front:
+                at = front.pop()
+                fresh = np.flatnonzero(near[at] & ~seen)
+                seen[fresh] = True
+                front += fresh.tolist()
+                found += [(at, int(to)) for to in fresh if labels[at] != labels[to]]
+        a, b = ([nodes[x[i]] for x in found] for i in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -238,48 +259,58 @@ def near_duplicates(
     text from the start. Rows that share a doc_id are one document for ``kept``; a null id is never the class id unless
     all ids of the class are null. An empty table gives an empty result.
     """
+    rows_of = _classified(docs, words, similarity, bands, rows)
+    return rows_of.select("doc_id", "class_id", "class_size", "kept")
+
+
+def _classified(docs: DataFrame, words: int, similarity: float, bands: int, rows: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``text_hash``, which tells apart texts that share an id."""
     spark = with_code(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash"))
     sketches = written(docs.mapInArrow(_sketch(words, bands, rows), SKETCH))
     with Scratch(spark) as scratch:
-        texts = sketches.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+        texts = sketches.groupBy("digest").agg(first, F.first("bands").alias("bands"))
+        texts = texts.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "bands")
         texts = scratch.table(texts.withColumn("node", F.monotonically_increasing_id()))
         entries = texts.select("node", F.explode("bands").alias("band"))
         shared = entries.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
         members = scratch.table(entries.join(shared.select("band", "lead"), "band"))
-        wanted = texts.join(members.select("node").distinct(), "node").select("node", "digest", "first_id")
-        found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "digest", "text")
+        wanted = texts.join(members.select("node").distinct(), "node").select("node", "first_id", "first_hash")
+        same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+        found = docs.join(wanted, same).select("node", "text")
         sets = scratch.table(found.mapInArrow(_shingle_sets(words), SHINGLED).dropDuplicates(["node"]))
         nodes = scratch.table(members.select("node").distinct())
-        first = members.filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        links = scratch.table(_verified(first, sets, similarity))
+        stars = members.filter("lead < node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+        links = scratch.table(_verified(stars, sets, similarity))
         labels = connected_components(nodes, links, "node", "a", "b").select("node", F.col("component").alias("label"))
         labels = scratch.table(labels)
-        placed = scratch.table(_with_places(members, labels))
-        low, high = 1, 2
-        while True:
-            known = scratch.table(_mixed(placed, labels, low))
-            if known.isEmpty():
-                break
-            links = scratch.table(_verified(_pairs_apart(known, low, high), sets, similarity))
-            if not links.isEmpty():
-                labels = scratch.table(_merged(labels, links))
-            low, high = high, 4 * high
+        groups = _mixed(members, labels, sets.select("node", F.size("shingles").alias("n")))
+        links = groups.join(sets, "node").groupBy("band", "one", "two").applyInArrow(_links_inside(similarity), "a long, b long")
+        links = scratch.table(links.distinct())
+        if not links.isEmpty():
+            labels = scratch.table(_merged(labels, links))
         named = texts.select("node", "digest", "first_id").join(labels, "node", "left")
         named = named.withColumn("label", F.coalesce("label", "node")).select("digest", "label", "first_id")
         least = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
         classes = written(named.join(least, "label").select("digest", "label", "class_id"))
-    placed_rows = sketches.select("doc_id", "digest").join(classes, "digest")
+    placed_rows = sketches.select("doc_id", "text_hash", "digest").join(classes, "digest")
     sizes = placed_rows.groupBy("label").agg(F.count("*").alias("class_size"))
     return placed_rows.join(sizes, "label").select(
-        "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+        "doc_id", "text_hash", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
     )
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = _classified(docs, SHINGLE_WORDS, SIMILARITY, BANDS, ROWS).filter(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (_text_hash() == F.col("_gone_text"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op1_minhash_near_dedup(spark, sf: str) -> DataFrame:
