@@ -22,10 +22,11 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from evispark.llm.ship import with_code
 from evispark.llm.vocab import PIECE, Merges, Pieces, merges, shared_file, spread
+from evispark.llm.words import slices, text_bytes
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States kept before the transducer is built anew; bounds memory, not what is encoded.
-MOST_STATES = 80_000
+MOST_STATES = 120_000
 BATCH_BYTES = 8 << 20
 
 
@@ -57,23 +58,28 @@ class Transducer:
         self.rests: dict[int, bytes] = {}
 
     def _move(self, state: int, byte: int) -> tuple[int, bytes]:
-        alive, ended, trie, tokens, fits = [], None, self.trie, self.token, self.table.fits
+        alive, ended = [], None
+        step, tokens, limits = self.trie.get, self.token.get, self.table.limits.get
         for last, node, chain in self.states[state]:
-            node = trie.get(node << 8 | byte)
+            node = step(node << 8 | byte)
             if node is None:
                 continue
             alive.append((last, node, chain))
-            token = tokens.get(node)
-            if token is not None and ended is None and (last is None or fits(last, token)):
-                ended = (token, 0, (*chain, token))
+            if ended is None and (token := tokens(node)) is not None:
+                ok = True if last is None else limits(last << 20 | token)
+                if ok is None:
+                    ok = self.table.fits(last, token)
+                if ok:
+                    ended = (token, 0, (*chain, token))
         alive.append(ended)
-        shared = 0
-        least = min(alive[0][2], ended[2], key=len) if alive[0][2] else ()
-        while shared < len(least) and all(chain[shared : shared + 1] == least[shared : shared + 1] for _, _, chain in alive):
-            shared += 1
-        said = b"".join(map(self.packed.__getitem__, ended[2][:shared]))
-        if shared:
-            alive = [(last, node, chain[shared:]) for last, node, chain in alive]
+        said = b""
+        if least := min(alive[0][2], ended[2], key=len):
+            shared = 0
+            while shared < len(least) and all(chain[shared : shared + 1] == least[shared : shared + 1] for _, _, chain in alive):
+                shared += 1
+            if shared:
+                said = b"".join(map(self.packed.__getitem__, ended[2][:shared]))
+                alive = [(last, node, chain[shared:]) for last, node, chain in alive]
         key = tuple(alive)
         number = self.numbers.get(key)
         if number is None:
@@ -102,7 +108,7 @@ class Encoder:
     def __init__(self, table: Merges):
         machine = Transducer(table)
         piece = Pieces(lambda p: machine.encode(p.encode())).__getitem__
-        self.first = Pieces(lambda run: b"".join(map(piece, PIECE.findall(run))))
+        self.first = Pieces(lambda run: b"".join(map(piece, PIECE.findall(run))), 50_000)
         self.later = Pieces(lambda run: b"".join(map(piece, PIECE.findall(" " + run))))
 
     def encode(self, text: str) -> np.ndarray:
@@ -196,8 +202,8 @@ def _encode(raw):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(raw.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).fill_null("")
-            for first, last in _portions(np.asarray([len(t) for t in texts.to_pylist()]), BATCH_BYTES):
+            texts = batch.column(0).fill_null("")
+            for first, last in slices(text_bytes(texts)[1], BATCH_BYTES):
                 ids = [own.encode(t) for t in texts.slice(first, last - first).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))

@@ -46,7 +46,7 @@ class PrefixCounts:
                 node = self.backward[key]
             self.token[node] = token
         whole = Pieces(lambda p: self.piece(p.encode())[-1]).__getitem__
-        self.first = Pieces(lambda run: sum(map(whole, PIECE.findall(run))))
+        self.first = Pieces(lambda run: sum(map(whole, PIECE.findall(run))), 50_000)
         self.later = Pieces(lambda run: sum(map(whole, PIECE.findall(" " + run))))
 
     def piece(self, data: bytes) -> list[int]:

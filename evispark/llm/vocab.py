@@ -60,7 +60,7 @@ class Merges:
                 bound, left = self.rank(left), parts_left[1]
             else:
                 bound, right = self.rank(right) + 1, parts_right[0]
-        if len(self.limits) > 1_000_000:
+        if len(self.limits) > 400_000:
             self.limits.clear()
         self.limits[a << 20 | b] = ok
         return ok
@@ -145,7 +145,7 @@ class Pieces(dict):
     A full generation becomes the old one, and what is still asked for moves on from there, so common pieces stay.
     """
 
-    def __init__(self, make, most: int = 250_000):
+    def __init__(self, make, most: int = 120_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
