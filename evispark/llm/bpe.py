@@ -26,7 +26,7 @@ from evispark.llm.words import slices, text_bytes
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States kept before the transducer is built anew; bounds memory, not what is encoded.
-MOST_STATES = 120_000
+MOST_STATES = 80_000
 BATCH_BYTES = 8 << 20
 
 
@@ -198,9 +198,9 @@ def _portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     yield from pairwise(edges)
 
 
-def _encode(raw):
+def _encode(raw, back: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(raw.value)
+        own, reader = encoder(raw.value), decoder(raw.value)
         for batch in batches:
             texts = batch.column(0).fill_null("")
             for first, last in slices(text_bytes(texts)[1], BATCH_BYTES):
@@ -208,7 +208,11 @@ def _encode(raw):
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], tokens], [*part.schema.names[1:], "tokens"])
+                made, names = [*part.columns[1:], tokens], [*part.schema.names[1:], "tokens"]
+                if back:
+                    made.append(pa.array([reader.decode(i) for i in ids], pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(made, names)
 
     return encode
 
@@ -228,17 +232,17 @@ def _decode(raw):
     return decode
 
 
-def encode_texts(docs: DataFrame, path: str) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, back: bool = False) -> DataFrame:
     """Replace ``text`` by ``tokens``: the ids of the rank file at ``path``, as tiktoken's encode_ordinary gives them.
 
-    A null or empty text has no tokens. Special strings are ordinary text. All other columns stay, except one that
-    is called ``tokens`` already, which is replaced.
+    A null or empty text has no tokens. Special strings are ordinary text. With ``back`` the ids are decoded again in
+    the same pass, to ``decoded``. All other columns stay, except those with the names of new ones.
     """
     spark = with_code(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("text", "tokens")]
+    rest = [c for c in docs.columns if c not in ("text", "tokens", *(["decoded"] if back else []))]
     rows = docs.select(F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in rest])
     schema = rows.drop("text").schema.add("tokens", ArrayType(IntegerType()))
-    return rows.mapInArrow(_encode(shared_file(spark, path)), schema)
+    return rows.mapInArrow(_encode(shared_file(spark, path), back), schema.add("decoded", "string") if back else schema)
 
 
 def decode_tokens(tokens: DataFrame, path: str) -> DataFrame:
@@ -251,25 +255,22 @@ def decode_tokens(tokens: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(_decode(shared_file(spark, path)), schema)
 
 
-def _digests(docs: DataFrame, path: str) -> DataFrame:
-    tokens = encode_texts(docs.select("doc_id", "text"), path)
-    listed = F.array_join(F.col("tokens").cast("array<string>"), ",")
-    tokens = tokens.select("doc_id", "tokens", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"))
-    return tokens
-
-
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents as token ids; the decoded text is compared with the original's digest."""
-    tokens = encode_texts(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), public_tokenizers.path(RANKS))
-    decoded = decode_tokens(tokens.withColumn("ids", F.col("tokens")), public_tokenizers.path(RANKS))
+    """Last pipeline stage: the documents as token ids; what they decode to is compared with the text's digest."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    coded = encode_texts(docs.withColumn("text_sha256", digest), public_tokenizers.path(RANKS), back=True)
     exact = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
-    return decoded.select(
-        "doc_id", "lang", "source", F.col("ids").alias("tokens"), F.size("ids").cast("long").alias("n_tokens"), "text_sha256", exact.alias("round_trip")
-    )
+    return coded.select("doc_id", "lang", "source", "tokens", F.size("tokens").cast("long").alias("n_tokens"), "text_sha256", exact.alias("round_trip"))
 
 
 def op4_byte_bpe(spark, sf: str) -> DataFrame:
     """Query: every document's token ids and what they decode to, as digests."""
-    path = public_tokenizers.path(RANKS)
-    decoded = decode_tokens(_digests(spark.read.parquet(f"{sf}/documents.parquet"), path), path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    coded = encode_texts(docs, public_tokenizers.path(RANKS), back=True)
+    listed = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
