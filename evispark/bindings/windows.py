@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from evispark.bindings.base import GENES, LINE_ORDER, PRODUCTS, genes, line_order, pick, register, sql_pick, table
 from evispark.bindings.joins import similarity
@@ -15,6 +16,7 @@ from evispark.operators.windows import (
     cap, disambiguate, first_occurrence, group_counter, keep_first, neighbor_context, ordered, ordinal_id, previous_value, priority_rank, rank_cutoff,
     running_last, top_k, top_per_key,
 )
+from evispark.session import Scratch, cut_lineage
 
 
 @register(
@@ -198,11 +200,17 @@ def _segments(spark: SparkSession, sf: str) -> DataFrame:
 # --- graphs ----------------------------------------------------------------------------------------------------
 
 
+#: Percent of a document's line text that makes it a near copy.
+COVERAGE = 60
+
+
 def near_copies(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges from a document to the first one of the same text and to the first ones that hold its lines.
+    """Edges from a document to the first one of the same text and to the first ones that hold its lines, and
+    between documents that cover each other.
 
     Lines of any length, each once per document. Coverage is the share of a document's line text that it
-    has from that first document. There is at most one edge per document and line, and one per copy.
+    has from that first document; of two documents that cover each other, what both have of the longer one. Those are
+    found whoever held their lines first: no two that cover each other stay in different components.
     """
     whole = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("t")).filter("t IS NOT NULL")
     firsts = whole.groupBy("t").agg(F.min("doc_id").alias("first_id"))
@@ -216,16 +224,64 @@ def near_copies(spark: SparkSession, sf: str) -> DataFrame:
         .select("doc_id", F.sha2("line", 256).alias("h"), F.length("line").alias("n"))
         .distinct()
     )
-    first = lines.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("c")).filter("c > 1")
-    total = lines.groupBy("doc_id").agg(F.sum("n").alias("total"))
-    shared = lines.join(first, "h").filter("doc_id > first_id").groupBy("doc_id", "first_id").agg(F.sum("n").alias("shared"))
-    by_line = shared.join(total, "doc_id").select(
-        F.col("first_id").alias("genome_id_1"),
-        F.col("doc_id").alias("genome_id_2"),
+    with Scratch(spark) as scratch:
+        lines = scratch.table(lines)
+        first = lines.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("c"))
+        total = lines.groupBy("doc_id").agg(F.sum("n").alias("total"))
+        lines = scratch.table(lines.join(first, "h").join(total, "doc_id"))
+        shared = lines.filter("doc_id > first_id").groupBy("doc_id", "first_id", "total").agg(F.sum("n").alias("shared"))
+        by_line = shared.select(
+            F.col("first_id").alias("genome_id_1"),
+            F.col("doc_id").alias("genome_id_2"),
+            F.lit(100.0).alias("identity_percent"),  # shared lines are identical
+            (100.0 * F.col("shared") / F.col("total")).alias("coverage_percent"),
+        )
+        edges = by_line.join(copies, ["genome_id_1", "genome_id_2"], "left_anti").unionByName(copies)
+        edges = scratch.table(edges)
+        return cut_lineage(edges.unionByName(_mutual(lines, edges, scratch)))
+
+
+def _mutual(lines: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges that join the components of ``edges`` wherever two documents cover each other.
+
+    Two such documents lack at most 40 percent of each other. So the rarest line they share stands in both where the
+    document's still rarer lines make up no more than that; only documents that meet in such a line are compared. The
+    first one that meets there is compared with all others, then all pairs that are not in one component by then.
+    Documents of one component are never paired, nor are those of too different length.
+    """
+    rarest = Window.partitionBy("doc_id").orderBy("c", "h").rowsBetween(Window.unboundedPreceding, -1)
+    rarer = F.coalesce(F.sum("n").over(rarest), F.lit(0))
+    met = lines.select("doc_id", "h", "c", "total", rarer.alias("rarer")).filter((F.col("c") > 1) & (100 * F.col("rarer") <= (100 - COVERAGE) * F.col("total")))
+    met = scratch.table(met.select("doc_id", "h", "total"))
+    leads = met.groupBy("h").agg(F.min_by(F.struct("doc_id", "total"), "doc_id").alias("lead"), F.count("*").alias("k")).filter("k > 1")
+    pairs = met.join(leads, "h").select(F.col("lead.doc_id").alias("a"), F.col("lead.total").alias("ta"), F.col("doc_id").alias("b"), F.col("total").alias("tb"))
+    stars = scratch.table(_covering(pairs.filter("a < b"), lines))
+    docs = met.select("doc_id").distinct()
+    known = edges.filter(F.col("coverage_percent") >= COVERAGE).select("genome_id_1", "genome_id_2").union(stars.select("genome_id_1", "genome_id_2"))
+    ends = docs.union(known.select("genome_id_1")).union(known.select("genome_id_2")).distinct()
+    labels = connected_components(ends, known, "doc_id", "genome_id_1", "genome_id_2")
+    labelled = scratch.table(met.join(leads.select("h"), "h").join(labels, "doc_id"))
+    mixed = labelled.groupBy("h").agg(F.min("component").alias("l"), F.max("component").alias("m")).filter("l < m").select("h")
+    labelled = scratch.table(labelled.join(mixed, "h"))
+    one = labelled.select("h", F.col("doc_id").alias("a"), F.col("total").alias("ta"), F.col("component").alias("la"))
+    two = labelled.select("h", F.col("doc_id").alias("b"), F.col("total").alias("tb"), F.col("component").alias("lb"))
+    pairs = one.join(two, "h").filter("a < b AND la <> lb").select("a", "ta", "b", "tb")
+    return stars.unionByName(_covering(pairs, lines))
+
+
+def _covering(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Edges of the pairs (a, b, line text of each) whose common lines cover both."""
+    longer = F.greatest("ta", "tb")
+    pairs = pairs.filter(100 * F.least("ta", "tb") >= COVERAGE * longer).select("a", "b", longer.alias("longer")).distinct()
+    common = lines.filter("c > 1")
+    both = pairs.join(common.select(F.col("doc_id").alias("b"), "h", "n"), "b").join(common.select(F.col("doc_id").alias("a"), "h"), ["a", "h"])
+    covered = both.groupBy("a", "b", "longer").agg(F.sum("n").alias("shared"))
+    return covered.select(
+        F.col("a").alias("genome_id_1"),
+        F.col("b").alias("genome_id_2"),
         F.lit(100.0).alias("identity_percent"),  # shared lines are identical
-        (100.0 * F.col("shared") / F.col("total")).alias("coverage_percent"),
-    )
-    return by_line.join(copies, ["genome_id_1", "genome_id_2"], "left_anti").unionByName(copies)
+        (100.0 * F.col("shared") / F.col("longer")).alias("coverage_percent"),
+    ).filter(F.col("coverage_percent") >= COVERAGE)
 
 
 _NEAR = r"""ln AS (SELECT DISTINCT doc_id, sha256(l) AS h, length(l) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), E' \t\r') AS l FROM documents) WHERE length(l) > 0),
@@ -238,7 +294,7 @@ _NEAR = r"""ln AS (SELECT DISTINCT doc_id, sha256(l) AS h, length(l) AS n FROM (
 @register("near_copy_components_documents", f"WITH {_NEAR} SELECT doc_id, component FROM cc")
 def _components(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id")
-    scored = score_edges(near_copies(spark, sf), docs, 95, 60).filter("included_in_clustering")
+    scored = score_edges(near_copies(spark, sf), docs, 95, COVERAGE).filter("included_in_clustering")
     return connected_components(docs, scored, "doc_id", "genome_id_1", "genome_id_2")
 
 
@@ -249,7 +305,7 @@ def _components(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _dereplicate(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    scored = score_edges(near_copies(spark, sf), docs, 95, 60).filter("included_in_clustering")
+    scored = score_edges(near_copies(spark, sf), docs, 95, COVERAGE).filter("included_in_clustering")
     labelled = connected_components(docs, scored, "doc_id", "genome_id_1", "genome_id_2")
     best = representatives(labelled, "component", [F.col("n_chars").desc(), F.col("doc_id")])
     sizes = labelled.groupBy("component").agg(F.count("*").alias("cluster_size"))
