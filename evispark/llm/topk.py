@@ -44,6 +44,7 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.rows, self.dims = vectors.shape
+        self.extra = self.rows - len(np.unique(ids))
         self.sides = []
         for sign in (1, -1):
             above = sign * vectors - (sign * vectors).min(axis=0)
@@ -55,7 +56,9 @@ class ImpactIndex:
             self.sides.append((np.ascontiguousarray(order.T), np.ascontiguousarray(ranked.T), ends, most))
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors but the query's own; of equal scores the smaller id is better.
+        """Ids and scores of the k best ids but the query's own; of equal scores the smaller id is better.
+
+        An id that has several vectors counts once, with the best of them.
 
         An accumulator holds what a vector's read postings add at least. What it may lack is bounded per dimension by
         the largest unread impact or by the width of a step, and over all dimensions by their sum ``slack``. A vector
@@ -68,6 +71,7 @@ class ImpactIndex:
         total = np.zeros(self.rows)
         done = np.zeros(self.dims, np.int64)
         left = np.flatnonzero(self.ids != own)
+        rows = k + self.extra  # so many rows hold k ids at least
         top = float((weight * (most + 1) * STEP).max(initial=0))
         for step in range(1, STEPS + 1):
             level = top * (STEPS - step) / STEPS  # segments that add at least this much are read now
@@ -86,13 +90,15 @@ class ImpactIndex:
             unread = np.where(done < self.rows, need * STEP - 1, 0)  # values over the worst one, at most
             slack = float((weight * np.maximum(unread, STEP - 1)).sum())
             scores = total[left]
-            if len(left) > k:
-                least = np.partition(scores, len(left) - k)[len(left) - k]
+            if len(left) > rows:
+                least = np.partition(scores, len(left) - rows)[len(left) - rows]
                 left = left[scores + slack >= least]
-            if len(left) <= max(FEW, k):
+            if len(left) <= max(FEW, rows):
                 break
         exact = self.vectors[left] @ query
-        best = np.lexsort((self.ids[left], -exact))[:k]
+        best = np.lexsort((self.ids[left], -exact))
+        _, place = np.unique(self.ids[left][best], return_index=True)
+        best = best[np.sort(place)[:k]]
         return self.ids[left][best], exact[best]
 
 
@@ -147,15 +153,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_vectors: int
     length than the query's take no part. Fewer than k candidates give fewer rows, an empty table none.
 
     Every group of queries meets every block of vectors in one task, which is the work of an exact search; a block
-    answers with k rows per query, so what is merged does not grow with the size of a block.
+    answers with k ids per query, so what is merged does not grow with the size of a block. Rows that repeat id and vector
+    are dropped; different vectors of one id are dealt to blocks by their values.
     """
     with_code(vectors.sparkSession)
     packed = "vec_id long, vector binary"
+    vectors = vectors.dropDuplicates()
     blocks = max(1, math.ceil(vectors.count() / block_vectors))
     groups = max(1, math.ceil(queries.count() / group_queries))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
-    dealt = vectors.mapInArrow(_packed, packed).withColumn("block", place(blocks, 1)).withColumn("group", each(groups))
+    place = F.pmod(F.xxhash64(F.lit(1), "vec_id", "vector"), F.lit(blocks)).cast("int")
+    dealt = vectors.mapInArrow(_packed, packed).withColumn("block", place).withColumn("group", each(groups))
     asked = queries.dropDuplicates().mapInArrow(_packed, packed).withColumnRenamed("vec_id", "query_id")
     asked = asked.withColumn("group", F.pmod(F.xxhash64(F.lit(2), "query_id"), F.lit(groups)).cast("int")).withColumn("block", each(blocks))
     found = dealt.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(_search(k), FOUND)

@@ -252,6 +252,16 @@ def test_top_k_is_exact_with_ties_and_odd_vectors(spark, monkeypatch):
     assert topk.top_k(vectors.limit(0), vectors.filter("vec_id % 50 = 0")).count() == 0
 
 
+def test_top_k_counts_an_id_of_many_rows_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [int(x) for x in rng.integers(-50, 50, 4)]) for i in range(300)]
+    rows += [(901, [200, 200, 200, 200])] * 6 + [(902, [190 + i, 190, 190, 190]) for i in range(6)] + [(903, [-200 - i, -200, -200, -200]) for i in range(6)]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<int>")
+    for block in (16_384, 60):
+        got = topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), block_vectors=block).collect()
+        assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows)
+
+
 def test_search_stops_on_proof_only(monkeypatch):
     rng = np.random.default_rng(1)
     vectors = (rng.normal(size=(3000, 16)) * 60).astype(np.int64)
