@@ -18,6 +18,9 @@ CONTROLS = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 #: How the escape character and the characters at the start of a control string are written.
 CODES = [("\\", "\\-"), ("<", "\\l"), ("[", "\\b")]
 
+#: Characters of a layout that surely fit in a variant.
+MOST_SKELETON = 8 << 20
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -56,14 +59,23 @@ def skeleton(record: Column) -> Column:
     """A JSON text with all string values emptied, which leaves its layout however long the texts are.
 
     Escaped backslashes and quotes go first; the quotes that are left enclose strings. One before a colon is a name.
+    Of equal flat objects in a row within a list one stays, so a list of turns is as short as its distinct layouts.
     """
     bare = F.replace(F.replace(record, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
-    return F.regexp_replace(bare, r'"(?:([^"]*+)"(\s*+:)|[^"]*+")', '"$1"$2')
+    empty = F.regexp_replace(bare, r'"(?:([^"]*+)"(\s*+:)|[^"]*+")', '"$1"$2')
+    tight = F.regexp_replace(empty, r"[ \t\r\n]*+([{}\[\],:])[ \t\r\n]*+", "$1")
+    return F.regexp_replace(tight, r"(?<=[\[,])(\{[^{}\[\]]*+\}),(?=\1)", "")
 
 
 def field_paths(record: Column) -> Column:
-    """The nested field names of a JSON text in sorted order, without the types of the values; null if it is no JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(skeleton(record)))
+    """The nested field names of a JSON text in sorted order, without the types of the values; null if it is no JSON.
+
+    A skeleton that cannot be parsed and is so large that its size may be why is an error.
+    """
+    bare = skeleton(record)
+    too_large = F.raise_error(F.lit(f"record cannot be read: its layout has over {MOST_SKELETON} characters")).cast("string")
+    parsed = F.schema_of_variant(F.try_parse_json(bare))
+    shape = F.coalesce(parsed, F.when(F.length(bare) > MOST_SKELETON, too_large))
     return F.regexp_replace(shape, r": (?!OBJECT<|ARRAY<OBJECT<)[A-Z]+(\([0-9, ]*\))?(<[A-Z]*(\([0-9, ]*\))?>)?", "")
 
 

@@ -224,6 +224,18 @@ def test_conversation_rows_with_odd_values(spark):
     assert chat.format_chats(chat.conversation_records(frame.limit(0))).count() == 0
 
 
+def test_layout_does_not_grow_with_the_turns(spark, monkeypatch):
+    turns = ",".join('{"role": "user", "content": "a {b}"} , {"role":"assistant","content":"c"}' for _ in range(5_000))
+    broken = '{"prompt":"a","completion":"b"},' * 3 + '{"prompt":"a","completion":"b"}'
+    frame = spark.createDataFrame([(1, f'{{"messages":[{turns}]}}'), (2, broken), (3, '{"messages":[{"role":"a","content":null},{"role":"b","content":"c"}]}')], "id long, record string")
+    got = {r.id: r for r in frame.select("id", F.length(chat.skeleton(F.col("record"))).alias("n"), F.size(chat.canonical_turns(F.col("record"))).alias("turns"), chat.skeleton(F.col("record")).alias("s")).collect()}
+    assert got[1].n < 100 and got[1].turns == 10_000 and got[3].turns == 2
+    assert got[2].s.count("{") > 1
+    monkeypatch.setattr(chat, "MOST_SKELETON", 10)
+    with pytest.raises(Exception, match="record cannot be read"):
+        spark.createDataFrame([('{"messages":[{"role":]}',)], "record string").select(chat.fingerprint(F.col("record"))).collect()
+
+
 def brute_top(vectors, k=5, every=50):
     out = set()
     for qid, q in {(i, tuple(v)) for i, v in vectors if i % every == 0}:
