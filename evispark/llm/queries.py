@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evispark.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, near_dedup, periods, quality, substring, token_counts, topk, url_filter
+from evispark.llm import bpe, chat, embedding_dedup, exact_dedup, mixing, near_dedup, periods, prefix_trie, quality, substring, token_counts, topk, url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": (near_dedup.op1_minhash_near_dedup, None),
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": (substring.op8_substring_dedup, None),
     "op9_exact_dedup": (exact_dedup.op9_exact_dedup, exact_dedup.OP9_SQL),
     "op10_token_counts": (token_counts.op10_token_counts, None),
+    "op11_prefix_trie": (prefix_trie.op11_prefix_trie, prefix_trie.OP11_SQL),
     "op12_periodic_runs": (periods.op12_periodic_runs, None),
     "op13_embedding_near_dedup": (embedding_dedup.op13_embedding_near_dedup, None),
 }
