@@ -10,9 +10,10 @@ from evispark.functions.missing import is_informative, is_missing, null_if_missi
 from evispark.functions.numbers import count_bin, evidence_state, fraction, score_bin, to_double, wilson
 from evispark.functions import rules as R
 from evispark.functions.text import matches
-from evispark.operators.windows import largest_group, positions
+from evispark.operators.windows import positions
 
-PIECE_LIMIT = 100_000
+#: Items of a piece of a list.
+PIECE_ITEMS = 100_000
 
 
 def distinct_text(df: DataFrame, keys: Sequence[str], value: str, out: str, count: str | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def distinct_text(df: DataFrame, keys: Sequence[str], value: str, out: str, coun
 
 
 def packed_lists(
-    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str] | None = None, limit: int = PIECE_LIMIT
+    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str] | None = None, limit: int = PIECE_ITEMS
 ) -> DataFrame:
     """Ordered value lists per key, in pieces of at most ``limit`` items.
 
@@ -37,10 +38,7 @@ def packed_lists(
     """
     order = list(order or [value])
     needed = df.select(*keys, value, *[o for o in order if o != value and o not in keys])
-    if largest_group(needed, keys) <= limit:
-        pieces = needed.withColumn("piece", F.lit(0).cast("bigint"))
-    else:
-        pieces = positions(needed, keys, order).withColumn("piece", F.floor(F.col("_pos") / limit).cast("bigint"))
+    pieces = positions(needed, keys, order).withColumn("piece", F.floor(F.col("_pos") / limit).cast("bigint"))
     item = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("v"))
     return (
         pieces.groupBy(*keys, "piece")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window, WindowSpec
 
-from evispark.operators.windows import GROUP_LIMIT, join_null_safe, largest_group, positions
+from evispark.operators.scan import Segments, earlier
 
 
 def merged_length(
-    df: DataFrame, keys: Sequence[str], start: str, end: str, out: str = "merged_length", limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], start: str, end: str, out: str = "merged_length", ranges: int | None = None
 ) -> DataFrame:
     """Positions covered by the union of a key's intervals; ends may come in either order.
 
@@ -25,30 +24,17 @@ def merged_length(
         .groupBy(*keys, "_lo")
         .agg(F.max("_hi").alias("_hi"))
     )
-    if largest_group(longest, keys) <= limit:
-        seen = F.max("_hi").over(_before(keys))
-        placed = longest.withColumn("_seen", seen)
-    else:
-        blocks = positions(longest, keys, ["_lo"]).withColumn("_block", F.floor(F.col("_pos") / limit))
-        tops = blocks.groupBy(*keys, "_block").agg(F.max("_hi").alias("_top"))
-        carry = F.max("_top").over(
-            Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        tops = tops.withColumn("_carry", carry).drop("_top")
-        local = F.max("_hi").over(_before([*keys, "_block"]))
-        # greatest() skips nulls, so either side may be absent.
-        placed = join_null_safe(blocks.withColumn("_local", local), tops, [*keys, "_block"]).withColumn(
-            "_seen", F.greatest("_local", "_carry")
-        )
+    placed = Segments(longest, keys, ["_lo"], ranges).scan(
+        {"_local": lambda inside: F.max("_hi").over(earlier(inside))},
+        {"_top": F.max("_hi")},
+        {"_carry": lambda along: F.max("_top").over(earlier(along))},
+        {"_seen": F.greatest("_local", "_carry")},  # skips nulls, so either side may be absent
+    )
     floor_ = F.greatest(F.col("_lo") - 1, F.col("_seen"))
     added = F.greatest(F.col("_hi") - floor_, F.lit(0))
     return placed.groupBy(*keys).agg(F.sum(added).alias(out))
 
 
-def _before(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def canonical_pairs(hits: DataFrame, left: str, right: str) -> DataFrame:
     """Unordered pairs that share at least one hit, each once, without self pairs.
 
@@ -61,7 +47,7 @@ def canonical_pairs(hits: DataFrame, left: str, right: str) -> DataFrame:
     )
 
 
-def summarise_hsps(hsps: DataFrame, lengths: DataFrame, min_len: int = 100, limit: int = GROUP_LIMIT) -> DataFrame:
+def summarise_hsps(hsps: DataFrame, lengths: DataFrame, min_len: int = 100, ranges: int | None = None) -> DataFrame:
     """Identity and coverage per pair from aligned segments.
 
     ``hsps``: ``query_id, subject_id, pident, length, qstart, qend, sstart, send``;
@@ -83,7 +69,7 @@ def summarise_hsps(hsps: DataFrame, lengths: DataFrame, min_len: int = 100, limi
             )
         ).alias("x"),
     ).select(*pair, "x.side", "x.s", "x.e")
-    covered = merged_length(sides, [*pair, "side"], "s", "e", limit=limit).groupBy(*pair).agg(
+    covered = merged_length(sides, [*pair, "side"], "s", "e", ranges=ranges).groupBy(*pair).agg(
         F.max(F.when(F.col("side") == "q", F.col("merged_length"))).alias("_q"),
         F.max(F.when(F.col("side") == "s", F.col("merged_length"))).alias("_s"),
     )

@@ -213,10 +213,8 @@ def module_clusters(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, modules
 
 
-def with_context(annotations: DataFrame, limit: int | None = None) -> DataFrame:
+def with_context(annotations: DataFrame, ranges: int | None = None) -> DataFrame:
     """Neighbour labels and tail context of every gene in its genome."""
-    from evispark.operators.windows import GROUP_LIMIT
-
     placed = annotations
     for c in ("start", "end"):
         placed = placed.withColumn(f"_{c}", F.when(is_missing(F.col(c).cast("string")), F.lit(10**9)).otherwise(to_int_or(c, 10**9)))
@@ -224,5 +222,5 @@ def with_context(annotations: DataFrame, limit: int | None = None) -> DataFrame:
     searched = F.concat_ws(" ", text("product"), text("module_hint"))
     return neighbor_context(
         placed, "genome_id", ["_start", "_end", "annotation_gene_id"], label, searched, R.TAIL_CONTEXT_PATTERN,
-        limit=limit or GROUP_LIMIT,
+        ranges=ranges,
     ).drop("_start", "_end")

@@ -1,8 +1,7 @@
 """Order-dependent operators that hold when one group has a large part of all rows.
 
-A window sends a whole group to one task. Groups up to ``GROUP_LIMIT`` rows use it
-directly. Beyond that the rows are range-partitioned by group and order, numbered,
-and cut into blocks of that size; a block also sees the few rows before and after it.
+All of them are segmented scans (``scan.py``): their results depend neither on the size of a group nor on the number
+of ranges, and nothing is measured before.
 """
 
 from __future__ import annotations
@@ -13,80 +12,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from evispark.functions.text import matches
-from evispark.session import cut_lineage
+from evispark.operators.scan import AT, LAST, Segments, earlier, upto
 
-GROUP_LIMIT = 1_000_000
 
-
-def largest_group(df: DataFrame, part: Sequence[str]) -> int:
-    """Rows in the largest group: one column-pruned pass with counts added before the shuffle."""
-    sizes = df.groupBy(*part).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
-    return sizes.collect()[0]["n"] or 0
-
-
-def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on equal keys where null equals null; the keys of ``df`` stay."""
-    named = other.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_j{i}"))
-    return df.join(named, same).drop(*[f"_j{i}" for i in range(len(keys))])
-
-
-def positions(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "_pos") -> DataFrame:
-    """Add the 0-based position of each row in its group; ``order`` must settle every tie.
-
-    Range partitions follow group and order, so a large group lies in many of them. Each
-    partition numbers its own rows; the offsets of the pieces are added afterwards.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *part, *order).sortWithinPartitions(*part, *order)
-    numbered = cut_lineage(
-        ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_idx", F.monotonically_increasing_id())
-    )
-    pieces = numbered.groupBy(*part, "_pid").agg(F.min("_idx").alias("_first"), F.count("*").alias("_rows"))
-    # A group has at most one piece per partition, so this window stays small.
-    earlier = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
-    keyed = offsets.select(
-        *[F.col(p).alias(f"_k{i}") for i, p in enumerate(part)], F.col("_pid").alias("_kp"), "_first", "_offset"
-    )
-    if not part:
-        keyed = F.broadcast(keyed)  # one row per partition
-    same = numbered["_pid"] == keyed["_kp"]
-    for i, p in enumerate(part):
-        same = same & numbered[p].eqNullSafe(keyed[f"_k{i}"])
-    return (
-        numbered.join(keyed, same)
-        .withColumn(out, F.col("_idx") - F.col("_first") + F.col("_offset"))
-        .drop("_kp", "_pid", "_idx", "_first", "_offset", *[f"_k{i}" for i in range(len(part))])
-    )
-
-
-def window_blocks(
-    df: DataFrame, part: Sequence[str], order: Sequence[str], before: int, after: int, limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """Add ``_block`` and ``_own``: windows over (part, _block) see the right neighbours of own rows."""
-    if limit < max(before, after):
-        raise ValueError(f"a block of {limit} rows cannot hold {max(before, after)} neighbours")
-    if largest_group(df, part) <= limit:
-        return df.withColumn("_block", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True))
-    placed = positions(df, part, order)
-    block = F.floor(F.col("_pos") / limit).cast("bigint")
-    inside = F.col("_pos") - block * limit
-    targets = F.array_compact(
-        F.array(
-            block,
-            F.when(inside >= limit - before, block + 1) if before else F.lit(None).cast("bigint"),
-            F.when((inside < after) & (block > 0), block - 1) if after else F.lit(None).cast("bigint"),
-        )
-    )
-    return (
-        placed.withColumn("_home", block)
-        .withColumn("_block", F.explode(targets))
-        .withColumn("_own", F.col("_block") == F.col("_home"))
-        .drop("_home", "_pos")
-    )
+def positions(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "_pos", ranges: int | None = None) -> DataFrame:
+    """Add the 0-based position of each row in its group; ``order`` must settle every tie."""
+    segments = Segments(df, part, order, ranges)
+    before = {"_earlier": lambda along: F.sum("_n").over(earlier(along))}
+    if part:
+        local = {"_row": lambda inside: F.row_number().over(inside).cast("long") - 1}
+    else:  # a piece is one group, its rows are numbered already
+        local = {"_row": lambda inside: F.col(AT)}
+    return segments.scan(local, {"_n": F.count("*")}, before, {out: F.col("_row") + F.coalesce("_earlier", F.lit(0))})
 
 
 def neighbor_context(
@@ -97,24 +34,39 @@ def neighbor_context(
     searched: Column,
     pattern: str,
     k: int = 2,
-    limit: int = GROUP_LIMIT,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Labels of the ``k`` rows before and after, and whether one of them matches.
 
     Adds ``neighbor_labels`` (in order), ``has_context`` and ``neighbor_context``.
     """
     base = df.withColumn("_item", F.struct(label.alias("label"), matches(searched, pattern).alias("hit")))
-    blocks = window_blocks(base, [part], order, before=k, after=k, limit=limit)
-    w = Window.partitionBy(part, "_block").orderBy(*order)
-    around = F.concat(
-        F.collect_list("_item").over(w.rowsBetween(-k, -1)), F.collect_list("_item").over(w.rowsBetween(1, k))
+    none = F.array().cast(base.select(F.array("_item").alias("a")).schema["a"].dataType)
+
+    def end(arr: Column) -> Column:
+        return F.slice(arr, F.greatest(F.size(arr) - F.lit(k - 1), F.lit(1)), F.lit(k))
+
+    near = Segments(base, [part], order, ranges).scan(
+        {
+            "_before": lambda inside: F.collect_list("_item").over(inside.rowsBetween(-k, -1)),
+            "_after": lambda inside: F.collect_list("_item").over(inside.rowsBetween(1, k)),
+        },
+        # What a group shows its other pieces: up to k rows at the start and at the end of this one.
+        {"_head": _in_order(F.col(AT) < k), "_tail": _in_order(F.col(AT) > F.col(LAST) - k)},
+        {
+            "_left": lambda along: end(F.flatten(F.collect_list("_tail").over(along.rowsBetween(-k, -1)))),
+            "_right": lambda along: F.slice(F.flatten(F.collect_list("_head").over(along.rowsBetween(1, k))), 1, k),
+        },
+        {
+            "_near": F.concat(
+                end(F.concat(F.coalesce("_left", none), "_before")), F.slice(F.concat("_after", F.coalesce("_right", none)), 1, k)
+            )
+        },
     )
-    out = blocks.withColumn("_near", around).filter("_own")
-    has = F.exists("_near", lambda x: x["hit"])
     prefix = F.when(F.col("has_context"), "tail_context").otherwise("no_tail_context")
     return (
-        out.withColumn("neighbor_labels", F.transform("_near", lambda x: x["label"]))
-        .withColumn("has_context", has)
+        near.withColumn("neighbor_labels", F.transform("_near", lambda x: x["label"]))
+        .withColumn("has_context", F.exists("_near", lambda x: x["hit"]))
         .withColumn(
             "neighbor_context",
             F.concat(
@@ -123,10 +75,16 @@ def neighbor_context(
                 F.when(F.size("neighbor_labels") == 0, "no_neighbors").otherwise(F.array_join("neighbor_labels", ";")),
             ),
         )
-        .drop("_near", "_item", "_block", "_own")
+        .drop("_near", "_item")
     )
 
 
+def _in_order(chosen: Column) -> Column:
+    """The items of the chosen rows, in order."""
+    placed = F.struct(F.col(AT).alias("at"), F.col("_item").alias("item"))
+    return F.transform(F.array_sort(F.collect_list(F.when(chosen, placed))), lambda x: x["item"])
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key. Every task keeps one row per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -176,24 +134,23 @@ def first_occurrence(df: DataFrame, keys: Sequence[str], order: str, out: str =
 
 
 def previous_value(
-    df: DataFrame, key: str, order: str, value: str, out: str, limit: int = GROUP_LIMIT
+    df: DataFrame, key: str, order: str, value: str, out: str, ranges: int | None = None
 ) -> DataFrame:
     """The value of the previous row with the same key; null keys have no previous row."""
-    keyed = df.withColumn("_alone", F.when(F.col(key).isNull(), F.xxhash64(order)))
-    part = [key, "_alone"]
-    blocks = window_blocks(keyed, part, [order], before=1, after=0, limit=limit)
-    w = Window.partitionBy(*part, "_block").orderBy(order)
-    before = F.when(F.col(key).isNotNull(), F.lag(value).over(w))
-    return blocks.withColumn(out, before).filter("_own").drop("_alone", "_block", "_own")
+    held = F.struct(F.col(value).alias("v"))
+    return Segments(df, [key], [order], ranges).scan(
+        {"_here": lambda inside: F.lag(held).over(inside)},
+        {"_last": F.max_by(held, AT)},
+        {"_there": lambda along: F.lag("_last").over(along)},
+        {out: F.when(F.col(key).isNotNull(), F.coalesce("_here", "_there")["v"])},
+    )
 
 
 def group_counter(
-    df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "counter", limit: int = GROUP_LIMIT
+    df: DataFrame, part: Sequence[str], order: Sequence[str], out: str = "counter", ranges: int | None = None
 ) -> DataFrame:
     """1-based running number inside each group."""
-    if largest_group(df, part) <= limit:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-    return positions(df, part, order, out).withColumn(out, (F.col(out) + 1).cast("int"))
+    return positions(df, part, order, out, ranges).withColumn(out, (F.col(out) + 1).cast("int"))
 
 
 def ordinal_id(df: DataFrame, order: Sequence[str], prefix: str, width: int = 5, out: str = "id") -> DataFrame:
@@ -233,23 +190,19 @@ def ordered(df: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
 
 
 def running_last(
-    df: DataFrame, part: Sequence[str], order: str, columns: Sequence[str], prefix: str = "running_", limit: int = GROUP_LIMIT
+    df: DataFrame, part: Sequence[str], order: str, columns: Sequence[str], prefix: str = "running_", ranges: int | None = None
 ) -> DataFrame:
     """The last non-null value of each column up to and including the current row of its group."""
-    upto = Window.unboundedPreceding, Window.currentRow
-    if largest_group(df, part) <= limit:
-        w = Window.partitionBy(*part).orderBy(order).rowsBetween(*upto)
-        return df.select("*", *[F.last(c, ignorenulls=True).over(w).alias(prefix + c) for c in columns])
-    placed = positions(df, part, [order]).withColumn("_block", F.floor(F.col("_pos") / limit))
-    ends = placed.groupBy(*part, "_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(f"_e_{c}") for c in columns]
-    )
-    before = Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *part, "_block", *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in columns]
-    )
-    w = Window.partitionBy(*part, "_block").orderBy(order).rowsBetween(*upto)
-    local = placed.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_l_{c}") for c in columns])
-    return join_null_safe(local, carried, [*part, "_block"]).select(
-        *[c for c in df.columns], *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(prefix + c) for c in columns]
+
+    def local(c: str):
+        return lambda inside: F.last(c, ignorenulls=True).over(upto(inside))
+
+    def carried(c: str):
+        return lambda along: F.last(f"_e_{c}", ignorenulls=True).over(earlier(along))
+
+    return Segments(df, part, [order], ranges).scan(
+        {f"_l_{c}": local(c) for c in columns},
+        {f"_e_{c}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col(AT))) for c in columns},
+        {f"_c_{c}": carried(c) for c in columns},
+        {prefix + c: F.coalesce(f"_l_{c}", f"_c_{c}") for c in columns},
     )

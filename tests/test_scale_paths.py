@@ -1,10 +1,9 @@
-"""Operators on groups above their limit give what the direct form gives."""
+"""Order-dependent operators give the same results whatever the number of ranges and the size of a group."""
 
 from __future__ import annotations
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from evispark.functions.numbers import strict_number, to_double
@@ -13,6 +12,7 @@ from evispark.operators.gates import eligible
 from evispark.operators.graph import connected_components
 from evispark.operators.intervals import merged_length
 from evispark.operators.joins import last_rows
+from evispark.operators.scan import Segments, range_count
 from evispark.operators.scoring import hit_evidence
 from evispark.operators.windows import group_counter, neighbor_context, ordinal_id, positions, previous_value, running_last
 
@@ -47,14 +47,14 @@ def test_ordinals_are_dense_and_not_cut(spark):
 def test_neighbors_previous_running_and_counters(spark):
     df = skewed(spark)
     args = ("k", ["i"], F.col("name"), F.col("name"), "item 1$")
-    for limit in (5, 7):
-        assert rows(neighbor_context(df, *args, limit=limit), "i", "neighbor_context", "has_context") == rows(
-            neighbor_context(df, *args), "i", "neighbor_context", "has_context"
+    for limit in (5, 60):
+        assert rows(neighbor_context(df, *args, ranges=limit), "i", "neighbor_context", "has_context") == rows(
+            neighbor_context(df, *args, ranges=1), "i", "neighbor_context", "has_context"
         )
         nullable = df.withColumn("k", F.when(F.col("k") != "k1", F.col("k")))
-        assert rows(previous_value(nullable, "k", "i", "i", "p", limit=limit), "i", "p") == rows(previous_value(nullable, "k", "i", "i", "p"), "i", "p")
-        assert rows(running_last(df, ["k"], "i", ["v"], limit=limit), "i", "running_v") == rows(running_last(df, ["k"], "i", ["v"]), "i", "running_v")
-        assert rows(group_counter(df, ["k"], ["i"], limit=limit), "i", "counter") == rows(group_counter(df, ["k"], ["i"]), "i", "counter")
+        assert rows(previous_value(nullable, "k", "i", "i", "p", ranges=limit), "i", "p") == rows(previous_value(nullable, "k", "i", "i", "p", ranges=1), "i", "p")
+        assert rows(running_last(df, ["k"], "i", ["v"], ranges=limit), "i", "running_v") == rows(running_last(df, ["k"], "i", ["v"], ranges=1), "i", "running_v")
+        assert rows(group_counter(df, ["k"], ["i"], ranges=limit), "i", "counter") == rows(group_counter(df, ["k"], ["i"], ranges=1), "i", "counter")
 
 
 def test_packed_lists_are_whole(spark):
@@ -76,8 +76,8 @@ def test_merged_length_against_sets(spark):
     for k, s, e in data:
         want.setdefault(k, set()).update(range(min(s, e), max(s, e) + 1))
     want = {k: len(v) for k, v in want.items()}
-    for limit in (1_000_000, 9):
-        assert {r.k: r.merged_length for r in merged_length(df, ["k"], "s", "e", limit=limit).collect()} == want
+    for ranges in (1, 9, 40):
+        assert {r.k: r.merged_length for r in merged_length(df, ["k"], "s", "e", ranges=ranges).collect()} == want
 
 
 def components(nodes, edges):
@@ -108,20 +108,51 @@ def test_components_against_union_find(spark):
     assert alone.first().component == "a"
 
 
-def test_null_keys_stay_above_the_limit(spark):
+def test_null_keys_stay_in_any_number_of_ranges(spark):
     df = skewed(spark).withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
     spans = df.select("k", (F.col("i") * 7 % 300).alias("s"), (F.col("i") * 7 % 300 + F.col("i") % 9).alias("e"))
     want_length = rows(merged_length(spans, ["k"], "s", "e"), "k", "merged_length")
     want_running = rows(running_last(df, ["k"], "i", ["v"]), "i", "running_v")
     assert any(k is None for k, _ in want_length)
-    for limit in (2, 3, 7):
-        assert rows(merged_length(spans, ["k"], "s", "e", limit=limit), "k", "merged_length") == want_length
-        assert rows(running_last(df, ["k"], "i", ["v"], limit=limit), "i", "running_v") == want_running
-
-
-def test_blocks_smaller_than_the_neighbourhood_are_refused(spark):
-    with pytest.raises(ValueError):
-        neighbor_context(skewed(spark), "k", ["i"], F.col("name"), F.col("name"), "x", k=3, limit=2)
+    for ranges in (2, 7, 30):
+        assert rows(merged_length(spans, ["k"], "s", "e", ranges=ranges), "k", "merged_length") == want_length
+        assert rows(running_last(df, ["k"], "i", ["v"], ranges=ranges), "i", "running_v") == want_running
+
+
+def test_scans_equal_loops(spark):
+    """Every scan against a loop over the sorted rows, with null keys, one hot key, more ranges than rows, and none at all."""
+    df = skewed(spark, 120).withColumn("k", F.when(F.col("k") != "k2", F.col("k")))
+    given = sorted(df.collect(), key=lambda r: r.i)
+    groups = {}
+    for r in given:
+        groups.setdefault(r.k, []).append(r)
+    want = {"pos": {}, "previous": {}, "running": {}, "near": {}}
+    for k, members in groups.items():
+        last = None
+        for n, r in enumerate(members):
+            want["pos"][r.i] = n
+            want["previous"][r.i] = members[n - 1].v if n and k is not None else None
+            last = r.v if r.v is not None else last
+            want["running"][r.i] = last
+            want["near"][r.i] = [x.name for x in members[max(0, n - 3) : n] + members[n + 1 : n + 4]]
+    for ranges in (1, 4, 50, 300):
+        assert {r.i: r["_pos"] for r in positions(df, ["k"], ["i"], ranges=ranges).collect()} == want["pos"]
+        assert {r.i: r.p for r in previous_value(df, "k", "i", "v", "p", ranges=ranges).collect()} == want["previous"]
+        assert {r.i: r.running_v for r in running_last(df, ["k"], "i", ["v"], ranges=ranges).collect()} == want["running"]
+        near = neighbor_context(df, "k", ["i"], F.col("name"), F.col("name"), "item 1$", k=3, ranges=ranges).collect()
+        assert {r.i: r.neighbor_labels for r in near} == want["near"]
+        assert all(r.has_context == ("item 1" in want["near"][r.i]) for r in near)
+        assert sorted(r["_pos"] for r in positions(df, [], ["i"], ranges=ranges).collect()) == list(range(120))
+    for scan in (positions(df.limit(0), ["k"], ["i"]), running_last(df.limit(0), ["k"], "i", ["v"]), positions(df.limit(0), [], ["i"])):
+        assert scan.count() == 0
+
+
+def test_carries_are_bounded_by_the_ranges(spark):
+    """However many groups there are, only those at the edges of a range are summarised."""
+    df = spark.range(5_000).select((F.col("id") / 2).cast("int").alias("k"), F.col("id").alias("i"))
+    segments = Segments(df, ["k"], ["i"], 8)
+    assert segments.carries({"n": F.count("*")}, {"n": F.col("n")}).count() <= 16
+    assert range_count(spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")) > range_count(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")) == 1
 
 
 def test_entities_have_one_row_of_facts(spark):
