@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from evispark.bindings.base import GENES, LINE_ORDER, PRODUCTS, genes, line_order, pick, register, sql_pick, table
 from evispark.bindings.joins import similarity
@@ -12,6 +11,7 @@ from evispark.functions.missing import strip
 from evispark.operators.aggregates import packed_lists
 from evispark.operators.graph import connected_components, representatives, score_edges
 from evispark.operators.intervals import merged_length, summarise_hsps
+from evispark.operators.similarity import covering_links
 from evispark.operators.windows import (
     cap, disambiguate, first_occurrence, group_counter, keep_first, neighbor_context, ordered, ordinal_id, previous_value, priority_rank, rank_cutoff,
     running_last, top_k, top_per_key,
@@ -238,56 +238,23 @@ def near_copies(spark: SparkSession, sf: str) -> DataFrame:
         )
         edges = by_line.join(copies, ["genome_id_1", "genome_id_2"], "left_anti").unionByName(copies)
         edges = scratch.table(edges)
-        return cut_lineage(edges.unionByName(_mutual(lines, edges, scratch)))
-
-
-def _mutual(lines: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges that join the components of ``edges`` wherever two documents cover each other.
-
-    Two such documents lack at most 40 percent of each other. So the rarest line they share stands in both where the
-    document's still rarer lines make up no more than that; only documents that meet in such a line are compared. The
-    first one that meets there is compared with all others, then all pairs that are not in one component by then.
-    Documents of one component are never paired, nor are those of too different length.
-    """
-    rarest = Window.partitionBy("doc_id").orderBy("c", "h").rowsBetween(Window.unboundedPreceding, -1)
-    rarer = F.coalesce(F.sum("n").over(rarest), F.lit(0))
-    met = lines.select("doc_id", "h", "c", "total", rarer.alias("rarer")).filter((F.col("c") > 1) & (100 * F.col("rarer") <= (100 - COVERAGE) * F.col("total")))
-    met = scratch.table(met.select("doc_id", "h", "total"))
-    leads = met.groupBy("h").agg(F.min_by(F.struct("doc_id", "total"), "doc_id").alias("lead"), F.count("*").alias("k")).filter("k > 1")
-    pairs = met.join(leads, "h").select(F.col("lead.doc_id").alias("a"), F.col("lead.total").alias("ta"), F.col("doc_id").alias("b"), F.col("total").alias("tb"))
-    stars = scratch.table(_covering(pairs.filter("a < b"), lines))
-    docs = met.select("doc_id").distinct()
-    known = edges.filter(F.col("coverage_percent") >= COVERAGE).select("genome_id_1", "genome_id_2").union(stars.select("genome_id_1", "genome_id_2"))
-    ends = docs.union(known.select("genome_id_1")).union(known.select("genome_id_2")).distinct()
-    labels = connected_components(ends, known, "doc_id", "genome_id_1", "genome_id_2")
-    labelled = scratch.table(met.join(leads.select("h"), "h").join(labels, "doc_id"))
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("l"), F.max("component").alias("m")).filter("l < m").select("h")
-    labelled = scratch.table(labelled.join(mixed, "h"))
-    one = labelled.select("h", F.col("doc_id").alias("a"), F.col("total").alias("ta"), F.col("component").alias("la"))
-    two = labelled.select("h", F.col("doc_id").alias("b"), F.col("total").alias("tb"), F.col("component").alias("lb"))
-    pairs = one.join(two, "h").filter("a < b AND la <> lb").select("a", "ta", "b", "tb")
-    return stars.unionByName(_covering(pairs, lines))
-
-
-def _covering(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Edges of the pairs (a, b, line text of each) whose common lines cover both."""
-    longer = F.greatest("ta", "tb")
-    pairs = pairs.filter(100 * F.least("ta", "tb") >= COVERAGE * longer).select("a", "b", longer.alias("longer")).distinct()
-    common = lines.filter("c > 1")
-    both = pairs.join(common.select(F.col("doc_id").alias("b"), "h", "n"), "b").join(common.select(F.col("doc_id").alias("a"), "h"), ["a", "h"])
-    covered = both.groupBy("a", "b", "longer").agg(F.sum("n").alias("shared"))
-    return covered.select(
-        F.col("a").alias("genome_id_1"),
-        F.col("b").alias("genome_id_2"),
-        F.lit(100.0).alias("identity_percent"),  # shared lines are identical
-        (100.0 * F.col("shared") / F.col("longer")).alias("coverage_percent"),
-    ).filter(F.col("coverage_percent") >= COVERAGE)
+        known = edges.filter(F.col("coverage_percent") >= COVERAGE).select(F.col("genome_id_1").alias("a"), F.col("genome_id_2").alias("b"))
+        items = lines.select(F.col("doc_id").alias("id"), F.col("h").alias("item"), F.col("n").alias("weight"))
+        mutual = covering_links(items, COVERAGE, known).select(
+            F.col("a").alias("genome_id_1"),
+            F.col("b").alias("genome_id_2"),
+            F.lit(100.0).alias("identity_percent"),  # shared lines are identical
+            F.col("covered").alias("coverage_percent"),
+        )
+        return cut_lineage(edges.unionByName(mutual))
 
 
 _NEAR = r"""ln AS (SELECT DISTINCT doc_id, sha256(l) AS h, length(l) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), E' \t\r') AS l FROM documents) WHERE length(l) > 0),
   fi AS (SELECT h, min(doc_id) AS f FROM ln GROUP BY 1 HAVING count(*) > 1), tt AS (SELECT doc_id, sum(n) AS total FROM ln GROUP BY 1),
   sh AS (SELECT ln.doc_id, f, sum(n) AS shared FROM ln JOIN fi USING (h) WHERE ln.doc_id > f GROUP BY 1, 2),
-  ed AS (SELECT f AS a, doc_id AS b FROM sh JOIN tt USING (doc_id) WHERE 100.0 * shared / total >= 60 UNION SELECT min(doc_id) OVER (PARTITION BY sha256(text)), doc_id FROM documents WHERE text IS NOT NULL),
+  ed AS (SELECT f AS a, doc_id AS b FROM sh JOIN tt USING (doc_id) WHERE 100.0 * shared / total >= 60 UNION SELECT min(doc_id) OVER (PARTITION BY sha256(text)), doc_id FROM documents WHERE text IS NOT NULL
+    UNION SELECT a.doc_id, b.doc_id FROM ln a JOIN ln b ON a.h = b.h AND a.doc_id < b.doc_id JOIN tt x ON x.doc_id = a.doc_id JOIN tt y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.total, y.total HAVING 100 * sum(a.n) >= 60 * greatest(x.total, y.total)),
   cc AS (WITH RECURSIVE r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.z FROM r JOIN (SELECT a AS w, b AS z FROM ed UNION ALL SELECT b, a FROM ed) e ON r.y = e.w) SELECT x AS doc_id, min(y) AS component FROM r GROUP BY 1)"""
 
 
