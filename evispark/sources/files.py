@@ -38,6 +38,31 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a glob pattern, sorted; only names of one folder are listed, no file is opened."""
+    hadoop_path, fs = _fs(spark, pattern)
+    return sorted(f.getPath().toString() for f in fs.globStatus(hadoop_path) or [])
+
+
+def write_small(spark: SparkSession, path: str, content: str) -> None:
+    """A small text that is there whole or not at all: written beside its place and moved there."""
+    rough = f"{path}.part"
+    hadoop_path, fs = _fs(spark, rough)
+    stream = fs.create(hadoop_path, True)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    rename(spark, rough, path)
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    hadoop_path, fs = _fs(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def _relative(path: str | F.Column, root: str) -> F.Column:
     bare = F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
     prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"

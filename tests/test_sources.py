@@ -133,6 +133,52 @@ def test_commit_is_all_or_nothing(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["good", "other"]
 
 
+def test_a_commit_broken_off_anywhere_is_finished_or_taken_back(spark, tmp_path, monkeypatch):
+    """Stop before every step that changes a file; the next call finds old or new tables, never both kinds."""
+    from evispark.sources import files, sinks
+
+    class Stopped(BaseException):
+        """Like the end of the process: no handler of the commit runs on it."""
+
+    def stopping_at(n):
+        left = [n]
+
+        def guard(real):
+            def step(*args):
+                if left[0] == 0:
+                    raise Stopped
+                left[0] -= 1
+                return real(*args)
+
+            return step
+
+        for name in ("rename", "remove", "write_small"):
+            monkeypatch.setattr(sinks, name, guard(getattr(files, name)))
+        monkeypatch.setattr(files, "rename", guard(files.rename))
+
+    outcomes = []
+    for n in range(20):
+        one, two = (str(tmp_path / f"run{n}" / x) for x in ("one", "two"))
+        commit_tables({one: spark.range(1), two: spark.range(1)})
+        real = files.rename
+        stopping_at(n)
+        try:
+            commit_tables({one: spark.range(2), two: spark.range(2)})
+            stopped = False
+        except Stopped:
+            stopped = True
+        monkeypatch.undo()
+        assert files.rename is real
+        sinks.recover(spark, [one, two])
+        counts = {spark.read.parquet(p).count() for p in (one, two)}
+        assert len(counts) == 1
+        outcomes.append(counts.pop())
+        assert sorted(p.name for p in (tmp_path / f"run{n}").iterdir()) == ["one", "two"]
+        if not stopped:
+            break
+    assert outcomes[0] == 1 and outcomes[-1] == 2 and outcomes == sorted(outcomes) and len(outcomes) > 6
+
+
 def test_only_named_files_are_opened(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_bytes(b"abc" * 1000)
