@@ -8,7 +8,7 @@ from evispark.bindings.base import ASSAYS, GENES, MANIFEST, PRODUCTS, assays, ge
 from evispark.bindings.joins import matrix_tables
 from evispark.functions import rules as R
 from evispark.operators.aggregates import (
-    architecture, architecture_text, assay_breadth, assert_metrics, assessed_features, breadth_summary, count_matrix, count_matrix_long, coverage_gate, feature_coverage,
+    architecture, architecture_text, assay_breadth, assert_metrics, assessed_features, breadth_summary, count_matrix, count_matrix_blocks, count_matrix_long, coverage_gate, feature_coverage,
     features_by_entity, freq, group_rate, label_counts, locus_support, matrix_stats, metrics_long, overlap_groups, pair_completeness, receptor_support,
     scope_counts, source_summary, status_report, summarise_groups, support_audit, test_coverage,
 )
@@ -31,12 +31,28 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
     return summarise_groups(li, "key", "m", {"supplier_count": "l_suppkey", "order_count": "l_orderkey"}, {"first_flag": "l_returnflag"}, {"first_status": "st"})
 
 
+@register("count_matrix_parts", "PIVOT part ON p_type USING count(*) GROUP BY p_brand")
+def _matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """A column for every part type there is; the types are few, so their names go through the driver."""
+    p = table(spark, sf, "part")
+    names = [r[0] for r in p.select("p_type").distinct().orderBy("p_type").collect()]
+    return count_matrix(p, ["p_brand"], "p_type", names)
+
+
 @register(
-    "count_matrix_parts",
-    """SELECT p_brand, count(*) FILTER (p_type = 'ECONOMY') AS "ECONOMY", count(*) FILTER (p_type = 'PROMO') AS "PROMO", count(*) FILTER (p_type = 'GIANT') AS "GIANT" FROM part GROUP BY 1""",
+    "count_matrix_blocks_parts",
+    """WITH n AS (SELECT p_name, (row_number() OVER (ORDER BY p_name) - 1)::BIGINT AS no FROM (SELECT DISTINCT p_name FROM part)), c AS (SELECT p_brand, no, count(*) AS k FROM part JOIN n USING (p_name) GROUP BY 1, 2),
+    b AS (SELECT DISTINCT p_brand, no // 64 AS block FROM c) SELECT b.p_brand, block, string_agg(coalesce(k, 0)::VARCHAR, ';' ORDER BY i) AS counts FROM b CROSS JOIN range(64) t(i) LEFT JOIN c ON c.p_brand = b.p_brand AND c.no = block * 64 + i GROUP BY 1, 2""",
 )
-def _matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return count_matrix(table(spark, sf, "part"), ["p_brand"], "p_type", ["ECONOMY", "PROMO", "GIANT"])
+def _matrix_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands by part names: a column per name, in blocks of 64 columns; blocks without a count are left out."""
+    blocks, _ = count_matrix_blocks(table(spark, sf, "part"), ["p_brand"], "p_name", 64)
+    return blocks.withColumn("counts", F.array_join(F.transform("counts", lambda x: x.cast("string")), ";"))
+
+
+@register("count_matrix_columns_parts", "SELECT p_name, (row_number() OVER (ORDER BY p_name) - 1)::BIGINT AS column_no FROM (SELECT DISTINCT p_name FROM part)")
+def _matrix_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return count_matrix_blocks(table(spark, sf, "part"), ["p_brand"], "p_name", 64)[1]
 
 
 @register("count_matrix_long_parts", "SELECT p_brand, p_size, count(*) AS count FROM part GROUP BY 1, 2")

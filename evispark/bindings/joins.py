@@ -141,44 +141,46 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "patch_merge_suppliers",
     """WITH p AS (SELECT 'S' || l_suppkey AS id, max_by(CASE WHEN l_quantity > 10 THEN l_quantity::INT::VARCHAR END, CASE WHEN l_quantity > 10 THEN o END) AS a, max_by(CASE WHEN l_tax > 0.01 THEN l_returnflag END, CASE WHEN l_tax > 0.01 THEN o END) AS b
-      FROM (SELECT *, l_orderkey::HUGEINT * 1000000 + l_linenumber * 100000 + l_partkey AS o FROM lineitem WHERE l_suppkey % 3 > 0) GROUP BY 1),
-    s AS (SELECT 'S' || s_suppkey AS id, s_name AS name, 'base' AS a FROM supplier WHERE s_suppkey % 5 > 0)
+      FROM (SELECT *, l_orderkey::HUGEINT * 1000000 + l_linenumber * 100000 + l_partkey AS o FROM lineitem) GROUP BY 1),
+    s AS (SELECT 'S' || s_suppkey AS id, s_name AS name, 'base' AS a FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'N' || n_nationkey, n_name, 'base' FROM nation)
     SELECT coalesce(s.id, p.id) AS id, s.name, coalesce(p.a, s.a) AS a, p.b, CASE WHEN p.id IS NULL THEN 'not_supplied' ELSE 'supplied' END AS tool_status FROM s FULL JOIN p ON s.id = p.id""",
 )
 def _patch(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").filter("l_suppkey % 3 > 0")
+    li = table(spark, sf, "lineitem")
     patch = li.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("id"),
         F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("int").cast("string")).otherwise("-").alias("a"),
         F.when(F.col("l_tax") > 0.01, F.col("l_returnflag")).otherwise("NA").alias("b"),
         (F.col("l_orderkey").cast("decimal(30,0)") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("o"),
     )
-    base = table(spark, sf, "supplier").filter("s_suppkey % 5 > 0").select(
+    base = table(spark, sf, "supplier").filter("s_acctbal > 0").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("base").alias("a")
     )
+    nations = table(spark, sf, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.lit("base").alias("a"))
+    base = base.unionByName(nations)  # no line item patches a nation
     return patch_merge(base, patch, "id", ["a", "b"], "o", "tool_status")
 
 
-_COMPAT = """dl AS (SELECT 'U' || user_id AS phage, 'H' || (user_id % 30) AS host, CASE WHEN user_id % 4 = 0 THEN 'K1' ELSE '' END AS k FROM (SELECT DISTINCT user_id FROM events)),
-  hd AS (SELECT 'H' || (l_suppkey % 40) AS host, p_type AS ty, 'sys ' || p_name AS sy FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 40 < 20),
-  ad AS (SELECT 'U' || user_id AS phage, event_type AS cl, CASE WHEN floor(value)::INT % 3 = 0 THEN 'PROMO' WHEN floor(value)::INT % 3 = 1 THEN 'sys red ring' ELSE 'none' END AS ta FROM events WHERE user_id % 3 > 0)"""
+_COMPAT = """dl AS (SELECT 'U' || user_id AS phage, 'H' || max(floor(value)::BIGINT) AS host, CASE WHEN user_id % 4 = 0 THEN 'K1' ELSE '' END AS k FROM events GROUP BY user_id),
+  hd AS (SELECT 'H' || l_suppkey AS host, p_type AS ty, 'sys ' || p_name AS sy FROM lineitem JOIN part ON l_partkey = p_partkey),
+  ad AS (SELECT 'U' || user_id AS phage, event_type AS cl, CASE WHEN floor(value)::INT % 3 = 0 THEN 'PROMO' WHEN floor(value)::INT % 3 = 1 THEN 'sys red ring' ELSE 'none' END AS ta FROM events WHERE event_type = 'purchase')"""
 
 
 def compatibility_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = table(spark, sf, "events")
     u = F.col("user_id")
     phage = F.concat(F.lit("U"), u.cast("string")).alias("phage_genome_id")
-    links = e.select("user_id").distinct().select(
-        phage, F.concat(F.lit("H"), (u % 30).cast("string")).alias("host_genome_id"), F.when(u % 4 == 0, "K1").otherwise("").alias("K_type"), F.lit("").alias("O_type")
+    links = e.groupBy("user_id").agg(F.max(F.floor("value")).alias("top")).select(
+        phage, F.concat(F.lit("H"), F.col("top").cast("string")).alias("host_genome_id"), F.when(u % 4 == 0, "K1").otherwise("").alias("K_type"), F.lit("").alias("O_type")
     )
-    lp = table(spark, sf, "lineitem").filter("l_suppkey % 40 < 20").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lp = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     defense = lp.select(
-        F.concat(F.lit("H"), (F.col("l_suppkey") % 40).cast("string")).alias("host_genome_id"),
+        F.concat(F.lit("H"), F.col("l_suppkey").cast("string")).alias("host_genome_id"),
         F.col("p_type").alias("defense_type"),
         F.concat(F.lit("sys "), F.col("p_name")).alias("defense_system"),
     )
     third = F.floor("value") % 3
-    anti = e.filter("user_id % 3 > 0").select(
+    anti = e.filter("event_type = 'purchase'").select(
         phage, F.col("event_type").alias("antidefense_class"), F.when(third == 0, "PROMO").when(third == 1, "sys red ring").otherwise("none").alias("target_defense_system")
     )
     return links, defense, anti
@@ -379,7 +381,7 @@ def _parity(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "mapping_statistics_customers",
-    f"""WITH {_MAP}, src AS (SELECT DISTINCT 'U' || user_id AS s FROM events), can AS (SELECT 'C' || c_custkey AS c FROM customer WHERE c_custkey < 400),
+    f"""WITH {_MAP}, src AS (SELECT DISTINCT 'U' || user_id AS s FROM events), can AS (SELECT 'C' || c_custkey AS c FROM customer WHERE c_mktsegment <> 'BUILDING'),
     m AS (SELECT source_id, max(CASE WHEN lower(st) IN ('reviewed', 'approved') THEN 1 ELSE 0 END) AS rv FROM mp GROUP BY 1)
     SELECT (SELECT count(*) FROM mp) AS rows, (SELECT count(*) FROM m) AS mapped_ids, (SELECT sum(rv)::BIGINT FROM m) AS reviewed, (SELECT count(*) FROM mp) - (SELECT sum(rv)::BIGINT FROM m) AS pending,
       (SELECT count(*) FROM src WHERE s NOT IN (SELECT source_id FROM mp)) AS missing_source_ids, (SELECT count(*) FROM m WHERE source_id NOT IN (SELECT s FROM src)) AS extra_source_ids,
@@ -387,7 +389,7 @@ def _parity(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _map_stats(spark: SparkSession, sf: str) -> DataFrame:
     sources = table(spark, sf, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")))
-    canon = table(spark, sf, "customer").filter("c_custkey < 400").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")))
+    canon = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")))
     return map_stats(id_mapping(spark, sf), sources, canon)
 
 

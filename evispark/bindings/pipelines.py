@@ -246,19 +246,23 @@ def _hosts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return integrate_hosts(manifest(spark, sf), clusters(spark, sf), *_typing(spark, sf))
 
 
-# A source that names a host known only from typing also resolves, so the checked links leave out those records.
+_LINKS = f"""{_HOSTS}, kn AS (SELECT h FROM hs), l1 AS (SELECT rv.*, CASE WHEN source IN (SELECT h FROM kn) THEN 'source_matches_host_genome_id' WHEN hits = 1 THEN 'host_species_strain_exact_match' WHEN hits > 1 THEN 'ambiguous_host_species_strain_match' WHEN label <> '' THEN 'metadata_only_host_no_genome' ELSE 'no_host_metadata' END AS ls FROM rv),
+  l2 AS (SELECT *, CASE ls WHEN 'source_matches_host_genome_id' THEN source WHEN 'host_species_strain_exact_match' THEN pid WHEN 'metadata_only_host_no_genome' THEN 'metadata_host_' || left(sha256(lower(host_species || '|' || host_strain || '|' || label)), 12) ELSE '' END AS hid2 FROM l1),
+  l3 AS (SELECT *, last_value(nullif(K_type, '') IGNORE NULLS) OVER (PARTITION BY hid2 ORDER BY row_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk, last_value(nullif(ST, '') IGNORE NULLS) OVER (PARTITION BY hid2 ORDER BY row_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rst FROM l2)"""
+
+
+_MADE = "ls = 'metadata_only_host_no_genome'"
+
+
 @register(
     "host_table_orders",
-    f"""WITH {_HOSTS} SELECT h AS host_genome_id, st AS "ST", amr AS "AMR_markers", k AS "K_type", src AS host_record_source, rs AS kleborate_status, ss AS kaptive_status FROM hs""",
+    f"""WITH {_LINKS}, lc AS (SELECT hid2 AS h, count(DISTINCT genome_id) AS n FROM l3 WHERE hid2 <> '' GROUP BY 1),
+    al AS (SELECT h, st, amr, k, src, rs, ss FROM hs UNION ALL SELECT hid2, max_by(ST, row_number) FILTER (ST <> ''), NULL, max_by(K_type, row_number) FILTER (K_type <> ''), 'phage_host_metadata', NULL, NULL FROM l3 WHERE {_MADE} GROUP BY 1)
+    SELECT al.h AS host_genome_id, st AS "ST", amr AS "AMR_markers", k AS "K_type", src AS host_record_source, rs AS kleborate_status, ss AS kaptive_status, n AS linked_phage_count FROM al LEFT JOIN lc USING (h)""",
 )
 def _host_table(spark: SparkSession, sf: str) -> DataFrame:
-    hosts = _hosts(spark, sf)["hosts"].filter("host_record_source <> 'phage_host_metadata'")
-    return hosts.select("host_genome_id", "ST", "AMR_markers", "K_type", "host_record_source", "kleborate_status", "kaptive_status")
-
-
-_LINKS = f"""{_HOSTS}, kn AS (SELECT h FROM hs), l1 AS (SELECT rv.*, CASE WHEN source IN (SELECT h FROM kn) THEN 'source_matches_host_genome_id' WHEN hits = 1 THEN 'host_species_strain_exact_match' WHEN hits > 1 THEN 'ambiguous_host_species_strain_match' WHEN label <> '' THEN 'metadata_only_host_no_genome' ELSE 'no_host_metadata' END AS ls FROM rv),
-  l2 AS (SELECT *, CASE ls WHEN 'source_matches_host_genome_id' THEN source WHEN 'host_species_strain_exact_match' THEN pid WHEN 'metadata_only_host_no_genome' THEN 'metadata_host_' || left(sha256(lower(host_species || '|' || host_strain || '|' || label)), 12) ELSE '' END AS hid2 FROM l1),
-  l3 AS (SELECT *, last_value(nullif(K_type, '') IGNORE NULLS) OVER (PARTITION BY hid2 ORDER BY row_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rk, last_value(nullif(ST, '') IGNORE NULLS) OVER (PARTITION BY hid2 ORDER BY row_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rst FROM l2)"""
+    hosts = _hosts(spark, sf)["hosts"]
+    return hosts.select("host_genome_id", "ST", "AMR_markers", "K_type", "host_record_source", "kleborate_status", "kaptive_status", "linked_phage_count")
 
 
 @register(

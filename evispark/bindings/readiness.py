@@ -10,20 +10,20 @@ from evispark.operators.readiness import (
     curation_priority, deficit_orders, metric_bridge, min_set_rank, readiness, status_cascade, traceability, unlock,
 )
 
-_NEEDS = """nd AS (SELECT DISTINCT 'C' || o_custkey AS goal, 'P' || (l_partkey % 200) AS item, CASE WHEN l_linenumber % 2 = 0 THEN 'optional' ELSE 'required' END AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-  stt AS (SELECT 'P' || p_partkey AS item, p_size > 2 AS ready, p_size % 4 AS pri FROM part WHERE p_partkey < 190)"""
+_NEEDS = """nd AS (SELECT DISTINCT 'C' || o_custkey AS goal, 'P' || l_partkey AS item, CASE WHEN l_linenumber % 2 = 0 THEN 'optional' ELSE 'required' END AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  stt AS (SELECT 'P' || p_partkey AS item, p_size > 2 AS ready, p_size % 4 AS pri FROM part WHERE p_type <> 'GIANT')"""
 
 
 def needs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A customer is a goal, the parts it orders are the items it needs."""
+    """A customer is a goal, the parts it orders are the items it needs. Giant parts have no status."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     wanted = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("goal"),
-        F.concat(F.lit("P"), (F.col("l_partkey") % 200).cast("string")).alias("item"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("item"),
         F.when(F.col("l_linenumber") % 2 == 0, "optional").otherwise("required").alias("role"),
     ).distinct()
-    p = table(spark, sf, "part").filter("p_partkey < 190")
+    p = table(spark, sf, "part").filter("p_type <> 'GIANT'")
     status = p.select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("item"), (F.col("p_size") > 2).alias("ready"), (F.col("p_size") % 4).alias("priority_order")
     )

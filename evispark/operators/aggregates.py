@@ -79,6 +79,22 @@ def count_matrix_long(df: DataFrame, rows: Sequence[str], column: str) -> DataFr
     return df.groupBy(*rows, column).agg(F.count("*").alias("count"))
 
 
+def count_matrix_blocks(df: DataFrame, rows: Sequence[str], column: str, width: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """A count matrix with a column per value found, however many there are, and the table of its columns.
+
+    Values are numbered in their order (``column_no`` from 0). The matrix has a row per row key and block of ``width``
+    columns: ``block`` and ``counts``, the counts of columns ``block * width`` on, zero filled. A block without a count is
+    left out. No list of values passes the driver. Null values are no column.
+    """
+    present_ = df.filter(F.col(column).isNotNull())
+    columns = positions(present_.select(column).distinct(), [], [column], "column_no")
+    long = count_matrix_long(present_, rows, column).join(columns, column)
+    place = F.struct((F.col("column_no") % width).alias("at"), F.col("count"))
+    blocks = long.groupBy(*rows, F.floor(F.col("column_no") / width).cast("bigint").alias("block")).agg(F.map_from_entries(F.collect_list(place)).alias("_at"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("_at")[i.cast("bigint")], F.lit(0).cast("bigint")))
+    return blocks.withColumn("counts", cells).drop("_at"), columns
+
+
 def _domain_rows(domains: DataFrame, gene: str) -> DataFrame:
     start = F.coalesce("start_aa", F.lit(10**9)).cast("bigint")
     return domains.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from evispark.functions import rules as R
 from evispark.functions.missing import MISSING, is_missing, present
@@ -73,11 +73,11 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(e: DataFrame) -> tuple:
-    row = e.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-    ).collect()[0]
-    return row["n"], row["s"]
+def _counted(rounds: Scratch, e: DataFrame) -> tuple[DataFrame, dict]:
+    """Write a round's edges; their count and an order-free digest are taken on the way."""
+    seen = Observation()
+    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")
+    return rounds.table(e.observe(seen, F.count(F.lit(1)).alias("n"), digest)), seen.get
 
 
 def connected_components(
@@ -92,21 +92,17 @@ def connected_components(
     needed grow with the logarithm of the number of nodes.
     """
     rounds = Scratch(nodes.sparkSession)
-    e = rounds.table(
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .filter(F.col("u") != F.col("v"))
-        .distinct()
-    )
-    state = _state(e)
-    for _ in range(max_rounds):
-        e = rounds.table(_small_star(_large_star(e)))
+    ordered = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+    e, state = _counted(rounds, ordered.filter(F.col("u") != F.col("v")).distinct())
+    for _ in range(max_rounds if state["n"] else 0):
+        e, after = _counted(rounds, _small_star(_large_star(e)))
         rounds.clear(keep=1)
-        after = _state(e)
         if after == state:
             break
         state = after
     else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
+        if state["n"]:
+            raise RuntimeError(f"components not settled after {max_rounds} rounds")
     stars = e.select(F.col("u").alias("_u"), F.col("v").alias("_root"))
     return (
         nodes.join(stars, nodes[node] == stars["_u"], "left")
