@@ -1,16 +1,14 @@
 """Byte-level BPE encoding by a finite-state transducer and decoding by a UTF-8 state machine.
 
 The encoding of every prefix of a piece ends in exactly one token, and that token fits behind the encoding of what is
-before it. So a piece can be read byte by byte with a set of threads: a thread knows the last token before its start
-and the bytes since, as a node in the trie of tokens. When its bytes are a token that fits, that token ends the
-encoding of the prefix, and a thread starts behind it. The set of threads is one state of a deterministic transducer,
-built when it is first met. Tokens on which all threads agree are emitted; a thread lives no longer than the longest
-token, so emission lags by a bounded number of bytes.
+before it. So a piece can be read byte by byte with a set of threads, one for each position where a token may have begun
+that is not complete. All that a set of threads can do next depends on the bytes since its first position, which are a
+node of the token trie: the sets are the states of a deterministic transducer, determinised as far as texts need them. Tokens
+on which all threads agree are emitted; a thread lives no longer than the longest token, so emission lags behind.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -20,96 +18,154 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from evispark.llm.ship import with_code
+from evispark.llm.ship import kept_tables, with_code
 from evispark.llm.vocab import PIECE, Merges, Pieces, merges, shared_file, spread
 from evispark.llm.words import slices, text_bytes
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: States kept before the transducer is built anew; bounds memory, not what is encoded.
-MOST_STATES = 80_000
+#: Transitions that are kept besides those of the token trie; others are made again each time.
+MOST_MOVES = 200_000
+#: Bytes at the start of a piece whose states are remembered, and how many such starts.
+HEAD, MOST_HEADS = 4, 40_000
+#: Bytes of a piece after which the tokens that all threads agree on are emitted.
+LOOKAHEAD = 4_096
 BATCH_BYTES = 8 << 20
 
 
 class Transducer:
-    """Bytes in, token ids out; states and transitions are made on demand."""
+    """Bytes in, token ids out. The states are the nodes of the token trie, so they are bounded by the vocabulary.
+
+    A state stands for the longest end of what was read that starts a token, and with it for all shorter ones: the subset
+    of threads that are alive. Transitions are made when they are first met. The tokens that end in a state are tried from
+    the longest; the one that fits behind the encoding up to its start ends the encoding of the prefix. What is
+    remembered of a text is that token for each position some thread may still go back to.
+    """
 
     def __init__(self, table: Merges):
         self.table = table
-        self.trie: dict[int, int] = {}
+        self.moves: dict[int, int] = {}  # those of the trie, then those that texts need
+        self.parent, self.byte, self.depth = [0], bytearray(1), [0]
         self.token: dict[int, int] = {}
-        size = 1
         for token, word in table.bytes.items():
             node = 0
             for byte in word:
                 key = node << 8 | byte
-                if key not in self.trie:
-                    self.trie[key] = size
-                    size += 1
-                node = self.trie[key]
+                if key not in self.moves:
+                    self.moves[key] = len(self.parent)
+                    self.parent.append(node)
+                    self.byte.append(byte)
+                    self.depth.append(self.depth[node] + 1)
+                node = self.moves[key]
             self.token[node] = token
+        self.parent, self.depth = np.asarray(self.parent, np.int32), np.asarray(self.depth, np.int32)
+        self.links = np.full(len(self.parent), -1, np.int32)
+        self.links[0] = 0
+        self.ends: list[tuple] = [()] * len(self.parent)
+        self.heads: dict[bytes, tuple[int, list[int]]] = {}
+        self.most = len(self.moves) + MOST_MOVES
+        self.sizes = {t: len(w) for t, w in table.bytes.items()}
         self.packed = {t: t.to_bytes(4, "little") for t in table.bytes}
-        self.forget()
-
-    def forget(self) -> None:
-        start = ((None, 0, ()),)
-        self.states = [start]
-        self.numbers = {start: 0}
-        self.moves: dict[int, tuple[int, bytes]] = {}
-        self.rests: dict[int, bytes] = {}
-
-    def _move(self, state: int, byte: int) -> tuple[int, bytes]:
-        alive, ended = [], None
-        step, tokens, limits = self.trie.get, self.token.get, self.table.limits.get
-        for last, node, chain in self.states[state]:
-            node = step(node << 8 | byte)
-            if node is None:
-                continue
-            alive.append((last, node, chain))
-            if ended is None and (token := tokens(node)) is not None:
-                ok = True if last is None else limits(last << 20 | token)
-                if ok is None:
-                    ok = self.table.fits(last, token)
-                if ok:
-                    ended = (token, 0, (*chain, token))
-        alive.append(ended)
-        said = b""
-        if least := min(alive[0][2], ended[2], key=len):
-            shared = 0
-            while shared < len(least) and all(chain[shared : shared + 1] == least[shared : shared + 1] for _, _, chain in alive):
-                shared += 1
-            if shared:
-                said = b"".join(map(self.packed.__getitem__, ended[2][:shared]))
-                alive = [(last, node, chain[shared:]) for last, node, chain in alive]
-        key = tuple(alive)
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.states)
-            self.states.append(key)
-        move = self.moves[state << 8 | byte] = (number, said)
-        return move
+
+    def _link(self, node: int) -> int:
+        """The state of the text of a state without its first byte."""
+        known = int(self.links[node])
+        if known < 0:
+            parent = int(self.parent[node])
+            known = self.links[node] = self._move(self._link(parent), self.byte[node]) if parent else 0
+        return int(known)
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state behind a byte: the first state along the links that the trie continues."""
+        key = state << 8 | byte
+        to = self.moves.get(key)
+        if to is None:
+            to = self._move(self._link(state), byte) if state else 0
+            if len(self.moves) < self.most:
+                self.moves[key] = to
+        return to
+
+    def _ends(self, state: int) -> tuple:
+        """The tokens that end in a state with their lengths, longest first."""
+        out, at = [], state
+        while at:
+            token = self.token.get(at)
+            if token is not None:
+                out.append((token, self.sizes[token]))
+            at = self._link(at)
+        made = self.ends[state] = tuple(out)
+        return made
 
     def encode(self, piece: bytes) -> bytes:
         """The token ids of one piece as packed 32-bit integers."""
-        if len(self.states) > MOST_STATES:
-            self.forget()
-        state, out, moves = 0, [], self.moves
-        for byte in piece:
-            state, said = moves.get(state << 8 | byte) or self._move(state, byte)
-            if said:
-                out.append(said)
-        rest = self.rests.get(state)
-        if rest is None:
-            rest = self.rests[state] = b"".join(map(self.packed.__getitem__, self.states[state][-1][2]))
-        out.append(rest)
+        whole = self.table.ids.get(piece)
+        if whole is not None:
+            return self.packed[whole]
+        head = piece[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            known = self._read(head, 0, [-1], [])
+            if len(self.heads) >= MOST_HEADS:
+                self.heads.clear()
+            self.heads[head] = known
+        said: list[bytes] = []
+        _, last = self._read(piece[HEAD:], known[0], known[1].copy(), said)
+        said.append(self._path(last, len(last) - 1))
+        return b"".join(said)
+
+    def _read(self, data: bytes, state: int, last: list[int], said: list[bytes]) -> tuple[int, list[int]]:
+        """Read bytes on from a state; ``last`` has the last token of each prefix, ``said`` takes what is emitted."""
+        moves, ends, limits = self.moves.get, self.ends, self.table.limits.get
+        at, full = len(last) - 1, LOOKAHEAD
+        for byte in data:
+            state = moves(state << 8 | byte) or self._move(state, byte)
+            at += 1
+            for token, size in ends[state] or self._ends(state):
+                before = last[at - size]
+                if before < 0:
+                    break
+                ok = limits(before << 20 | token)
+                if ok or (ok is None and self.table.fits(before, token)):
+                    break
+            last.append(token)
+            if at >= full:
+                last = self._agreed(last, int(self.depth[state]), said)
+                at = len(last) - 1
+                full = at + LOOKAHEAD
+        return state, last
+
+    def _path(self, last: list[int], at: int) -> bytes:
+        """The tokens of the encoding up to a position."""
+        out, sizes, packed = [], self.sizes, self.packed
+        while at > 0:
+            token = last[at]
+            out.append(packed[token])
+            at -= sizes[token]
+        out.reverse()
         return b"".join(out)
 
+    def _agreed(self, last: list[int], alive: int, said: list[bytes]) -> list[int]:
+        """Emit the tokens that all threads have in common, and forget what is before their ends."""
+        heads = set(range(max(0, len(last) - 1 - alive), len(last)))
+        while len(heads) > 1:  # the last position goes back by its token, until all have met
+            at = max(heads)
+            heads.discard(at)
+            heads.add(at - self.sizes[last[at]])
+        at = heads.pop()
+        said.append(self._path(last, at))
+        return last[at:] if at else last
+
 
 class Encoder:
     def __init__(self, table: Merges):
         machine = Transducer(table)
-        piece = Pieces(lambda p: machine.encode(p.encode())).__getitem__
-        self.first = Pieces(lambda run: b"".join(map(piece, PIECE.findall(run))), 50_000)
-        self.later = Pieces(lambda run: b"".join(map(piece, PIECE.findall(" " + run))))
+        piece = Pieces(lambda p: machine.encode(p.encode()), 24_000).__getitem__
+
+        def run(text: str) -> bytes:
+            parts = PIECE.findall(text)
+            return machine.encode(parts[0].encode()) if len(parts) == 1 else b"".join(map(piece, parts))
+
+        self.first = Pieces(run, 24_000)
+        self.later = Pieces(lambda text: run(" " + text), 200_000)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(spread(text, "\n", self.first, self.later)), np.int32)
@@ -181,14 +237,32 @@ class Decoder:
         return "".join([*out, stream.finish()])
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(raw: bytes) -> Encoder:
-    return Encoder(merges(raw))
+    """The encoder of a rank file's content, once per Python worker as long as it runs this operator's tasks."""
+    kept = kept_tables("bpe")
+    if kept.get("raw") != raw:
+        kept.clear()
+        kept["raw"] = raw
+    if "encoder" not in kept:
+        kept["encoder"] = Encoder(_table(raw))
+    return kept["encoder"]
 
 
-@functools.lru_cache(maxsize=2)
 def decoder(raw: bytes) -> Decoder:
-    return Decoder(merges(raw))
+    kept = kept_tables("bpe")
+    if kept.get("raw") != raw:
+        kept.clear()
+        kept["raw"] = raw
+    if "decoder" not in kept:
+        kept["decoder"] = Decoder(_table(raw))
+    return kept["decoder"]
+
+
+def _table(raw: bytes) -> Merges:
+    kept = kept_tables("bpe")
+    if "table" not in kept:
+        kept["table"] = merges(raw)
+    return kept["table"]
 
 
 def _portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

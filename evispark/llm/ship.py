@@ -1,12 +1,14 @@
-"""Sends this package's code to the executors, which need it for functions that run in Python."""
+"""Sends this package's code to the executors, and frees what one operator's tasks leave for the next one's."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 ARCHIVE = "evispark_llm_code.zip"
@@ -23,3 +25,19 @@ def with_code(spark: SparkSession) -> SparkSession:
                 archive.write(module, str(module.relative_to(package.parent.parent)))
         context.addPyFile(path)
     return spark
+
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept_tables(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. A worker keeps things of one operator at a time.
+
+    Workers outlive stages; the tasks of another operator drop what earlier ones kept and give the memory back.
+    """
+    if owner not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[owner] = {}
+    return _KEPT[owner]

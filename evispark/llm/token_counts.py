@@ -8,7 +8,6 @@ encoding anything again.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from evispark.llm.ship import with_code
+from evispark.llm.ship import kept_tables, with_code
 from evispark.llm.vocab import PIECE, Merges, Pieces, merges, shared_file, spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -107,9 +106,12 @@ class PrefixCounts:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def counter(raw: bytes) -> PrefixCounts:
-    return PrefixCounts(merges(raw))
+    """The counts of a vocabulary file's content, once per Python worker as long as it runs this operator's tasks."""
+    kept = kept_tables("token counts")
+    if kept.get("raw") != raw:
+        kept.update(raw=raw, counter=PrefixCounts(merges(raw)))
+    return kept["counter"]
 
 
 def _count(raw, every: bool):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import json
 import re
 from pathlib import Path
@@ -17,6 +16,23 @@ PIECE = regex.compile(public_tokenizers.PATTERN)
 _AWKWARD = re.compile(r"\s\s|^\s|\s\Z")
 
 
+#: Pairs of tokens of which it is remembered whether they fit, before all are forgotten.
+MOST_LIMITS = 400_000
+_LATEST = 1 << 62
+
+
+class Remembered(dict):
+    """What a function makes of a token; bounded by the vocabulary."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, token: int):
+        value = self[token] = self.make(token)
+        return value
+
+
 class Merges:
     """Tokens as ids, their bytes, and which pairs merge at which rank; lower ranks merge first."""
 
@@ -25,6 +41,8 @@ class Merges:
         self.ids = {b: i for i, b in tokens.items()}
         self.longest = max(map(len, self.ids))
         self.limits: dict[int, bool] = {}
+        self.parts = Remembered(self.halves)
+        self.ranks = Remembered(self.rank)
 
     def rank(self, token: int) -> int:
         """The rank of the merge that makes a token; -1 for single bytes."""
@@ -47,20 +65,23 @@ class Merges:
         known = self.limits.get(a << 20 | b)
         if known is not None:
             return known
-        left, right, bound, ok = a, b, None, True
+        left, right, bound, ok = a, b, _LATEST, True
+        parts, rank, across = self.parts, self.ranks, self.pair_rank
         while True:
-            across = self.pair_rank(left, right)
-            if across is not None and (bound is None or across < bound):
+            met = across(left, right)
+            if met is not None and met < bound:
                 ok = False
                 break
-            parts_left, parts_right = self.halves(left), self.halves(right)
-            if parts_left is None and parts_right is None:
-                break
-            if parts_right is None or (parts_left is not None and self.rank(left) > self.rank(right)):
-                bound, left = self.rank(left), parts_left[1]
+            parts_left, parts_right = parts[left], parts[right]
+            if parts_right is None:
+                if parts_left is None:
+                    break
+                bound, left = rank[left], parts_left[1]
+            elif parts_left is not None and rank[left] > rank[right]:
+                bound, left = rank[left], parts_left[1]
             else:
-                bound, right = self.rank(right) + 1, parts_right[0]
-        if len(self.limits) > 400_000:
+                bound, right = rank[right] + 1, parts_right[0]
+        if len(self.limits) > MOST_LIMITS:
             self.limits.clear()
         self.limits[a << 20 | b] = ok
         return ok
@@ -72,7 +93,6 @@ class RankMerges(Merges):
     def __init__(self, raw: bytes):
         pairs = (line.split() for line in raw.splitlines() if line)
         super().__init__({int(rank): base64.b64decode(token) for token, rank in pairs})
-        self._halves: dict[int, tuple[int, int] | None] = {}
 
     def rank(self, token: int) -> int:
         return token if len(self.bytes[token]) > 1 else -1
@@ -81,15 +101,13 @@ class RankMerges(Merges):
         return self.ids.get(self.bytes[a] + self.bytes[b])
 
     def halves(self, token: int) -> tuple[int, int] | None:
-        if token not in self._halves:
-            parts = [self.ids[bytes([x])] for x in self.bytes[token]]
-            while len(parts) > 2:  # the merges below the token's own rank
-                ranks = [self.pair_rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
-                best = min(r for r in ranks if r is not None)
-                at = ranks.index(best)
-                parts[at : at + 2] = [best]
-            self._halves[token] = tuple(parts) if len(parts) == 2 else None
-        return self._halves[token]
+        parts = [self.ids[bytes([x])] for x in self.bytes[token]]
+        while len(parts) > 2:  # the merges below the token's own rank
+            ranks = [self.pair_rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
+            best = min(r for r in ranks if r is not None)
+            at = ranks.index(best)
+            parts[at : at + 2] = [best]
+        return tuple(parts) if len(parts) == 2 else None
 
 
 def byte_letters() -> dict[str, int]:
@@ -125,9 +143,8 @@ class ListedMerges(Merges):
         return self._made[token][1] if token in self._made else None
 
 
-@functools.lru_cache(maxsize=2)
 def merges(raw: bytes) -> Merges:
-    """The table of a file's content, once per Python worker."""
+    """The table of a file's content."""
     return ListedMerges(raw) if raw[:1] == b"{" else RankMerges(raw)
 
 
@@ -139,10 +156,15 @@ def shared_file(spark: SparkSession, path: str, most: int = 64 << 20):
     return spark.sparkContext.broadcast(raw)
 
 
+#: Characters of the longest piece that is remembered; with the number of pieces it bounds the bytes.
+LONGEST_PIECE = 64
+
+
 class Pieces(dict):
     """Remembers what a function makes of a piece of text, for about the last ``most`` to twice as many pieces.
 
-    A full generation becomes the old one, and what is still asked for moves on from there, so common pieces stay.
+    A full generation becomes the old one, and what is still asked for moves on from there, so common pieces stay. Long
+    pieces are made each time.
     """
 
     def __init__(self, make, most: int = 120_000):
@@ -150,6 +172,8 @@ class Pieces(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str):
+        if len(piece) > LONGEST_PIECE:
+            return self.make(piece)
         value = self.old.get(piece)
         if value is None:
             value = self.make(piece)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from pathlib import Path
 
@@ -56,6 +57,46 @@ def test_long_runs_are_read_with_bounded_state():
         ).encode_ordinary(text)
 
 
+def test_a_piece_of_five_megabytes_keeps_a_bounded_memory(monkeypatch):
+    machine = bpe.Transducer(table)
+    rng = random.Random(7)
+    held, agreed = [], machine._agreed
+    monkeypatch.setattr(machine, "_agreed", lambda last, alive, said: held.append(len(last)) or agreed(last, alive, said))
+    piece = "".join(rng.choices("etaoinshrdlu", k=5_000_000)).encode()
+    ids = np.frombuffer(machine.encode(piece), np.int32)
+    assert decoder.bytes_of(ids) == piece
+    assert max(held) < 2 * bpe.LOOKAHEAD and len(machine.moves) <= machine.most
+    short = np.frombuffer(machine.encode(piece[:60_000]), np.int32)
+    assert short.tolist() == library._encode_single_piece(piece[:60_000])
+    same = (short[:-8] == ids[: len(short) - 8]).all()  # what is emitted does not depend on how the text goes on
+    assert same
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab\u00e9=", min_size=1, max_size=400), st.integers(1, 9))
+def test_early_emission_changes_nothing(text, lookahead):
+    machine = bpe.Transducer(table)
+    expected = machine.encode(text.encode())
+    bpe.LOOKAHEAD, before = lookahead, bpe.LOOKAHEAD
+    try:
+        assert machine.encode(text.encode()) == expected
+    finally:
+        bpe.LOOKAHEAD = before
+    assert np.frombuffer(expected, np.int32).tolist() == library._encode_single_piece(text.encode())
+
+
+def test_query_equals_the_library(spark, docs, rows, tmp_path):
+    """The digests the query returns."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(repr, (tuple(r) for r in bpe.op4_byte_bpe(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    ids = [library.encode_ordinary(r[1] or "") for r in rows]
+    assert got == sorted(repr((r[0], len(i), sha(",".join(map(str, i))), sha(r[1] or ""))) for r, i in zip(rows, ids, strict=True))
+    counted = sorted(map(repr, (tuple(r) for r in token_counts.op10_token_counts(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())))
+    sizes = [n_tokens(r[1] or "") for r in rows]
+    assert counted == sorted(repr((r[0], len((r[1] or "").encode()), n, n > 512)) for r, n in zip(rows, sizes, strict=True))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=40), st.integers(1, 5))
 def test_utf8_machine_decodes_any_portions(data, size):
