@@ -14,6 +14,7 @@ from evispark.operators.aggregates import (
 )
 from evispark.operators.reshape import explode_list, unpivot_cells
 from evispark.operators.scoring import module_clusters
+from evispark.plans.coverage import assay_feature_coverage
 
 
 @register(
@@ -430,3 +431,67 @@ def _explode(spark: SparkSession, sf: str) -> DataFrame:
     empty = (F.col("functional_category") == "") & (F.col("start").cast("bigint") % 7 == 0)
     listed = g.select(F.when(empty, "NA").otherwise(F.translate("product", " ", ";")).alias("words"))
     return explode_list(listed, "words", "word").groupBy("word").agg(F.count("*").alias("rows"))
+
+
+def _evidence_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Evidence on users (phages) and numbered hosts from all driver tables."""
+    c, s, n, p, o = (table(spark, sf, t) for t in ("customer", "supplier", "nation", "part", "orders"))
+
+    def name(letter: str, column: str, out: str) -> F.Column:
+        return F.concat(F.lit(letter), F.col(column).cast("string")).alias(out)
+
+    none = F.lit("")
+    qc = c.select(name("U", "c_custkey", "genome_id"), F.when(F.col("c_nationkey") % 2 == 0, "True").otherwise("false").alias("passes_sequence_qc"), none.alias("sequence_qc_status"))
+    hosts_qc = n.select(name("H", "n_nationkey", "genome_id"), none.alias("passes_sequence_qc"), F.when(F.col("n_regionkey") > 1, "pass").otherwise("fail").alias("sequence_qc_status"))
+    return {
+        "sequence_qc": qc.unionByName(hosts_qc),
+        "manifest": p.select(
+            name("U", "p_partkey", "genome_id"), F.when(F.col("p_size") > 20, "true").otherwise("false").alias("has_raw_sequence"), F.when(F.col("p_type") != "PROMO", "raw/x").otherwise("NA").alias("raw_sequence_path")
+        ),
+        "annotations": o.select(name("U", "o_custkey", "genome_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "Pharokka 1").otherwise("x").alias("tool"), none.alias("evidence")),
+        "rbps": s.select(name("U", "s_suppkey", "genome_id"), F.when(F.col("s_acctbal") > 0, "dom").otherwise("Absent").alias("domain_hit")),
+        "domains": p.select(name("U", "p_size", "genome_id"), F.lit("none").alias("domain_hit"), F.when(F.col("p_type") == "GIANT", "fold").otherwise("not_assessed").alias("structural_hit")),
+        "hosts": s.select(
+            name("H", "s_suppkey", "host_genome_id"), F.when(F.col("s_nationkey") % 3 == 0, "K1").otherwise("not_assessed").alias("K_type"),
+            F.when(F.col("s_acctbal") < 0, "O1").otherwise("").alias("O_type"), F.when(F.col("s_nationkey") > 12, "ST1").otherwise("-").alias("ST"),
+        ),
+        "host_defense": c.select(name("H", "c_nationkey", "host_genome_id"), F.when(F.col("c_mktsegment") == "BUILDING", "2").otherwise("0").alias("host_defense_system_count")),
+        "counter_defense": o.select(name("U", "o_custkey", "phage_genome_id"), F.when(F.col("o_orderstatus") == "P", "AcrIF").otherwise("").alias("phage_antidefense_classes")),
+        "phage_receptors": c.filter("c_mktsegment = 'MACHINERY'").select(name("U", "c_custkey", "phage_genome_id")),
+        "host_receptors": n.select(name("H", "n_nationkey", "host_genome_id")),
+    }
+
+
+@register(
+    "assay_feature_coverage_events",
+    f"""WITH {ASSAYS}, sets AS (
+      SELECT 'U' || c_custkey AS id, 'qs' AS b FROM customer UNION SELECT 'U' || c_custkey, 'qp' FROM customer WHERE c_nationkey % 2 = 0 UNION SELECT 'H' || n_nationkey, 'qs' FROM nation UNION SELECT 'H' || n_nationkey, 'qp' FROM nation WHERE n_regionkey > 1
+      UNION SELECT 'U' || p_partkey, 'raw' FROM part WHERE p_size > 20 AND p_type <> 'PROMO' UNION SELECT 'U' || o_custkey, 'ann' FROM orders WHERE o_orderpriority = '1-URGENT'
+      UNION SELECT 'U' || s_suppkey, 'rbp' FROM supplier UNION SELECT 'U' || s_suppkey, 'dom' FROM supplier WHERE s_acctbal > 0 UNION SELECT 'U' || p_size, unnest(['doms', 'strs']) FROM part UNION SELECT 'U' || p_size, 'str' FROM part WHERE p_type = 'GIANT'
+      UNION SELECT 'H' || s_suppkey, 'K' FROM supplier WHERE s_nationkey % 3 = 0 UNION SELECT 'H' || s_suppkey, 'O' FROM supplier WHERE s_acctbal < 0 UNION SELECT 'H' || s_suppkey, 'ST' FROM supplier WHERE s_nationkey > 12
+      UNION SELECT 'H' || c_nationkey, 'defs' FROM customer UNION SELECT 'H' || c_nationkey, 'def' FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT 'U' || o_custkey, 'cds' FROM orders UNION SELECT 'U' || o_custkey, 'cd' FROM orders WHERE o_orderstatus = 'P'
+      UNION SELECT 'U' || c_custkey, 'pr' FROM customer WHERE c_mktsegment = 'MACHINERY' UNION SELECT 'H' || n_nationkey, 'hr' FROM nation),
+    e AS (SELECT id, list(b) AS bs FROM sets GROUP BY 1), f AS (SELECT id, bs, list_contains(bs, 'qp') OR (NOT list_contains(bs, 'qs') AND list_contains(bs, 'raw')) AS ver FROM e),
+    pr AS (SELECT phage_id, host_id, coalesce(p.bs, []) AS l, coalesce(h.bs, []) AS r, coalesce(p.ver, false) AS lv, coalesce(h.ver, false) AS rv FROM assays a LEFT JOIN f p ON p.id = phage_id LEFT JOIN f h ON h.id = host_id WHERE tested = 'true' AND spot_result IN ('positive', 'negative')),
+    m AS (SELECT phage_id, host_id, unnest([
+      {{'m': 'phage_sequence_verified', 's': 1, 'd': lv, 'a': lv OR list_contains(l, 'qs')}}, {{'m': 'host_sequence_verified', 's': 2, 'd': rv, 'a': rv OR list_contains(r, 'qs')}},
+      {{'m': 'host_K_type', 's': 2, 'd': list_contains(r, 'K'), 'a': list_contains(r, 'K')}}, {{'m': 'host_O_type', 's': 2, 'd': list_contains(r, 'O'), 'a': list_contains(r, 'O')}}, {{'m': 'host_ST', 's': 2, 'd': list_contains(r, 'ST'), 'a': list_contains(r, 'ST')}},
+      {{'m': 'standardized_phage_annotation', 's': 1, 'd': list_contains(l, 'ann'), 'a': list_contains(l, 'ann')}}, {{'m': 'rbp_candidates', 's': 1, 'd': list_contains(l, 'rbp'), 'a': list_contains(l, 'rbp')}},
+      {{'m': 'domain_evidence', 's': 1, 'd': list_contains(l, 'dom'), 'a': list_contains(l, 'doms')}}, {{'m': 'structural_evidence', 's': 1, 'd': list_contains(l, 'str'), 'a': list_contains(l, 'strs')}},
+      {{'m': 'host_defense_evidence', 's': 2, 'd': list_contains(r, 'def'), 'a': list_contains(r, 'defs')}}, {{'m': 'phage_counterdefense_evidence', 's': 1, 'd': list_contains(l, 'cd'), 'a': list_contains(l, 'cds')}},
+      {{'m': 'receptor_layer_feature_completeness', 's': 0, 'd': list_contains(l, 'rbp') AND list_has_any(r, ['K', 'O']), 'a': list_contains(l, 'rbp') AND list_has_any(r, ['K', 'O'])}},
+      {{'m': 'seed_bridge_metadata_coverage', 's': 0, 'd': list_contains(l, 'pr') AND list_contains(r, 'hr'), 'a': list_contains(l, 'pr') AND list_contains(r, 'hr')}},
+      {{'m': 'defense_counterdefense_feature_completeness', 's': 0, 'd': list_contains(l, 'cd') AND list_contains(r, 'def'), 'a': list_contains(l, 'cds') AND list_contains(r, 'defs')}},
+      {{'m': 'productive_infection_outcomes', 's': 0, 'd': false, 'a': false}}]) AS x FROM pr),
+    c AS (SELECT x.m AS metric, 'pair' AS lv, count(*) FILTER (x.d) AS d, count(*) FILTER (x.a) AS a, count(*) AS n FROM m GROUP BY 1
+      UNION ALL SELECT x.m, 'unique_phage', count(DISTINCT phage_id) FILTER (x.d), count(DISTINCT phage_id) FILTER (x.a), count(DISTINCT phage_id) FROM m WHERE x.s = 1 GROUP BY 1
+      UNION ALL SELECT x.m, 'unique_host', count(DISTINCT host_id) FILTER (x.d), count(DISTINCT host_id) FILTER (x.a), count(DISTINCT host_id) FROM m WHERE x.s = 2 GROUP BY 1
+      UNION ALL SELECT 'tested_spot_pairs', 'pair', count(*), count(*), count(*) FROM pr UNION ALL SELECT 'unique_assay_phages', 'unique_phage', count(DISTINCT phage_id), count(DISTINCT phage_id), count(DISTINCT phage_id) FROM pr UNION ALL SELECT 'unique_assay_hosts', 'unique_host', count(DISTINCT host_id), count(DISTINCT host_id), count(DISTINCT host_id) FROM pr),
+    b AS (SELECT phage_id, panel_id, count(*) AS n, count(*) FILTER (spot_result = 'positive') AS p FROM assays WHERE spot_result IN ('positive', 'negative') GROUP BY 1, 2)
+    SELECT metric, lv AS entity_level, d AS numerator, a AS assessed, n AS denominator, round(d::DOUBLE / n, 9) AS coverage_fraction, CASE WHEN a = 0 THEN 'not_assessed' WHEN d = 0 THEN 'assessed_zero_detected' ELSE 'assessed_positive' END AS evidence_state, NULL AS phage_id, NULL AS panel_id FROM c
+    UNION ALL SELECT 'spot_breadth_continuous', 'phage_panel', p, n, n, round(p::DOUBLE / n, 9), 'descriptive_breadth_available', phage_id, panel_id FROM b""",
+)
+def _assay_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    a = assays(spark, sf)
+    out = assay_feature_coverage(a, _evidence_tables(spark, sf), assay_breadth(a, ["phage_id", "panel_id"]))
+    return out.withColumn("coverage_fraction", F.round("coverage_fraction", 9))

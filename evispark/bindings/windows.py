@@ -12,6 +12,7 @@ from evispark.operators.aggregates import packed_lists
 from evispark.operators.graph import connected_components, representatives, score_edges
 from evispark.operators.intervals import merged_length, summarise_hsps
 from evispark.operators.similarity import covering_links
+from evispark.operators.sketches import containment_pairs
 from evispark.operators.windows import (
     cap, disambiguate, first_occurrence, group_counter, keep_first, neighbor_context, ordered, ordinal_id, previous_value, priority_rank, rank_cutoff,
     running_last, top_k, top_per_key,
@@ -308,3 +309,9 @@ def _packed(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (-F.col("o_totalprice")).alias("p"))
     out = packed_lists(o, ["o_custkey"], "o_orderkey", ["p", "o_orderkey"])
     return out.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ";"))
+
+
+@register("containment_pairs_documents")
+def _contained(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents half of whose 16-letter strings another one has. Pairs come from minimizers, so no SQL states which are found."""
+    return containment_pairs(table(spark, sf, "documents").select("doc_id", "text"))
