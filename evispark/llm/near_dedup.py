@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evispark.llm.scratch import Scratch, written
-from evispark.llm.ship import with_code
+from evispark.llm.ship import give_back, kept_tables, with_code
 from evispark.llm.words import mix, shingles, slices, text_bytes, word_hashes
 from evispark.operators.graph import connected_components
 
@@ -130,6 +130,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def _sketch(words: int, bands: int, rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_tables("near-dedup")
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for first, last in slices(offsets, SLICE_BYTES):
@@ -149,6 +150,7 @@ def _sketch(words: int, bands: int, rows: int):
                     ],
                     ["doc_id", "text_hash", "digest", "bands"],
                 )
+        give_back()
 
     return sketch
 
@@ -168,6 +170,7 @@ def _shingle_sets(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), _lists(value[fresh].view(np.int64), n)], ["node", "shingles"]
                 )
+        give_back()
 
     return sets
 
@@ -181,25 +184,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.filter(F.col("both") / (F.col("sum") - F.col("both")) >= similarity).select("a", "b")
 
 
+def _blocks(texts: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(texts) / GROUP_TEXTS), F.ceil(F.col(shingles) / GROUP_SHINGLES)).cast("int")
+
+
 def _mixed(members: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """The texts of the bands that hold several classes, dealt into groups of bounded size.
 
-    A band of two texts is settled by its star, a band of one class needs no more. A band too large for a group is cut
-    in blocks, and every two blocks make a group, so each two texts of the band meet in one.
+    Texts of one class need no comparison, so only texts outside a band's largest class (strangers) meet all texts of the
+    band: the strangers are cut in blocks, the band is cut in blocks, and every block of one meets every block of the other
+    in a group. A text is sent as often as its band has blocks of strangers. A band of two texts is settled by its star.
     """
     known = members.join(labels, "node").join(sizes, "node").select("band", "node", "label", "n")
-    bands = known.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("texts"), F.sum("n").alias("n"))
-    blocks = F.greatest(F.ceil(F.col("texts") / GROUP_TEXTS), F.ceil(F.col("n") / GROUP_SHINGLES)).cast("int")
-    bands = bands.filter("l < h AND texts > 2").select("band", blocks.alias("blocks"))
-    known = known.drop("n").join(bands, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return known.select("band", "node", "label", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    classes = known.groupBy("band", "label").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    bands = classes.groupBy("band").agg(
+        F.count("*").alias("classes"), F.max(F.struct("texts", "label", "n")).alias("largest"), F.sum("texts").alias("texts"), F.sum("n").alias("n")
+    )
+    bands = bands.filter("classes > 1 AND texts > 2").select(
+        "band", F.col("largest.label").alias("largest"), _blocks("texts", "n").alias("blocks"),
+        (F.col("texts") - F.col("largest.texts")).alias("texts"), (F.col("n") - F.col("largest.n")).alias("n"),
+    )
+    bands = bands.withColumn("stranger_blocks", _blocks("texts", "n")).drop("texts", "n")
+    known = known.drop("n").join(bands, "band")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = known.filter(F.col("label") != F.col("largest")).withColumn("one", place("stranger_blocks")).withColumn("two", each("blocks"))
+    found = known.withColumn("one", each("stranger_blocks")).withColumn("two", place("blocks"))
+    return asked.unionByName(found).select("band", "node", "label", "one", "two")
 
 
 def _links_inside(similarity: float):
     """Links between different classes within a group: all its texts are compared, a spanning forest is returned."""
 
     def links(key: tuple, table: pa.Table) -> pa.Table:
+        _, once = np.unique(table["node"].to_numpy(), return_index=True)  # a stranger may come twice
+        table = table.take(pa.array(once))
         nodes, labels = table["node"].to_numpy(), table["label"].to_numpy()
         lists = table["shingles"].combine_chunks()
         counts = np.diff(lists.offsets.to_numpy())
@@ -254,9 +273,10 @@ def near_duplicates(
 
     Takes ``doc_id`` and ``text``; other columns are ignored. Two texts are linked when the sets of their shingles of
     ``words`` words have a Jaccard similarity of at least ``similarity``; classes are what links connect. ``class_id`` is
-    the smallest doc_id of the class and that document is the one kept. A text with fewer than ``words`` words has one
+    the smallest doc_id of the class and that document is the one kept; of several texts of that id the one of the smallest
+    text hash. A text with fewer than ``words`` words has one
     shingle of all its words; texts without words (null, empty, blank) are copies of each other. Equal texts are one
-    text from the start. Rows that share a doc_id are one document for ``kept``; a null id is never the class id unless
+    text from the start. Rows that share a doc_id and a text are one document for ``kept``; a null id is never the class id unless
     all ids of the class are null. An empty table gives an empty result.
     """
     rows_of = _classified(docs, words, similarity, bands, rows)
@@ -270,8 +290,8 @@ def _classified(docs: DataFrame, words: int, similarity: float, bands: int, rows
     sketches = written(docs.mapInArrow(_sketch(words, bands, rows), SKETCH))
     with Scratch(spark) as scratch:
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-        texts = sketches.groupBy("digest").agg(first, F.first("bands").alias("bands"))
-        texts = texts.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "bands")
+        texts = sketches.groupBy("digest").agg(first, F.first("bands").alias("bands"), F.count("*").alias("n_rows"))
+        texts = texts.select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "bands", "n_rows")
         texts = scratch.table(texts.withColumn("node", F.monotonically_increasing_id()))
         entries = texts.select("node", F.explode("bands").alias("band"))
         shared = entries.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
@@ -290,15 +310,14 @@ def _classified(docs: DataFrame, words: int, similarity: float, bands: int, rows
         links = scratch.table(links.distinct())
         if not links.isEmpty():
             labels = scratch.table(_merged(labels, links))
-        named = texts.select("node", "digest", "first_id").join(labels, "node", "left")
-        named = named.withColumn("label", F.coalesce("label", "node")).select("digest", "label", "first_id")
-        least = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-        classes = written(named.join(least, "label").select("digest", "label", "class_id"))
+        named = texts.select("node", "digest", "first_id", "first_hash", "n_rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        first = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "first_hash")).alias("first")
+        least = named.groupBy("label").agg(first, F.sum("n_rows").alias("class_size"))
+        least = least.select("label", F.col("first.first_id").alias("class_id"), F.col("first.first_hash").alias("kept_hash"), "class_size")
+        classes = written(named.select("digest", "label").join(least, "label").drop("label"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("kept_hash"))
     placed_rows = sketches.select("doc_id", "text_hash", "digest").join(classes, "digest")
-    sizes = placed_rows.groupBy("label").agg(F.count("*").alias("class_size"))
-    return placed_rows.join(sizes, "label").select(
-        "doc_id", "text_hash", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
-    )
+    return placed_rows.select("doc_id", "text_hash", "class_id", "class_size", kept.alias("kept"))
 
 
 def _text_hash() -> Column:
