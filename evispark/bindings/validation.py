@@ -10,9 +10,9 @@ from evispark.operators.gates import (
     eligible, export_gate, filter_with_reason, intake_lint, preflight, reason_counts, rows_satisfying,
 )
 from evispark.operators.validation import (
-    composition_by, duplicates, sequence_qc, validate_assays, validate_hits, validate_imported, validate_relationships,
+    duplicates, validate_assays, validate_hits, validate_imported, validate_relationships,
 )
-from evispark.plans.records import build_manifest
+from evispark.plans.records import build_manifest, run_sequence_qc
 
 _LIFE = "phage_lifestyle NOT IN ('virulent', 'temperate', 'ambiguous', 'NA', '')"
 _RULES = f"""[
@@ -103,7 +103,7 @@ def _sequence_qc(spark: SparkSession, sf: str) -> DataFrame:
     seqs = d.filter(~(k % 10).isin(0, 1)).select(
         genome, F.explode(F.array(F.substring(letters, F.lit(1), half), letters.substr(half + 1, F.length(letters)))).alias("sequence")
     )
-    out = sequence_qc(records, composition_by(seqs, "genome_id", "sequence"), _QC_LIMITS)
+    out = run_sequence_qc(seqs, records, _QC_LIMITS)
     return out.select(
         "genome_id", "sequence_qc_status", F.col("sequence_qc_messages").alias("messages"),
         F.round("gc_percent_observed", 6).alias("gc_percent_observed"), "length_delta_bp",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evispark.functions.missing import strip, text
 from evispark.functions.text import normalize_header
@@ -100,33 +100,44 @@ def resolve_headers(
 def read_records(
     spark: SparkSession, path: str, fields: Sequence[str], known_headers: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of a text with or without a header, tab- or space-separated; ``#`` lines are skipped.
+    """Rows of texts with or without a header, tab- or space-separated; ``#`` lines are skipped.
 
-    Returns the records and the lines with a wrong number of fields.
+    ``path`` may hold many files. The first line of a file is its header if it has one of ``known_headers``; each file's rows
+    are named by its own header, or by ``fields`` if it has none. The header is left out by its place, so a data row of the same
+    content stays. Returns the records, with the columns of all files (null where a file has no such column), and the
+    lines with a wrong number of fields.
     """
     order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     lines = (
         spark.read.text(path)
-        .select(F.regexp_replace("value", "^\ufeff", "").alias("value"), order.alias("_order"))
+        .select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("_file"), order.alias("_order"))
         .filter((strip("value") != "") & ~F.col("value").startswith("#"))
     )
     parts = F.when(F.col("value").contains("\t"), F.split("value", "\t")).otherwise(
         F.split(strip("value"), r"\s+")
     )
     lines = lines.withColumn("_parts", F.transform(parts, strip))
-    first = lines.select("_parts", "_order").orderBy("_order").limit(1).collect()
-    header = list(first[0]["_parts"]) if first else []
-    if {h.lower() for h in header} & {h.lower() for h in known_headers}:
-        names = header
-        lines = lines.filter(F.col("_parts") != F.array(*[F.lit(h) for h in header]))
-    else:
-        names = list(fields)
-    good = F.size("_parts") == len(names)
-    records = lines.filter(good).select("_order", *[F.get("_parts", i).alias(n) for i, n in enumerate(names)])
-    issues = lines.filter(~good).select(
+    # The head of a file is a minimum, found file by file before anything is moved.
+    heads = lines.groupBy("_file").agg(F.min_by("_parts", "_order").alias("_head"), F.min("_order").alias("_first"))
+    known = F.array(*[F.lit(h.lower()) for h in known_headers]) if known_headers else F.array().cast("array<string>")
+    named = F.arrays_overlap(F.transform("_head", F.lower), known)
+    heads = heads.select(
+        "_file", F.when(named, F.col("_head")).otherwise(F.array(*[F.lit(f) for f in fields])).alias("_names"), F.when(named, F.col("_first")).alias("_header")
+    )
+    layouts = [r["_names"] for r in heads.groupBy("_names").agg(F.min("_file").alias("_at")).orderBy("_at").collect()]
+    names = list(dict.fromkeys(n for layout in layouts for n in layout)) or list(fields)
+    rows = lines.join(heads, "_file").filter(~F.coalesce(F.col("_order") == F.col("_header"), F.lit(False)))
+    good = F.size("_parts") == F.size("_names")
+
+    def value(name: str) -> Column:
+        place = F.array_position("_names", name)
+        return F.when(place > 0, F.get("_parts", (place - 1).cast("int"))).alias(name)
+
+    records = rows.filter(good).select("_order", *[value(n) for n in names])
+    issues = rows.filter(~good).select(
         F.lit("error").alias("severity"),
         F.lit("record").alias("item"),
-        F.format_string(f"expected {len(names)} fields, observed %d", F.size("_parts")).alias("message"),
+        F.format_string("expected %d fields, observed %d", F.size("_names"), F.size("_parts")).alias("message"),
         F.col("value").alias("line"),
     )
     return records, issues

@@ -133,6 +133,21 @@ def test_commit_is_all_or_nothing(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["good", "other"]
 
 
+def test_every_file_has_its_own_header(spark, tmp_path):
+    """Three files with different headers, one without, and a data row that equals its header."""
+    (tmp_path / "a.tsv").write_text("# note\nid\tscore\nx1\t5\nid\tscore\n")
+    (tmp_path / "b.tsv").write_text("score\tname\tid\n7\tn\tx2\n8\tx3\n")
+    (tmp_path / "c.tsv").write_text("x4 9\n")
+    records, issues = read_records(spark, str(tmp_path), ["id", "score"], ["ID"])
+    assert records.columns == ["_order", "id", "score", "name"]
+    assert sorted((r.id, r.score, r.name) for r in records.collect()) == [("id", "score", None), ("x1", "5", None), ("x2", "7", "n"), ("x4", "9", None)]
+    assert [(r.line, r.message) for r in issues.collect()] == [("8\tx3", "expected 3 fields, observed 2")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.tsv").write_text("# nothing\n")
+    records, issues = read_records(spark, str(tmp_path / "none"), ["id", "score"], ["id"])
+    assert records.columns == ["_order", "id", "score"] and records.count() == issues.count() == 0
+
+
 def test_a_commit_broken_off_anywhere_is_finished_or_taken_back(spark, tmp_path, monkeypatch):
     """Stop before every step that changes a file; the next call finds old or new tables, never both kinds."""
     from evispark.sources import files, sinks
