@@ -29,7 +29,7 @@ MOST_MOVES = 200_000
 HEAD, MOST_HEADS = 4, 40_000
 #: Bytes of a piece after which the tokens that all threads agree on are emitted.
 LOOKAHEAD = 4_096
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 class Transducer:
@@ -165,7 +165,7 @@ class Encoder:
             return machine.encode(parts[0].encode()) if len(parts) == 1 else b"".join(map(piece, parts))
 
         self.first = Pieces(run, 24_000)
-        self.later = Pieces(lambda text: run(" " + text), 200_000)
+        self.later = Pieces(lambda text: run(" " + text), 150_000)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(spread(text, "\n", self.first, self.later)), np.int32)

@@ -5,8 +5,8 @@ byte and flags that tell whether the byte repeats one a few positions before. Le
 positions of a chunk and keep their largest response; the document's features are the mean and the maximum of these over
 its chunks, and a logistic layer makes one probability of them.
 
-Training takes a bounded sample of labelled documents and at most ``TRAIN_CHUNKS`` chunks of each, and runs on the
-driver; scoring reads every byte and runs in the tasks.
+Training takes a bounded sample of labelled documents, whole, and runs on the driver; scoring reads every byte and
+runs in the tasks. Both hold a bounded number of chunks at a time.
 """
 
 from __future__ import annotations
@@ -18,16 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evispark.llm.ship import with_code
+from evispark.llm.ship import give_back, kept_tables, with_code
 from evispark.llm.words import slices, text_bytes
 
 CHUNK, STEP = 512, 480
 LAGS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12)
 WIDTH, STRIDE = 8, 4
 FILTERS, EMBEDDING = 24, 4
-#: Labelled documents of each class, and chunks of a document, that training sees at most.
+#: Labelled documents of each class that training sees at most.
 CLASS_SAMPLE = 800
-TRAIN_CHUNKS = 8
 EPOCHS, BATCH, RATE = 10, 40, 0.01
 SLICE_BYTES = 1 << 20
 SLICE_CHUNKS = 256
@@ -84,10 +83,13 @@ class Network:
 
     def learn(self, chunks: np.ndarray, firsts: np.ndarray, labels: np.ndarray, weights: np.ndarray, step: int) -> None:
         """One step of Adam on a batch of documents."""
-        seen = self.windows(chunks)
-        response = (seen.reshape(-1, seen.shape[2]) @ self.filters).reshape(seen.shape[0], seen.shape[1], FILTERS)
-        best = response.argmax(axis=1)
-        raw = np.take_along_axis(response, best[:, None, :], 1)[:, 0, :] + self.shift
+        best = np.empty((len(chunks), FILTERS), np.int64)
+        raw = np.empty((len(chunks), FILTERS), np.float32)
+        for i in range(0, len(chunks), SLICE_CHUNKS):
+            seen = self.windows(chunks[i : i + SLICE_CHUNKS])
+            response = (seen.reshape(-1, seen.shape[2]) @ self.filters).reshape(seen.shape[0], seen.shape[1], FILTERS)
+            best[i : i + len(seen)] = response.argmax(axis=1)
+            raw[i : i + len(seen)] = response.max(axis=1) + self.shift
         pooled = np.maximum(raw, 0)
         features = self.features(pooled, firsts)
         p = 1 / (1 + np.exp(-np.clip(features @ self.out + self.bias[0], -30, 30)))
@@ -97,14 +99,18 @@ class Network:
         top = features[:, FILTERS:][doc] == pooled
         back = error[doc][:, None] * (self.out[:FILTERS] / n[doc][:, None] + self.out[FILTERS:] * top)
         back = (back * (raw > 0)).astype(np.float32)
-        picked = np.stack([seen[np.arange(len(seen)), best[:, f]] for f in range(FILTERS)], axis=1)
-        to_input = np.einsum("cf,if->cfi", back, self.filters).reshape(len(seen), FILTERS, WIDTH, -1)[..., :EMBEDDING]
-        at = best[:, :, None] * STRIDE + np.arange(WIDTH)
-        to_bytes = np.zeros_like(self.embedding)
-        np.add.at(to_bytes, chunks[np.arange(len(seen))[:, None, None], at], to_input)
+        to_bytes, to_filters = np.zeros_like(self.embedding), np.zeros_like(self.filters)
+        for i in range(0, len(chunks), SLICE_CHUNKS):
+            part, place, slope = (x[i : i + SLICE_CHUNKS] for x in (chunks, best, back))
+            seen = self.windows(part)
+            picked = np.stack([seen[np.arange(len(seen)), place[:, f]] for f in range(FILTERS)], axis=1)
+            to_filters += np.einsum("cf,cfi->if", slope, picked)
+            to_input = np.einsum("cf,if->cfi", slope, self.filters).reshape(len(seen), FILTERS, WIDTH, -1)[..., :EMBEDDING]
+            at = place[:, :, None] * STRIDE + np.arange(WIDTH)
+            np.add.at(to_bytes, part[np.arange(len(seen))[:, None, None], at], to_input)
         slopes = {
             "embedding": to_bytes,
-            "filters": np.einsum("cf,cfi->if", back, picked) + 1e-5 * self.filters,
+            "filters": to_filters + 1e-5 * self.filters,
             "shift": back.sum(axis=0),
             "out": (error @ features).astype(np.float32) + 1e-4 * self.out,
             "bias": error.sum(keepdims=True),
@@ -136,8 +142,7 @@ def _training_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         blobs = []
         for i in range(len(batch)):
             chunks, _ = chunked(data[offsets[i] : offsets[i + 1]], np.asarray([0, offsets[i + 1] - offsets[i]]))
-            pick = np.unique(np.linspace(0, len(chunks) - 1, TRAIN_CHUNKS).astype(int))
-            blobs.append(chunks[pick].tobytes())
+            blobs.append(chunks.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["label", "chunks"])
 
 
@@ -150,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", class_sam
     """Fit a network to ``labels`` (doc_id and 0/1 in ``target``) of documents that are not held out.
 
     Each class gives at most ``class_sample`` documents, those of the smallest hashed ids; the classes are weighted
-    as often as they occur. Returns None if one of the classes has no document. Contradicting labels of a document
+    as often as they occur. Of several texts of an id the one of the smallest hash is taken. Returns None if one of the classes has no document. Contradicting labels of a document
     count as 0.
     """
     with_code(docs.sparkSession)
@@ -163,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", class_sam
     some = [known.filter(F.col("label") == c).orderBy(order, "_id").limit(class_sample) for c in (0, 1)]
     sample = F.broadcast(some[0].unionByName(some[1]))  # at most twice class_sample rows of an id and a label
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("_id"))
-    rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").select("label", "text").mapInArrow(_training_chunks, "label int, chunks binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("r"))
+    rows = rows.select("doc_id", "r.label", "r.text").orderBy("doc_id").select("label", "text").mapInArrow(_training_chunks, "label int, chunks binary")
     found = rows.collect()
     if len({r["label"] for r in found}) < 2:
         return None
@@ -185,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", class_sam
 
 def _score(network: Network | None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_tables("quality")
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             scores = np.full(len(batch), 0.5)
@@ -192,6 +199,7 @@ def _score(network: Network | None):
                 chunks, firsts = chunked(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 scores[first:last] = network.score(chunks, firsts)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "score"])
+        give_back()
 
     return score
 

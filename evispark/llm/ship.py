@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -30,6 +31,15 @@ def with_code(spark: SparkSession) -> SparkSession:
 _KEPT: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system; the C library would keep most of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def kept_tables(owner: str) -> dict:
     """What an operator keeps in a Python worker from task to task. A worker keeps things of one operator at a time.
 
@@ -37,7 +47,6 @@ def kept_tables(owner: str) -> dict:
     """
     if owner not in _KEPT:
         _KEPT.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _KEPT[owner] = {}
     return _KEPT[owner]

@@ -17,7 +17,7 @@ _AWKWARD = re.compile(r"\s\s|^\s|\s\Z")
 
 
 #: Pairs of tokens of which it is remembered whether they fit, before all are forgotten.
-MOST_LIMITS = 400_000
+MOST_LIMITS = 300_000
 _LATEST = 1 << 62
 
 
