@@ -31,6 +31,8 @@ STEPS = 12
 #: A query stops reading when it is proved that no more vectors, or k, can be among the best; they are scored exactly.
 FEW = 1_000
 
+LONGEST = (1 << 63) - 1
+
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -38,7 +40,8 @@ class ImpactIndex:
     """Posting lists of a block of integer vectors, once by falling and once by rising value.
 
     The impact of a posting is how far its value lies from the worst value of the dimension, in whole steps; a
-    segment is the postings of one impact. ``ends[side][i, d]`` is the number of postings with an impact of i or more.
+    segment is the postings of one impact. Only impacts that occur have a segment: where a level ends is looked up in the
+    sorted impacts, so an index takes as much room as it has postings, whatever the values.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
@@ -50,10 +53,16 @@ class ImpactIndex:
             above = sign * vectors - (sign * vectors).min(axis=0)
             impacts = above // STEP
             order = np.argsort(-impacts, axis=0, kind="stable").astype(np.int32)
-            ranked = np.take_along_axis(impacts, order, 0)
+            ranked = np.ascontiguousarray(np.take_along_axis(impacts, order, 0).T)
             most = int(ranked.max(initial=0))
-            ends = np.stack([(ranked >= i).sum(axis=0) for i in range(most + 2)])
-            self.sides.append((np.ascontiguousarray(order.T), np.ascontiguousarray(ranked.T), ends, most))
+            keys = np.arange(self.dims)[:, None] * (most + 2) + most - ranked  # all lists as one sorted list
+            self.sides.append((np.ascontiguousarray(order.T), ranked, keys.ravel(), most))
+
+    def _upto(self, side: int, need: np.ndarray) -> np.ndarray:
+        """Postings of each dimension with at least the impact needed."""
+        *_, keys, most = self.sides[side]
+        dims = np.arange(self.dims)
+        return np.searchsorted(keys, dims * (most + 2) + most - np.minimum(need, most + 1), "right") - dims * self.rows
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best ids but the query's own; of equal scores the smaller id is better.
@@ -66,7 +75,6 @@ class ImpactIndex:
         """
         weight = np.abs(query)
         side = (query < 0).astype(int)
-        dims = np.arange(self.dims)
         most = np.asarray([s[3] for s in self.sides])[side]
         total = np.zeros(self.rows)
         done = np.zeros(self.dims, np.int64)
@@ -79,7 +87,7 @@ class ImpactIndex:
             need = np.where(weight > 0, np.minimum(need, most + 1), most + 1)
             if step == STEPS:
                 need[weight > 0] = 0
-            upto = np.where(side == 0, self.sides[0][2][np.minimum(need, self.sides[0][3] + 1), dims], self.sides[1][2][np.minimum(need, self.sides[1][3] + 1), dims])
+            upto = np.where(side == 0, self._upto(0, need), self._upto(1, need))
             todo = np.flatnonzero(upto > done)
             if len(todo):
                 at = [self.sides[side[d]][0][d, done[d] : upto[d]] for d in todo]
@@ -103,7 +111,17 @@ class ImpactIndex:
 
 
 def _matrix(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.int32).reshape(len(blobs), -1).astype(np.int64)
+    return np.frombuffer(b"".join(blobs), np.int64).reshape(len(blobs), -1)
+
+
+def _large(vectors: np.ndarray) -> np.ndarray:
+    """Vectors whose inner products need more than the digits of a double; they are scored one by one in whole numbers."""
+    return np.abs(vectors.astype(np.float64)).max(axis=1) >= math.sqrt(2**52 / vectors.shape[1])
+
+
+def _whole_scores(vectors: np.ndarray, query: np.ndarray) -> list[int]:
+    """Exact inner products, cut at the ends of a long."""
+    return [max(-LONGEST - 1, min(LONGEST, s)) for s in vectors.astype(object).dot(query.astype(object))] if len(vectors) else []
 
 
 def _search(k: int):
@@ -111,13 +129,23 @@ def _search(k: int):
         out: list[tuple] = []
         sizes = np.asarray([len(b) for b in vectors["vector"].to_pylist()])
         for size in np.unique(sizes):  # vectors of other lengths have no inner product with a query
-            mine = pa.array(sizes == size)
-            part = vectors.filter(mine)
-            index = ImpactIndex(part["vec_id"].to_numpy(), _matrix(part["vector"].to_pylist()))
-            for query, vector in zip(queries["query_id"].to_pylist(), queries["vector"].to_pylist(), strict=True):
-                if len(vector) == size:
-                    ids, scores = index.search(np.frombuffer(vector, np.int32).astype(np.int64), query, k)
-                    out += [(query, int(i), int(s)) for i, s in zip(ids, scores, strict=True)]
+            part = vectors.filter(pa.array(sizes == size))
+            ids, values = part["vec_id"].to_numpy(), _matrix(part["vector"].to_pylist())
+            large = _large(values)
+            index = ImpactIndex(ids[~large], values[~large]) if not large.all() else None
+            for own, blob in zip(queries["query_id"].to_pylist(), queries["vector"].to_pylist(), strict=True):
+                if len(blob) != size:
+                    continue
+                query = _matrix([blob])[0]
+                plain = index is not None and not _large(query[None, :])[0]
+                found = list(zip(*(x.tolist() for x in index.search(query, own, k)), strict=True)) if plain else []
+                rest = large if plain else np.ones(len(ids), bool)
+                others = zip(ids[rest].tolist(), _whole_scores(values[rest], query), strict=True)
+                best: dict[int, int] = {}
+                for i, score in (*found, *others):
+                    if i != own:
+                        best[i] = max(score, best.get(i, score))
+                out += [(own, i, score) for i, score in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
@@ -128,7 +156,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Quantised vectors as packed integers; one value list per row."""
     for batch in batches:
         column = batch.column(1)
-        ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int32)
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
         blobs = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["vec_id", "vector"])
 
@@ -136,12 +164,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """``vec_id`` and ``vector`` of floor(scale * x) per component; unusable rows are left out.
 
-    Left out are rows without an id, null or empty vectors, and those with a null or non-finite component.
+    Left out are rows without an id, null or empty vectors, and those with a null or non-finite component. Components
+    beyond the range of a long are cut to its ends.
     """
     doubles = F.col("embedding").cast("array<double>")
     bad = F.exists(doubles, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).filter(~bad)
-    whole = F.transform(doubles, lambda x: F.floor(x * scale).cast("int"))
+    whole = F.transform(doubles, lambda x: F.floor(x * scale))  # a long; larger numbers become the largest one
     return usable.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector"))
 
 
@@ -149,7 +178,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_vectors: int
     """The k best vectors for each query by integer inner product: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     Both tables have ``vec_id`` and ``vector`` (integers). A query's own id is no candidate; equal scores go to the
-    smaller id. A query that is repeated is asked once; a candidate that is repeated counts once. Vectors of another
+    smaller id. Scores are exact, and cut to the ends of a long where they are beyond it. A query that is repeated is asked once; a candidate that is repeated counts once. Vectors of another
     length than the query's take no part. Fewer than k candidates give fewer rows, an empty table none.
 
     Every group of queries meets every block of vectors in one task, which is the work of an exact search; a block
@@ -185,6 +214,7 @@ WITH v AS (
 scored AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
-ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+best AS (SELECT query_id, vec_id, max(score) AS score FROM scored GROUP BY query_id, vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM best)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K}
 """

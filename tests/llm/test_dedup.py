@@ -73,6 +73,22 @@ def test_near_duplicates_of_chains_and_strangers(spark):
     assert got == {row[0]: rows[c][0] for row, c in zip(rows, classes, strict=True)}
 
 
+def test_small_blocks_lose_no_link(spark, docs, monkeypatch):
+    """The same where a band's strangers and texts are dealt into many groups."""
+    monkeypatch.setattr(near_dedup, "GROUP_TEXTS", 4)
+    test_near_duplicates_of_chains_and_strangers(spark)
+
+
+def test_of_texts_that_share_the_smallest_id_one_is_kept(spark, docs):
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join([*base, "other"])]
+    frame = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    got = near_dedup.near_duplicates(frame).collect()
+    assert [r.class_id for r in got] == [1, 1, 1] and [r.class_size for r in got] == [3, 3, 3]
+    assert sorted((r.doc_id, r.kept) for r in got) == [(1, False), (1, True), (2, False)]
+    assert near_dedup.near_dedup_stage(spark, frame, "").count() == 1
+
+
 def test_near_dedup_stage_keeps_one_of_each_class(spark, unique_docs):
     left = near_dedup.near_dedup_stage(spark, unique_docs, "")
     assert left.columns == unique_docs.columns

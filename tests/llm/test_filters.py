@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 import re
 from collections import defaultdict
 
@@ -264,6 +266,75 @@ def test_top_k_is_exact_with_ties_and_odd_vectors(spark, monkeypatch):
     assert topk.top_k(vectors.limit(0), vectors.filter("vec_id % 50 = 0")).count() == 0
 
 
+def test_score_equals_a_forward_pass_in_plain_loops(spark, docs):
+    """The network worked through byte by byte for texts of one and of several chunks."""
+    net = quality.Network.fresh(5)
+    net.shift, net.bias = np.linspace(-1, 1, quality.FILTERS).astype(np.float32), np.asarray([0.3], np.float32)
+    texts = ["", "short é text", "a b " * 300, "".join(chr(97 + i * i % 26) for i in range(1_300))]
+
+    def score(text):
+        data = text.encode()
+        n = max(1, -(-max(len(data) - (quality.CHUNK - quality.STEP), 0) // quality.STEP))
+        pools = []
+        for c in range(n):
+            part = data[c * quality.STEP :][: quality.CHUNK]
+            part += bytes(quality.CHUNK - len(part))
+            signs = [[*net.embedding[part[i]], *[float(i >= lag and part[i] == part[i - lag] and part[i] != 0) for lag in quality.LAGS]] for i in range(quality.CHUNK)]
+            most = [-math.inf] * quality.FILTERS
+            for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                seen = [x for i in range(quality.WIDTH) for x in signs[at + i]]
+                for f in range(quality.FILTERS):
+                    most[f] = max(most[f], sum(x * w for x, w in zip(seen, net.filters[:, f].tolist(), strict=True)))
+            pools.append([max(0.0, m + float(net.shift[f])) for f, m in enumerate(most)])
+        features = [sum(p[f] for p in pools) / n for f in range(quality.FILTERS)] + [max(p[f] for p in pools) for f in range(quality.FILTERS)]
+        return 1 / (1 + math.exp(-(sum(x * float(w) for x, w in zip(features, net.out, strict=True)) + 0.3)))
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.score_texts(frame, net).collect():
+        assert r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-4)
+
+
+def test_slices_of_a_batch_learn_as_one(monkeypatch):
+    rng = np.random.default_rng(2)
+    chunks = rng.integers(1, 256, (9, quality.CHUNK)).astype(np.uint8)
+    made = []
+    for size in (256, 2):
+        monkeypatch.setattr(quality, "SLICE_CHUNKS", size)
+        net = quality.Network.fresh(1)
+        net.learn(chunks, np.asarray([0, 3, 4]), np.asarray([0.0, 1.0, 1.0]), np.ones(3), 1)
+        made.append(net)
+    for name in ("embedding", "filters", "shift", "out", "bias"):
+        assert np.allclose(getattr(made[0], name), getattr(made[1], name), atol=2e-3)
+
+
+def test_top_k_of_large_values_and_repeated_ids_is_exact(spark):
+    rng = random.Random(4)
+    small = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    rows = [(i, small()) for i in range(160)] + [(7, small()), (7, small()), (50, small()), (100, small())]
+    rows += [(200, [1e7, -1e7, 1.0, 0.0]), (201, [20_000_000.0, 0.0, 0.0, 0.0]), (202, [1e300, -1e300, 1.0, 1.0]), (150, [3e9, 1.0, 2.0, 3.0]), (203, [-1e300, 0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.quantised(frame)
+    got = {}
+    for r in topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), block_vectors=60).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = [(i, [cut(math.floor(256 * x)) for x in v]) for i, v in rows]
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        best = {}
+        for i, v in whole:
+            for j, w in whole:
+                if i == q and j != q:
+                    best[j] = max(best.get(j, -(2**70)), cut(sum(a * b for a, b in zip(v, w, strict=True))))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert sorted(got[q]) == [(n + 1, j, s) for n, (j, s) in enumerate(want)]
+
+
+def test_an_outlier_does_not_blow_up_the_index():
+    index = topk.ImpactIndex(np.arange(2), np.asarray([[0], [20_000_000]]))
+    assert sum(x.nbytes for side in index.sides for x in side[:3]) < 1_000
+    assert [x.tolist() for x in index.search(np.asarray([3]), -1, 2)] == [[1, 0], [60_000_000, 0]]
+
+
 def test_top_k_counts_an_id_of_many_rows_once(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [int(x) for x in rng.integers(-50, 50, 4)]) for i in range(300)]
