@@ -33,6 +33,8 @@ BEAMS, FULL = (16, 64), 0.5
 AUDIT_SHARE, AUDIT_LEAST, AUDIT_RECALL = 0.05, 256, 0.99
 #: Beams are compared in single precision, with this much room.
 ROOM = 1e-4
+#: Partitions of shards and of pairs of shards at most.
+MOST_TASKS = 20_000
 #: Similarities computed at a time when a whole shard is looked at.
 SCAN = 4 << 20
 
@@ -196,7 +198,9 @@ def shards_of(classes: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     packed = classes.select("first_id", "tie", "weight", "vector").mapInArrow(_pack, PACKED)
     packed = packed.withColumn("dim", (F.octet_length("vector") / 8).cast("int")).join(sizes, "dim")
     place = F.pmod(F.xxhash64("first_id", "tie"), F.col("shards")).cast("int")
-    return packed.withColumn("shard", place).groupBy("dim", "shard").applyInArrow(_build, SHARD)
+    total = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1)).alias("n")).first()["n"]
+    dealt = packed.withColumn("shard", place).repartition(min(total, MOST_TASKS), "dim", "shard")  # a shard is work for a task
+    return dealt.groupBy("dim", "shard").applyInArrow(_build, SHARD)
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -224,7 +228,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, shard_byt
         shards = scratch.table(shards_of(classes, shard_bytes))
         each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
         met = shards.withColumn("with", each).withColumn("one", F.least("shard", "with")).withColumn("two", F.greatest("shard", "with"))
-        found = met.drop("with", "shards").groupBy("dim", "one", "two").applyInArrow(_meet(cosine), FOUND)
+        n = shards.count()
+        met = met.drop("with", "shards").repartition(min(n * (n + 1) // 2 or 1, MOST_TASKS), "dim", "one", "two")
+        found = met.groupBy("dim", "one", "two").applyInArrow(_meet(cosine), FOUND)
         found = scratch.table(found)
         counted = found.groupBy(F.col("node.id").alias("first_id"), F.col("node.tie").alias("tie")).agg(F.sum("links").alias("links"))
         nodes = found.select(F.col("node").alias("id")).union(found.select("root")).distinct()
