@@ -72,6 +72,9 @@ def year_from(c: Column | str) -> Column:
 def fmt(c: Column | str, digits: int = 3, trim: bool = False) -> Column:
     """Fixed-point text for sinks, halves to even as the table format wants."""
     shown = F.format_string(f"%.{digits}f", F.bround(as_col(c), digits))
+    # Rounding to zero loses the sign, which the table format keeps.
+    lost = as_col(c).cast("string").startswith("-") & ~shown.startswith("-")
+    shown = F.concat(F.when(lost, "-").otherwise(""), shown)
     if trim:
         shown = F.regexp_replace(shown, r"\.?0+$", "") if digits else shown
     return shown
