@@ -184,18 +184,18 @@ def novel_subset(candidates: DataFrame, medium: float = R.CANDIDATE_THRESHOLDS["
     return candidates.filter(F.col("novelty_tier").isin("tier_1", "tier_2") & (F.col("confidence_score") >= medium))
 
 
-def module_clusters(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates with their module id, and one row per module.
-
-    A module is a gene cluster, else an enzyme class, else the candidate itself. Member
-    lists come from ``packed_lists`` on the first table.
-    """
+def module_members(candidates: DataFrame) -> DataFrame:
+    """Candidates with their module id. A module is a gene cluster, else an enzyme class, else the candidate itself."""
     key = F.coalesce(
         F.nullif(text("gene_cluster_id"), F.lit("")), F.nullif(text("predicted_enzyme_class"), F.lit("")), F.col("candidate_id")
     )
     keyed = candidates.withColumn("module_key", key)
     ids = ordinal_id(keyed.select("module_key").distinct(), ["module_key"], "rbp_module_", 6, "module_cluster_id")
-    members = keyed.drop("module_cluster_id").join(ids, "module_key")
+    return keyed.drop("module_cluster_id").join(ids, "module_key")
+
+
+def module_table(members: DataFrame) -> DataFrame:
+    """One row per module of ``module_members``. Member lists come from ``packed_lists`` on its table."""
     by = ["module_cluster_id"]
     facts = members.groupBy("module_cluster_id", "module_key").agg(
         F.count("*").alias("candidate_count"),
@@ -205,12 +205,17 @@ def module_clusters(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min_by("product", "candidate_id").alias("representative_product"),
     )
     exploded = members.select("module_cluster_id", F.explode(F.split("evidence_types", ";")).alias("evidence"))
-    modules = (
+    return (
         facts.join(distinct_text(members, by, "predicted_enzyme_class", "predicted_enzyme_classes"), by, "left")
         .join(distinct_text(exploded, by, "evidence", "evidence_types"), by, "left")
         .join(distinct_text(members, by, "novelty_tier", "novelty_tiers"), by, "left")
     )
-    return members, modules
+
+
+def module_clusters(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their module id, and one row per module."""
+    members = module_members(candidates)
+    return members, module_table(members)
 
 
 def with_context(annotations: DataFrame, ranges: int | None = None) -> DataFrame:
