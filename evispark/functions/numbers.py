@@ -49,19 +49,27 @@ def strict_number(
     Missing text gives neither. ``percent`` turns values above one into fractions;
     ``integer`` wants a whole number above zero.
     """
-    value = number_in(strip(c))
-    # Texts for "missing" are no numbers, so the number is parsed first, and once.
-    problem = F.when(value.isNull(), F.when(~is_missing(c), "not_numeric")).when(
-        F.isnan(value) | (F.abs(value) == float("inf")), "non_finite"
-    )
-    if integer:
-        problem = problem.when(value != F.floor(value), "not_integer").when(value <= 0, "not_positive")
-    if lo is not None:
-        problem = problem.when(value < lo, "below_minimum")
-    if hi is not None:
-        problem = problem.when(value > hi, "above_maximum")
-    kept = F.when(value > 1, value / 100).otherwise(value) if percent else value
-    return F.struct(F.when(problem.isNull(), kept).alias("value"), problem.alias("problem"))
+    # The array of one number binds it to a name; a plain column would be parsed again wherever it is read.
+    missing = is_missing(c)
+
+    def checked(value: Column) -> Column:
+        problem = F.when(value.isNull(), F.when(~missing, "not_numeric")).when(
+            F.isnan(value) | (F.abs(value) == float("inf")), "non_finite"
+        )
+        if integer:
+            problem = problem.when(value != F.floor(value), "not_integer").when(value <= 0, "not_positive")
+        if lo is not None:
+            problem = problem.when(value < lo, "below_minimum")
+        if hi is not None:
+            problem = problem.when(value > hi, "above_maximum")
+        return F.struct(value.alias("value"), problem.alias("problem"))
+
+    def settled(read: Column) -> Column:
+        value = read["value"]
+        kept = F.when(value > 1, value / 100).otherwise(value) if percent else value
+        return F.struct(F.when(read["problem"].isNull(), kept).alias("value"), read["problem"].alias("problem"))
+
+    return F.get(F.transform(F.transform(F.array(number_in(strip(c))), checked), settled), 0)
 
 
 def year_from(c: Column | str) -> Column:

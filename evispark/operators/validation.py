@@ -94,12 +94,23 @@ def _issue_array(rules: Sequence[Rule]) -> Column:
     )
 
 
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are worked out once per row, however often later steps name them.
+
+    Spark copies the text of a plain column into every filter and column that reads it, and nested ones multiply. It does not
+    look behind the row that an array of one struct gives.
+    """
+    held = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select("*", held).select(*kept, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def validate_rows(df: DataFrame, rules: Sequence[Rule], id_columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Add ``validation_status`` and ``validation_messages``; issues come as rows.
 
     A row is excluded when a rule of severity ``error`` fails.
     """
-    marked = df.withColumn("_issues", _issue_array(rules))
+    marked = once(df, {"_issues": _issue_array(rules)})
     has_error = F.exists("_issues", lambda i: i["severity"] == "error")
     shown = F.transform("_issues", lambda i: F.concat_ws(":", i["severity"], i["field"], i["message"]))
     result = (
@@ -459,9 +470,8 @@ def validate_hits(hits: DataFrame, kind: str, key: str = "annotation_gene_id") -
         rules.append(Rule("error", "structural_hit_id", "structural_hit_id is required", is_missing("structural_hit_id")))
     else:
         raise ValueError(f"unknown kind of hits: {kind}")
-    df = hits
-    for name, parsed in numbers.items():
-        df = df.withColumn(f"_{name}", parsed)
+    df = once(hits, {f"_{name}": parsed for name, parsed in numbers.items()})
+    for name in numbers:
         problem = F.col(f"_{name}.problem")
         rules.append(
             Rule("error", name, F.concat(F.lit(f"{name}: "), F.coalesce(problem, F.lit("")), F.lit(": "), text(name)), problem.isNotNull())
@@ -469,7 +479,7 @@ def validate_hits(hits: DataFrame, kind: str, key: str = "annotation_gene_id") -
     if kind == "domain":
         ordered = F.coalesce(F.col("_start_aa.value") > F.col("_end_aa.value"), F.lit(False))
         rules.append(Rule("error", "start_aa", "start_aa is greater than end_aa", ordered))
-    marked = df.withColumn("_issues", _issue_array(rules))
+    marked = once(df, {"_issues": _issue_array(rules)})
     good = marked.filter(F.size("_issues") == 0)
     for name in numbers:
         value = F.col(f"_{name}.value")
