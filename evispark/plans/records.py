@@ -19,6 +19,19 @@ from evispark.operators.windows import ordinal_id
 from evispark.session import cut_lineage
 
 
+def with_files(df: DataFrame, files: DataFrame) -> DataFrame:
+    """Add ``_path``: the sequence path of a row if ``files`` lists it, else null.
+
+    Rows without a path name no file. They are dealt out by their content, under keys that no path has, because one key for all
+    of them would be one task.
+    """
+    known = files.select(F.col("path").alias("_path")).distinct()
+    blank = F.coalesce(F.col("raw_sequence_path"), F.lit("")) == ""
+    dealt = F.concat(F.lit("\0"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+    keyed = df.withColumn("_at", F.when(blank, dealt).otherwise(F.col("raw_sequence_path")))
+    return keyed.join(known, F.col("_at") == F.col("_path"), "left").drop("_at")
+
+
 def build_manifest(samples: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Validated manifest, issues and excluded rows.
 
@@ -31,10 +44,7 @@ def build_manifest(samples: DataFrame, files: DataFrame | None = None) -> tuple[
     if files is None:
         df = df.withColumn("raw_sequence_exists", F.lit(False))
     else:
-        known = files.select(F.col("path").alias("_path")).distinct()
-        df = df.join(known, df["raw_sequence_path"] == known["_path"], "left").withColumn(
-            "raw_sequence_exists", F.col("_path").isNotNull()
-        ).drop("_path")
+        df = with_files(df, files).withColumn("raw_sequence_exists", F.col("_path").isNotNull()).drop("_path")
     df = df.withColumn("has_raw_sequence", present("raw_sequence_path", MISSING))
     rules = [
         required("genome_id"),
@@ -105,8 +115,7 @@ def cluster_member_lists(clusters: DataFrame) -> DataFrame:
 
 def plan_sequences(manifest: DataFrame, files: DataFrame, raw_dir: str = "data/raw") -> DataFrame:
     """How each record gets its sequence: local, fetchable, by hand, or excluded."""
-    known = files.select(F.col("path").alias("_path")).distinct()
-    df = manifest.join(known, manifest["raw_sequence_path"] == known["_path"], "left")
+    df = with_files(manifest, files)
     exists = F.col("_path").isNotNull()
     first = F.get(accession_list("accession"), 0)
     has_path = present("raw_sequence_path")
