@@ -16,6 +16,15 @@ from evispark.functions.text import hash_id, normalize_key
 from evispark.operators.windows import first_per_key
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side with a row per entity, joined by shuffles whatever its stored size.
+
+    Ids, defaults and repeated names pack into few bytes of Parquet and take a hundred times that in memory. Spark, which sees
+    the stored size of a written table, would send it whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def lookup_left(df: DataFrame, dim: DataFrame, keys: Sequence[str] | str, order: str | None = None) -> DataFrame:
     """Left join on a lookup table; with ``order`` the last row of a repeated key wins."""
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -106,11 +115,11 @@ def resolve_entities(
         .agg(F.count("*").alias("_hits"), F.min("_pid").alias("_pair_id"))
     )
     out = (
-        df.join(ids, strip(df[source]) == ids["_id"], "left")
+        df.join(shuffled(ids), strip(df[source]) == ids["_id"], "left")
         .withColumn("_la", F.lower(text(a)))
         .withColumn("_lb", F.lower(text(b)))
     )
-    out = out.join(named, (out["_la"] == named["_a"]) & (out["_lb"] == named["_b"]), "left")
+    out = out.join(shuffled(named), (out["_la"] == named["_a"]) & (out["_lb"] == named["_b"]), "left")
     shown = F.concat_ws(" | ", *[null_if_missing(c) for c in label])
     made = hash_id(a, b, shown, prefix=prefix)
     by_pair = F.col("_hits") == 1

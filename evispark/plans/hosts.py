@@ -8,7 +8,7 @@ from evispark.functions import rules as R
 from evispark.functions.missing import alias_coalesce, first_present, is_missing, null_if_missing, present, text
 from evispark.functions.text import classify, classify_pair, hash_id, note_value, parent_id, prefix_filter, split_values
 from evispark.operators.aggregates import packed_lists
-from evispark.operators.joins import compatibility, last_rows, lookup_left, patch_merge, resolve_entities, union_prefer
+from evispark.operators.joins import compatibility, last_rows, lookup_left, patch_merge, resolve_entities, shuffled, union_prefer
 from evispark.operators.windows import first_per_key, ordinal_id, running_last
 from evispark.session import cut_lineage
 
@@ -191,14 +191,14 @@ def integrate_hosts(
     known = hosts.select(
         F.col("host_genome_id").alias("resolved_id"), F.lit(True).alias("_host"), *[F.col(c).alias(f"h_{c}") for c in [*shown, "AMR_markers", "virulence_markers"]]
     )
-    by_host = state.filter(~made).join(known, "resolved_id", "left").select(
+    by_host = state.filter(~made).join(shuffled(known), "resolved_id", "left").select(
         *common,
         *[
             F.when(F.col("_host"), text(f"h_{c}")).otherwise(text(c)).alias(c)
             for c in [*shown, "AMR_markers", "virulence_markers"]
         ],
     )
-    links = lookup_left(by_host.unionByName(by_made), cluster_ids, "genome_id").withColumnsRenamed(
+    links = lookup_left(by_host.unionByName(by_made), shuffled(cluster_ids), "genome_id").withColumnsRenamed(
         {"genome_id": "phage_genome_id", "resolved_id": "host_genome_id", "link_status": "host_link_status", "entity_label": "host_label"}
     )
     linked = links.filter(present("host_genome_id"))
@@ -206,7 +206,7 @@ def integrate_hosts(
         F.countDistinct("phage_genome_id").alias("linked_phage_count"),
         F.countDistinct("species_cluster_id").alias("linked_species_cluster_count"),
     )
-    table = lookup_left(hosts.unionByName(final, allowMissingColumns=True), counts, "host_genome_id")
+    table = lookup_left(hosts.unionByName(final, allowMissingColumns=True), shuffled(counts), "host_genome_id")
     return {
         "hosts": table,
         "links": links,
