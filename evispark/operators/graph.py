@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from evispark.functions import rules as R
 from evispark.functions.missing import MISSING, is_missing, present
 from evispark.functions.numbers import to_double, to_int_or
+from evispark.operators.validation import once
 from evispark.operators.windows import first_per_key
 from evispark.session import Scratch
 
@@ -28,13 +29,16 @@ def score_edges(
     ids = nodes.select(F.col(nodes.columns[0]).alias("_id")).distinct()
     a = ids.select(F.col("_id").alias("_a"))
     b = ids.select(F.col("_id").alias("_b"))
-    df = edges.join(a, edges[left] == a["_a"], "left").join(b, edges[right] == b["_b"], "left")
+    kinds = dict(edges.dtypes)
 
     def number(name: str) -> Column:
-        value = to_double(F.col(name).cast("string"))
-        return F.when(~F.isnan(value), value)
+        value = F.col(name) if kinds[name] in ("double", "int", "bigint") else to_double(F.col(name).cast("string"))
+        return F.nanvl(value.cast("double"), F.lit(None))
 
-    identity, coverage = number("identity_percent"), number("coverage_percent")
+    numbers = {f"_{c}": number(c) for c in ("identity_percent", "coverage_percent")}
+    parsed = once(edges, numbers)
+    df = parsed.join(a, parsed[left] == a["_a"], "left").join(b, parsed[right] == b["_b"], "left")
+    identity, coverage = F.col("_identity_percent"), F.col("_coverage_percent")
     passes = F.coalesce((identity >= min_identity) & (coverage >= min_coverage), F.lit(False))
     notes = F.array_compact(
         F.array(
@@ -47,7 +51,7 @@ def score_edges(
         df.withColumn("passes_threshold", passes)
         .withColumn("included_in_clustering", passes & (F.size(notes) == 0))
         .withColumn("notes", F.when(F.size(notes) == 0, "OK").otherwise(F.array_join(notes, "; ")))
-        .drop("_a", "_b")
+        .drop("_a", "_b", *numbers)
     )
 
 
