@@ -204,7 +204,8 @@ def _genbank(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('"\n     gene            1..5\nORIGIN\n        1 acgt\n//'),
     )
     path = scratch_path(spark, "orders.gb")
-    li.select(record.alias("value")).write.text(path)
+    # Flat files are mostly fixed text, and a compressed file is read whole by one task: many small ones.
+    li.select(record.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", 100_000).text(path)
     regions = li.select(contig.alias("contig_id"), (F.col("l_suppkey") * 2).alias("region_start"), (F.col("l_suppkey") * 2 + 900).alias("region_end"))
     cds = extract_cds(spark, path, regions)
     return cds.select("contig_id", "gene_id", "start", "end", "strand", "product", "functional_category", "protein_length_aa")
