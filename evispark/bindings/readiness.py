@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evispark.bindings.base import register, table
 from evispark.operators.aggregates import metrics_long
 from evispark.operators.readiness import (
-    curation_priority, deficit_orders, metric_bridge, min_set_rank, readiness, status_cascade, traceability, unlock,
+    curation_priority, deficit_orders, metric_bridge, min_set_rank, readiness, status_cascade, traceability, unlock, unlock_lists,
 )
+from evispark.operators.scan import dealt, range_count
 
 _NEEDS = """nd AS (SELECT DISTINCT 'C' || o_custkey AS goal, 'P' || l_partkey AS item, CASE WHEN l_linenumber % 2 = 0 THEN 'optional' ELSE 'required' END AS role FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   stt AS (SELECT 'P' || p_partkey AS item, p_size > 2 AS ready, p_size % 4 AS pri FROM part WHERE p_type <> 'GIANT')"""
@@ -18,11 +19,15 @@ def needs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A customer is a goal, the parts it orders are the items it needs. Giant parts have no status."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    wanted = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    tasks = range_count(li)
+    lines = dealt(li, tasks, "l_orderkey").join(dealt(o, tasks, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Repeats go while the rows are numbers, by key: a task holds its share of them and no texts.
+    lines = lines.select("o_custkey", "l_partkey", F.coalesce(F.col("l_linenumber") % 2 == 0, F.lit(False)).alias("optional"))
+    wanted = dealt(lines, tasks, "o_custkey", "l_partkey").distinct().select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("goal"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("item"),
-        F.when(F.col("l_linenumber") % 2 == 0, "optional").otherwise("required").alias("role"),
-    ).distinct()
+        F.when(F.col("optional"), "optional").otherwise("required").alias("role"),
+    )
     p = table(spark, sf, "part").filter("p_type <> 'GIANT'")
     status = p.select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("item"), (F.col("p_size") > 2).alias("ready"), (F.col("p_size") % 4).alias("priority_order")
@@ -38,7 +43,7 @@ def needs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 )
 def _unlock(spark: SparkSession, sf: str) -> DataFrame:
     wanted, status = needs(spark, sf)
-    return unlock(wanted, status)[0]
+    return unlock(wanted, status)
 
 
 @register(
@@ -47,7 +52,7 @@ def _unlock(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _unlock_lists(spark: SparkSession, sf: str) -> DataFrame:
     wanted, status = needs(spark, sf)
-    return unlock(wanted, status)[1].withColumn("items", F.array_join("items", ";"))
+    return unlock_lists(wanted, status).withColumn("items", F.array_join("items", ";"))
 
 
 @register(

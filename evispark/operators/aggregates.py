@@ -10,6 +10,7 @@ from evispark.functions.missing import is_informative, is_missing, null_if_missi
 from evispark.functions.numbers import count_bin, evidence_state, fraction, score_bin, to_double, wilson
 from evispark.functions import rules as R
 from evispark.functions.text import matches
+from evispark.operators.scan import dealt, range_count
 from evispark.operators.windows import positions
 
 #: Items of a piece of a list.
@@ -38,10 +39,11 @@ def packed_lists(
     """
     order = list(order or [value])
     needed = df.select(*keys, value, *[o for o in order if o != value and o not in keys])
+    tasks = range_count(needed)
     pieces = positions(needed, keys, order).withColumn("piece", F.floor(F.col("_pos") / limit).cast("bigint"))
     item = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(value).alias("v"))
     return (
-        pieces.groupBy(*keys, "piece")
+        dealt(pieces, tasks, *keys, "piece").groupBy(*keys, "piece")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
         .withColumn("items", F.transform("items", lambda x: x["v"]))
         .withColumn("item_count", F.size("items"))

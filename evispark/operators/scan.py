@@ -43,6 +43,12 @@ def range_count(df: DataFrame) -> int:
     return min(MOST_RANGES, 1 + size // RANGE_BYTES)
 
 
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows by key in ``tasks`` tasks, so that a task does not grow with the input; if the shuffle setting is higher, in so many."""
+    setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys) if tasks > setting else df.repartition(*keys)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Equality of key columns where null equals null; ``right`` has them with a ``_j_`` before the name."""
     same = F.lit(True)
@@ -57,7 +63,8 @@ class Segments:
     def __init__(self, df: DataFrame, part: Sequence[str], order: Sequence[str], ranges: int | None = None):
         self.part = list(part)
         keys = [*self.part, *[o for o in order if o not in self.part]]
-        ranged = df.repartitionByRange(ranges or range_count(df), *keys).sortWithinPartitions(*keys)
+        self.ranges = ranges or range_count(df)
+        ranged = df.repartitionByRange(self.ranges, *keys).sortWithinPartitions(*keys)
         within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
         self.rows = cut_lineage(ranged.withColumn(PIECE, F.spark_partition_id()).withColumn(AT, within))
         #: The rows of a group in a piece, in order.
@@ -90,7 +97,7 @@ class Segments:
         over the summaries of a group's pieces. A carry is null where no other piece adds anything.
         """
         names = [c for c in self.rows.columns if c not in (PIECE, AT)]
-        rows = self.rows.select("*", *[make(self.inside).alias(n) for n, make in local.items()])
+        rows = dealt(self.rows, self.ranges, *self.part, PIECE).select("*", *[make(self.inside).alias(n) for n, make in local.items()])
         found = self._keyed(self.carries(summary, {n: make(self.along) for n, make in carry.items()}), *carry)
         joined = rows.join(found, same_keys(rows, found, [*self.part, PIECE]), "left")
         return joined.select(*[F.col(f"`{n}`") for n in names if n not in merged], *[c.alias(n) for n, c in merged.items()])

@@ -182,3 +182,24 @@ def test_numbers_with_type_suffixes_are_no_numbers(spark):
     got = {r.t: (None if r.n is None or r.n != r.n or r.n == float("inf") else r.n, r.p) for r in df.collect()}
     assert {t: n for t, (n, _) in got.items()} == {t: {"12": 12.0, " 1.5e3 ": 1500.0, ".5": 0.5, "5.": 5.0, "+7": 7.0}.get(t) for t in texts}
     assert got["12d"][1] == got["3f"][1] == got["0x1"][1] == "not_numeric" and got["nan"][1] == got["inf"][1] == "non_finite"
+
+
+def test_tasks_follow_the_input(spark, monkeypatch, tmp_path):
+    """Requirement rows and packed lists are dealt to as many tasks as the input asks for, whatever the shuffle setting."""
+    from evispark.operators import readiness, scan
+
+    needs = [(f"C{i % 7}", f"P{i % 50}", "optional" if i % 3 else "required") for i in range(350)]
+    spark.createDataFrame([(f"P{i}", i % 2 == 0) for i in range(40)], "item string, ready boolean").write.parquet(f"{tmp_path}/status")
+    spark.createDataFrame(sorted(set(needs)), "goal string, item string, role string").write.parquet(f"{tmp_path}/needs")
+    table, status = spark.read.parquet(f"{tmp_path}/needs"), spark.read.parquet(f"{tmp_path}/status")
+    monkeypatch.setattr(scan, "RANGE_BYTES", 200)
+    tasks = scan.range_count(table)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = readiness.unlock_lists(table, status)
+    assert lists.rdd.getNumPartitions() >= tasks
+    want = {}
+    for goal, item, role in set(needs):
+        want.setdefault((goal, role, item[1:].isdigit() and int(item[1:]) < 40 and int(item[1:]) % 2 == 0), []).append(item)
+    assert {(r.goal, r.role, r.ready): r["items"] for r in lists.collect()} == {k: sorted(v) for k, v in want.items()}
+    monkeypatch.setattr("evispark.operators.scan.cut_lineage", None)  # counts write no table
+    assert readiness.unlock(table, status).count() == 7
