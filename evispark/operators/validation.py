@@ -12,6 +12,7 @@ from evispark.functions.missing import MISSING, as_col, is_missing, present, str
 from evispark.functions.numbers import is_integer_text, number_in, to_double
 from evispark.functions.sequences import base_composition, percent
 from evispark.functions.text import fold_vocab
+from evispark.operators.scan import dealt, range_count
 
 
 @dataclass(frozen=True)
@@ -271,18 +272,6 @@ def _assay_rules(tested: Column, results: Mapping[str, Column]) -> list[tuple[st
         ("required_populated_fields", "error", lacking != "", F.concat(F.lit("missing required fields: "), lacking)),
         ("phage_id_resolves", "error", (text("phage_id") != "") & ~F.col("_phage_known"), said("Unknown phage_id: ", "phage_id")),
         ("host_id_resolves", "error", (text("host_id") != "") & ~F.col("_host_known"), said("Unknown host_id: ", "host_id")),
-        (
-            "duplicate_interaction_id",
-            "error",
-            F.col("_previous_id").isNotNull(),
-            F.concat(F.lit("interaction_id also appears on row "), F.col("_previous_id").cast("string")),
-        ),
-        (
-            "duplicate_study_panel_assay",
-            "error",
-            F.col("_previous_key").isNotNull(),
-            F.concat(F.lit("same record also appears on row "), F.col("_previous_key").cast("string")),
-        ),
         ("tested_boolean", "error", present("tested") & tested.isNull(), said("Invalid tested value: ", "tested")),
         ("assay_type_controlled", "error", (assay_type != "") & ~assay_type.isin(*R.ASSAY_TYPES), said("Invalid assay_type: ", "assay_type")),
         ("outcome_tier_controlled", "error", (outcome != "") & ~outcome.isin(*R.OUTCOME_TIERS), said("Invalid outcome_tier: ", "outcome_tier")),
@@ -370,6 +359,19 @@ def _check_issues(df: DataFrame, scope: str, id_column: str, order: str,
     )
 
 
+def _repeat_issues(df: DataFrame, scope: str, id_column: str, order: str, keys: Sequence[Column], check: str, said: str) -> DataFrame:
+    """Issues of rows whose key an earlier row has. Only the key, the number and the id of a row are sorted."""
+    from evispark.operators.windows import previous_value
+
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & (k != "")
+    keyed = df.filter(whole).select(order, id_column, F.concat_ws("\x1f", *keys).alias("_key"))
+    placed = previous_value(keyed, "_key", order, order, "_previous")
+    message = F.concat(F.lit(said), F.col("_previous").cast("string"))
+    return _check_issues(placed, scope, id_column, order, [(check, "error", F.col("_previous").isNotNull(), message)])
+
+
 def has_content(df: DataFrame, skip: Sequence[str] = ()) -> Column:
     kept = [c for c in df.columns if c not in skip and not c.startswith("_")]
     hit = F.lit(False)
@@ -384,9 +386,12 @@ def validate_assays(assays: DataFrame, phages: DataFrame | None, hosts: DataFram
     ``order`` numbers the rows; the id tables hold the known ids in their first column.
     """
     df = assays.filter(has_content(assays, (order,)))
-    df = with_previous(df, [text("interaction_id")], order, "_previous_id")
     record = [text("phage_id"), text("host_id"), text("study_id"), text("panel_id"), F.lower(text("assay_type"))]
-    df = with_previous(df, record, order, "_previous_key")
+    repeats = [
+        _repeat_issues(df, "assay", "interaction_id", order, [text("interaction_id")], "duplicate_interaction_id", "interaction_id also appears on row "),
+        _repeat_issues(df, "assay", "interaction_id", order, record, "duplicate_study_panel_assay", "same record also appears on row "),
+    ]
+    df = dealt(df, range_count(df), order)
     df = with_known(with_known(df, "phage_id", phages, "_phage_known"), "host_id", hosts, "_host_known")
     tested = fold_vocab("tested", R.BOOLEAN_WORDS, F.lit(None).cast("string")).try_cast("boolean")
     results = {
@@ -395,7 +400,8 @@ def validate_assays(assays: DataFrame, phages: DataFrame | None, hosts: DataFram
         .otherwise("__invalid__")
         for name in R.RESULT_COLUMNS
     }
-    return _check_issues(df, "assay", "interaction_id", order, _assay_rules(tested, results))
+    issues = _check_issues(df, "assay", "interaction_id", order, _assay_rules(tested, results))
+    return issues.unionByName(repeats[0]).unionByName(repeats[1])
 
 
 def validate_relationships(rows: DataFrame, phages: DataFrame | None, hosts: DataFrame | None, order: str = "row_number") -> DataFrame:
