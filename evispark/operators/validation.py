@@ -346,12 +346,13 @@ def _check_issues(df: DataFrame, scope: str, id_column: str, order: str,
         for check, severity, failed, said in rules
     ]
     entity = F.coalesce(F.nullif(text(id_column), F.lit("")), F.concat(F.lit("row"), F.col(order).cast("string")))
+    held = once(df, {"_issues": F.array_compact(F.array(*structs))})  # exploded as it is, the array would be worked out again to test its size
     return (
-        df.select(
+        held.select(
             F.lit(scope).alias("scope"),
             F.col(order).alias("row_number"),
             entity.alias("entity_id"),
-            F.explode(F.array_compact(F.array(*structs))).alias("i"),
+            F.explode("_issues").alias("i"),
         )
         .select("scope", "row_number", "entity_id", "i.check_id", "i.severity", "i.message")
         .withColumn("status", F.when(F.col("severity") == "error", "fail").otherwise("warn"))

@@ -203,3 +203,20 @@ def test_tasks_follow_the_input(spark, monkeypatch, tmp_path):
     assert {(r.goal, r.role, r.ready): r["items"] for r in lists.collect()} == {k: sorted(v) for k, v in want.items()}
     monkeypatch.setattr("evispark.operators.scan.cut_lineage", None)  # counts write no table
     assert readiness.unlock(table, status).count() == 7
+
+
+def test_assay_repeats_sort_narrow_rows(spark, monkeypatch):
+    """Notes and results of an assay are not sorted to find repeats, and every repeat names the row before it."""
+    from evispark.functions import rules as R
+    from evispark.operators import scan, validation
+
+    columns = sorted({*R.ASSAY_REQUIRED, *R.RESULT_COLUMNS, "study_id", "panel_id", "outcome_tier", "evidence_tier", "eop", "eop_reference_host", "moi", "temperature_c", "replicate_count", "notes"})
+    rows = [(i, *["I0" if c == "interaction_id" else f"p{i % 2}" if c == "panel_id" else "x" for c in columns]) for i in range(6)]
+    frame = spark.createDataFrame(rows, ["row_number", *columns])
+    staged, write = [], scan.cut_lineage
+    monkeypatch.setattr(scan, "cut_lineage", lambda df: staged.append(df.columns) or write(df))
+    issues = validation.validate_assays(frame, None, None).filter("check_id LIKE 'duplicate%'").collect()
+    assert staged and all(len(c) <= 5 for c in staged)
+    said = {(r.row_number, r.check_id): int(r.message.split()[-1]) for r in issues}
+    want = {(i, "duplicate_interaction_id"): i - 1 for i in range(1, 6)} | {(i, "duplicate_study_panel_assay"): i - 2 for i in range(2, 6)}
+    assert said == want
