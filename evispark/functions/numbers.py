@@ -29,8 +29,7 @@ def finite(c: Column) -> Column:
 
 def to_int(c: Column | str) -> Column:
     """Lenient: the number cut to an integer, null for anything else."""
-    value = to_double(c)
-    return F.when(finite(value), value.try_cast("bigint"))
+    return F.get(F.transform(F.array(to_double(c)), lambda value: F.when(finite(value), value.try_cast("bigint"))), 0)  # parsed once
 
 
 def to_int_or(c: Column | str, default: int = 0) -> Column:

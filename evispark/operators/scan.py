@@ -89,15 +89,17 @@ class Segments:
 
     def scan(
         self, local: Mapping[str, Callable[[WindowSpec], Column]], summary: Mapping[str, Column],
-        carry: Mapping[str, Callable[[WindowSpec], Column]], merged: Mapping[str, Column],
+        carry: Mapping[str, Callable[[WindowSpec], Column]], merged: Mapping[str, Column], windows: bool = True,
     ) -> DataFrame:
         """The rows with the ``merged`` columns, which are made of ``local`` values and ``carry`` ones.
 
+        Rows are dealt by group and piece for the windows of ``local``; without ``windows`` it has none and they stay where they are.
+
         ``local`` are windows over the rows of a group in a piece, ``summary`` aggregates of such rows, ``carry`` windows
         over the summaries of a group's pieces. A carry is null where no other piece adds anything.
         """
         names = [c for c in self.rows.columns if c not in (PIECE, AT)]
-        rows = dealt(self.rows, self.ranges, *self.part, PIECE).select("*", *[make(self.inside).alias(n) for n, make in local.items()])
+        rows = (dealt(self.rows, self.ranges, *self.part, PIECE) if windows else self.rows).select("*", *[make(self.inside).alias(n) for n, make in local.items()])
         found = self._keyed(self.carries(summary, {n: make(self.along) for n, make in carry.items()}), *carry)
         joined = rows.join(found, same_keys(rows, found, [*self.part, PIECE]), "left")
         return joined.select(*[F.col(f"`{n}`") for n in names if n not in merged], *[c.alias(n) for n, c in merged.items()])

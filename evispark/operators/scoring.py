@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evispark.functions import rules as R
-from evispark.functions.missing import is_missing, present, text
+from evispark.functions.missing import present, text
 from evispark.functions.numbers import to_int_or
 from evispark.functions.text import matches
 from evispark.operators.aggregates import distinct_text
 from evispark.operators.joins import lookup_left
-from evispark.operators.windows import neighbor_context, ordinal_id
+from evispark.operators.validation import once
+from evispark.operators.windows import has_neighbor, neighbor_context, ordinal_id
+from evispark.session import Scratch
 
 HIT_PATTERNS = {
     "support": R.SUPPORT_PATTERN,
@@ -73,28 +75,30 @@ def weighted_score(found: Sequence[tuple[str, Column]], weights: Mapping[str, fl
     return F.least(total, F.lit(1.0))
 
 
-def score_candidates(
-    annotations: DataFrame,
-    gene_clusters: DataFrame,
-    domain_flags: DataFrame | None = None,
-    structure_flags: DataFrame | None = None,
-    weights: Mapping[str, float] = R.CANDIDATE_WEIGHTS,
-    thresholds: Mapping[str, float | bool] = R.CANDIDATE_THRESHOLDS,
+#: What scoring reads of a candidate, besides the columns it shows.
+EVIDENCE = (
+    "_rbp", "_depolymerase", "_hint", "_domain_support", "_structural_support", "_len", "sequence_strength", "domain_hit", "structural_hit",
+)
+
+
+def candidate_evidence(
+    annotations: DataFrame, gene_clusters: DataFrame, domain_flags: DataFrame | None = None, structure_flags: DataFrame | None = None
 ) -> DataFrame:
-    """Candidate genes with score, confidence and novelty.
+    """Every gene with what its texts, its cluster and its hits say; ``_candidate`` marks the candidates. No neighbour is looked at.
 
-    ``annotations`` carry ``has_context`` from ``neighbor_context``; ``gene_clusters``:
-    ``gene_cluster_id, gene_cluster_source, representative_product, phrog_category,
-    functional_category, module_hint``; the flags come from ``hit_evidence``.
+    ``gene_clusters``: ``gene_cluster_id, gene_cluster_source, representative_product, phrog_category, functional_category,
+    module_hint``; it is looked up by ``gene_cluster_key`` where ``annotations`` have no ``gene_cluster_id`` yet, so that they meet it once. The
+    flags come from ``hit_evidence``. Texts are searched and numbers parsed once a gene.
     """
     key = "annotation_gene_id"
+    by = "gene_cluster_id" if "gene_cluster_id" in annotations.columns else "gene_cluster_key"
     clusters = gene_clusters.select(
-        "gene_cluster_id",
+        *dict.fromkeys([by, "gene_cluster_id"]),
         F.col("gene_cluster_source").alias("_cluster_source"),
         F.col("module_hint").alias("_cluster_hint"),
         F.concat_ws(" ", *[text(c) for c in ("representative_product", "phrog_category", "functional_category", "module_hint")]).alias("_cluster_text"),
     )
-    df = lookup_left(annotations, clusters, "gene_cluster_id")
+    df = lookup_left(annotations, clusters, by)
     for prefix, flags in (("domain", domain_flags), ("structural", structure_flags)):
         if flags is not None:
             df = df.join(flags, key, "left")
@@ -108,18 +112,44 @@ def score_candidates(
     words = F.concat_ws(
         " ", text("product"), text("phrog_category"), text("functional_category"), text("module_hint"), F.col("_cluster_text")
     )
-    df = df.withColumn("_text", words).withColumn("sequence_strength", sequence_evidence())
-    length, minimum = to_int_or("protein_length_aa", 0), int(thresholds["min_protein_length_aa"])
-    df = df.withColumn("_len", length)
     domain, structure = F.col("_domain_support"), F.col("_structural_support")
     hint = (text("module_hint") == "rbp_depolymerase") | (text("_cluster_hint") == "rbp_depolymerase")
-    rbp, depolymerase = matches("_text", R.RBP_PATTERN), matches("_text", R.DEPOLYMERASE_PATTERN)
+    df = once(df, {"_text": words, "sequence_strength": sequence_evidence(), "_len": to_int_or("protein_length_aa", 0)})
+    read = {
+        "_rbp": matches("_text", R.RBP_PATTERN), "_depolymerase": matches("_text", R.DEPOLYMERASE_PATTERN), "_hint": hint,
+        "_excluded": matches("product", R.EXCLUSION_PATTERN) & ~(domain | structure),
+    }
+    df = once(df, read)
+    chosen = ~F.col("_excluded") & (F.col("_rbp") | F.col("_depolymerase") | domain | structure | F.col("_hint"))
+    flag = {
+        n: (F.col("_depolymerase") if n == "depolymerase" else matches("_text", p)) | F.col(f"_domain_{n}") | F.col(f"_structural_{n}")
+        for n, p in HIT_PATTERNS.items()
+        if n != "support"
+    }
+    strength = F.col("sequence_strength")
+    hit_text = (
+        F.when(present("phrog_id"), F.concat(F.col("phrog_id"), F.lit(":"), F.coalesce(F.nullif(text("product"), F.lit("")), text("functional_category"))))
+        .when(strength == "weak_sequence_hit", F.concat(F.lit("product:"), text("product")))
+        .otherwise("")
+    )
+    df = df.withColumn("_candidate", chosen).withColumn("sequence_hit", hit_text).withColumn("predicted_enzyme_class", enzyme_class(flag))
+    lost = [f"_{p}_{n}" for p in ("domain", "structural") for n in HIT_PATTERNS if n != "support"]
+    return df.drop(*lost, "_text", "_excluded", "_cluster_source", "_cluster_hint", "_cluster_text")
+
+
+def score_candidates(
+    evidence: DataFrame, weights: Mapping[str, float] = R.CANDIDATE_WEIGHTS, thresholds: Mapping[str, float | bool] = R.CANDIDATE_THRESHOLDS
+) -> DataFrame:
+    """Candidate genes with score, confidence and novelty, from ``candidate_evidence`` with ``has_context``."""
+    df = evidence.filter("_candidate")
+    minimum = int(thresholds["min_protein_length_aa"])
+    domain, structure = F.col("_domain_support"), F.col("_structural_support")
     context = F.col("has_context")
     short = (F.col("_len") != 0) & (F.col("_len") < minimum)
     found = [
-        ("rbp_keyword", rbp),
-        ("depolymerase_keyword", depolymerase),
-        ("annotation_module_hint", hint),
+        ("rbp_keyword", F.col("_rbp")),
+        ("depolymerase_keyword", F.col("_depolymerase")),
+        ("annotation_module_hint", F.col("_hint")),
         ("sequence_hit", F.col("sequence_strength") == "strong_sequence_hit"),
         ("weak_sequence_hit", F.col("sequence_strength") == "weak_sequence_hit"),
         ("domain_support", domain),
@@ -130,13 +160,6 @@ def score_candidates(
         ("length_support", (F.col("_len") != 0) & (F.col("_len") >= minimum)),
         ("short_protein", short),
     ]
-    excluded = matches("product", R.EXCLUSION_PATTERN) & ~(domain | structure)
-    df = df.filter(~excluded & (rbp | depolymerase | domain | structure | hint))
-    flag = {
-        n: matches("_text", p) | F.col(f"_domain_{n}") | F.col(f"_structural_{n}")
-        for n, p in HIT_PATTERNS.items()
-        if n != "support"
-    }
     high_at, medium_at = float(thresholds["high_confidence_score"]), float(thresholds["medium_confidence_score"])
     synteny_free = F.lit(not thresholds["require_synteny_for_high_confidence"])
     strength = F.col("sequence_strength")
@@ -153,12 +176,7 @@ def score_candidates(
         .when(F.col("novelty_tier") == "tier_3", "known or sequence-clustered RBP/depolymerase family candidate")
         .otherwise("candidate is driven by annotation text without enough independent novelty evidence")
     )
-    evidence = F.array_compact(F.array(*[F.when(hit, F.lit(n)) for n, hit in found]))
-    hit_text = (
-        F.when(present("phrog_id"), F.concat(F.col("phrog_id"), F.lit(":"), F.coalesce(F.nullif(text("product"), F.lit("")), text("functional_category"))))
-        .when(strength == "weak_sequence_hit", F.concat(F.lit("product:"), text("product")))
-        .otherwise("")
-    )
+    named = F.array_compact(F.array(*[F.when(hit, F.lit(n)) for n, hit in found]))
     out = (
         df.withColumn("confidence_score", weighted_score(found, weights))
         .withColumn("is_high_confidence", (F.col("confidence_score") >= high_at) & (context | synteny_free))
@@ -166,18 +184,13 @@ def score_candidates(
             "confidence_label",
             F.when(F.col("is_high_confidence"), "high").when(F.col("confidence_score") >= medium_at, "medium").otherwise("low"),
         )
-        .withColumn("sequence_hit", hit_text)
         .withColumn("novelty_tier", tier)
         .withColumn("novelty_rationale", rationale)
-        .withColumn("predicted_enzyme_class", enzyme_class(flag))
-        .withColumn("evidence_types", F.when(F.size(evidence) == 0, "none").otherwise(F.array_join(evidence, ";")))
+        .withColumn("evidence_types", F.when(F.size(named) == 0, "none").otherwise(F.array_join(named, ";")))
         .withColumn("notes", F.when(short, "shorter than configured minimum length").otherwise("OK"))
         .withColumn("confidence_score", F.round("confidence_score", 3))
     )
-    return out.drop(
-        *[f"_{p}_{n}" for p in ("domain", "structural") for n in HIT_PATTERNS],
-        "_text", "_len", "_cluster_source", "_cluster_hint", "_cluster_text",
-    )
+    return out.drop("_candidate", *[c for c in EVIDENCE if c.startswith("_")])
 
 
 def novel_subset(candidates: DataFrame, medium: float = R.CANDIDATE_THRESHOLDS["medium_confidence_score"]) -> DataFrame:
@@ -218,14 +231,34 @@ def module_clusters(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, module_table(members)
 
 
+#: The order of the genes of a genome.
+PLACE = ["_start", "_end", "annotation_gene_id"]
+
+
+def placed(annotations: DataFrame) -> DataFrame:
+    """Add ``_start`` and ``_end`` as numbers; a gene without them comes last."""
+    return once(annotations, {f"_{c}": to_int_or(c, 10**9) for c in ("start", "end")})
+
+
+def _searched() -> Column:
+    return F.concat_ws(" ", text("product"), text("module_hint"))
+
+
 def with_context(annotations: DataFrame, ranges: int | None = None) -> DataFrame:
     """Neighbour labels and tail context of every gene in its genome."""
-    placed = annotations
-    for c in ("start", "end"):
-        placed = placed.withColumn(f"_{c}", F.when(is_missing(F.col(c).cast("string")), F.lit(10**9)).otherwise(to_int_or(c, 10**9)))
     label = F.trim(F.concat_ws(":", text("gene_id"), text("module_hint"), text("product")), F.lit(":"))
-    searched = F.concat_ws(" ", text("product"), text("module_hint"))
-    return neighbor_context(
-        placed, "genome_id", ["_start", "_end", "annotation_gene_id"], label, searched, R.TAIL_CONTEXT_PATTERN,
-        ranges=ranges,
-    ).drop("_start", "_end")
+    return neighbor_context(placed(annotations), "genome_id", PLACE, label, _searched(), R.TAIL_CONTEXT_PATTERN, ranges=ranges).drop("_start", "_end")
+
+
+def candidate_context(evidence: DataFrame, shown: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """``candidate_evidence`` with ``has_context`` and the ``shown`` columns.
+
+    A gene that is no candidate is only a neighbour: of it nothing moves but its place and whether its texts hold the pattern.
+    """
+    kept = [c for c in evidence.columns if c in (*EVIDENCE, *shown) and c not in ("genome_id", *PLACE)]
+    found = once(evidence, {"_hit": matches(_searched(), R.TAIL_CONTEXT_PATTERN)})
+    own = [F.when(F.col("_candidate"), F.col(c)).alias(c) for c in kept]
+    # Written before it is put in ranges, which reads it twice and writes it again.
+    with Scratch(evidence.sparkSession) as scratch:
+        rows = scratch.table(placed(found).select("genome_id", *PLACE, "_hit", "_candidate", *own))
+        return has_neighbor(rows, "genome_id", PLACE, "_hit", ranges=ranges).drop("_hit")

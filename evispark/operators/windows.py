@@ -23,7 +23,7 @@ def positions(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str
         local = {"_row": lambda inside: F.row_number().over(inside).cast("long") - 1}
     else:  # a piece is one group, its rows are numbered already
         local = {"_row": lambda inside: F.col(AT)}
-    return segments.scan(local, {"_n": F.count("*")}, before, {out: F.col("_row") + F.coalesce("_earlier", F.lit(0))})
+    return segments.scan(local, {"_n": F.count("*")}, before, {out: F.col("_row") + F.coalesce("_earlier", F.lit(0))}, windows=bool(part))
 
 
 def neighbor_context(
@@ -40,13 +40,38 @@ def neighbor_context(
 
     Adds ``neighbor_labels`` (in order), ``has_context`` and ``neighbor_context``.
     """
-    base = df.withColumn("_item", F.struct(label.alias("label"), matches(searched, pattern).alias("hit")))
+    near = _neighbors(df, part, order, F.struct(label.alias("label"), matches(searched, pattern).alias("hit")), k, ranges)
+    prefix = F.when(F.col("has_context"), "tail_context").otherwise("no_tail_context")
+    return (
+        near.withColumn("neighbor_labels", F.transform("_near", lambda x: x["label"]))
+        .withColumn("has_context", F.exists("_near", lambda x: x["hit"]))
+        .withColumn(
+            "neighbor_context",
+            F.concat(
+                prefix,
+                F.lit("|"),
+                F.when(F.size("neighbor_labels") == 0, "no_neighbors").otherwise(F.array_join("neighbor_labels", ";")),
+            ),
+        )
+        .drop("_near")
+    )
+
+
+def has_neighbor(df: DataFrame, part: str, order: Sequence[str], hit: str, k: int = 2, ranges: int | None = None) -> DataFrame:
+    """Add ``has_context``: whether one of the ``k`` rows before and after is a ``hit``. Only that flag of a neighbour moves."""
+    near = _neighbors(df, part, order, F.col(hit), k, ranges)
+    return near.withColumn("has_context", F.exists("_near", lambda x: x)).drop("_near")
+
+
+def _neighbors(df: DataFrame, part: str, order: Sequence[str], item: Column, k: int, ranges: int | None) -> DataFrame:
+    """Add ``_near``: the items of the ``k`` rows before and after, in order."""
+    base = df.withColumn("_item", item)
     none = F.array().cast(base.select(F.array("_item").alias("a")).schema["a"].dataType)
 
     def end(arr: Column) -> Column:
         return F.slice(arr, F.greatest(F.size(arr) - F.lit(k - 1), F.lit(1)), F.lit(k))
 
-    near = Segments(base, [part], order, ranges).scan(
+    return Segments(base, [part], order, ranges).scan(
         {
             "_before": lambda inside: F.collect_list("_item").over(inside.rowsBetween(-k, -1)),
             "_after": lambda inside: F.collect_list("_item").over(inside.rowsBetween(1, k)),
@@ -62,21 +87,7 @@ def neighbor_context(
                 end(F.concat(F.coalesce("_left", none), "_before")), F.slice(F.concat("_after", F.coalesce("_right", none)), 1, k)
             )
         },
-    )
-    prefix = F.when(F.col("has_context"), "tail_context").otherwise("no_tail_context")
-    return (
-        near.withColumn("neighbor_labels", F.transform("_near", lambda x: x["label"]))
-        .withColumn("has_context", F.exists("_near", lambda x: x["hit"]))
-        .withColumn(
-            "neighbor_context",
-            F.concat(
-                prefix,
-                F.lit("|"),
-                F.when(F.size("neighbor_labels") == 0, "no_neighbors").otherwise(F.array_join("neighbor_labels", ";")),
-            ),
-        )
-        .drop("_near", "_item")
-    )
+    ).drop("_item")
 
 
 def _in_order(chosen: Column) -> Column:

@@ -49,16 +49,33 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Spark removes the shuffle files of a query at its end, not when the driver happens to collect garbage.
+_LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``. What was shuffled to make it goes with the write, as nobody reads it again."""
+    spark = df.sparkSession
+    before = spark.conf.get(_LET_GO, None)
+    spark.conf.set(_LET_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_LET_GO)
+        else:
+            spark.conf.set(_LET_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 
     Nothing upstream runs again, lost executors cost nothing that is already written, and later
-    steps read only the columns they use. Spark also knows the size of what it reads.
+    steps read only the columns they use. Spark also knows the size of what it reads. The disk holds the tables
+    and the shuffles of one write, not those of all.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, scratch_path(df.sparkSession, "table"))
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -84,8 +101,7 @@ class Scratch:
         """``df`` as a written table; see ``cut_lineage``."""
         path = scratch_path(self.spark, "table")
         self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _written(df, path)
 
     def clear(self, keep: int = 0) -> None:
         """Remove all tables but the ``keep`` latest."""
