@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from evispark.functions.missing import as_col, is_missing, null_if_missing, strip
+from evispark.functions.missing import as_col, is_missing, strip
 
 
 #: The texts that are numbers. Casts alone also take type suffixes such as the d of ``12d``.
@@ -19,8 +19,8 @@ def number_in(c: Column) -> Column:
 
 
 def to_double(c: Column | str) -> Column:
-    """Lenient: null unless the text is a number."""
-    return number_in(strip(null_if_missing(as_col(c).cast("string"))))
+    """Lenient: null unless the text is a number, which no text for a missing value is."""
+    return number_in(strip(as_col(c).cast("string")))
 
 
 def finite(c: Column) -> Column:

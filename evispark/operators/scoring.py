@@ -114,13 +114,10 @@ def candidate_evidence(
     )
     domain, structure = F.col("_domain_support"), F.col("_structural_support")
     hint = (text("module_hint") == "rbp_depolymerase") | (text("_cluster_hint") == "rbp_depolymerase")
-    df = once(df, {"_text": words, "sequence_strength": sequence_evidence(), "_len": to_int_or("protein_length_aa", 0)})
-    read = {
-        "_rbp": matches("_text", R.RBP_PATTERN), "_depolymerase": matches("_text", R.DEPOLYMERASE_PATTERN), "_hint": hint,
-        "_excluded": matches("product", R.EXCLUSION_PATTERN) & ~(domain | structure),
-    }
-    df = once(df, read)
-    chosen = ~F.col("_excluded") & (F.col("_rbp") | F.col("_depolymerase") | domain | structure | F.col("_hint"))
+    # What excludes a gene is looked for first, and only in the others what makes a candidate.
+    df = once(df, {"_text": words, "_open": ~matches("product", R.EXCLUSION_PATTERN) | domain | structure})
+    df = once(df, {"_rbp": F.col("_open") & matches("_text", R.RBP_PATTERN), "_depolymerase": F.col("_open") & matches("_text", R.DEPOLYMERASE_PATTERN), "_hint": hint})
+    chosen = F.col("_open") & (F.col("_rbp") | F.col("_depolymerase") | domain | structure | F.col("_hint"))
     flag = {
         n: (F.col("_depolymerase") if n == "depolymerase" else matches("_text", p)) | F.col(f"_domain_{n}") | F.col(f"_structural_{n}")
         for n, p in HIT_PATTERNS.items()
@@ -132,9 +129,10 @@ def candidate_evidence(
         .when(strength == "weak_sequence_hit", F.concat(F.lit("product:"), text("product")))
         .otherwise("")
     )
-    df = df.withColumn("_candidate", chosen).withColumn("sequence_hit", hit_text).withColumn("predicted_enzyme_class", enzyme_class(flag))
+    df = df.withColumn("_candidate", chosen).withColumn("_len", to_int_or("protein_length_aa", 0)).withColumn("sequence_strength", sequence_evidence())
+    df = df.withColumn("sequence_hit", hit_text).withColumn("predicted_enzyme_class", enzyme_class(flag))
     lost = [f"_{p}_{n}" for p in ("domain", "structural") for n in HIT_PATTERNS if n != "support"]
-    return df.drop(*lost, "_text", "_excluded", "_cluster_source", "_cluster_hint", "_cluster_text")
+    return df.drop(*lost, "_text", "_open", "_cluster_source", "_cluster_hint", "_cluster_text")
 
 
 def score_candidates(

@@ -288,6 +288,8 @@ def integrate_defense(
         merged = first_per_key(inferred, key, [order])
     else:
         merged = union_prefer(normalise_antidefense(anti, "antidefense_table", order), inferred, key, order)
+    # Counts and lists of names are made of a few columns of these rows each; the texts are searched once for all.
+    merged = cut_lineage(merged)
     spark = links.sparkSession
     if defense is None:
         found = spark.createDataFrame([], "host_genome_id string, defense_type string, defense_system string")
